@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetscope.constants import HTTP_LINE_MARKS, HTTP_PORTS, TLS_PORTS
-from packetscope.functions.addresses import mac_text, packet_direction
+from packetscope.functions.addresses import packet_direction
 from packetscope.functions.flags import flag_names
 from packetscope.functions.text import any_of, hex_text, safe_decode
 from packetscope.operators.appdata import FIELDS, app_fields, app_kind
@@ -28,28 +28,38 @@ _HEADER_BYTES = 94
 _ETHERNET = 14
 
 
-def _number(at: Column | int, octets: int) -> Column:
-    """Big-endian number at a byte offset of the staged header digits."""
+def _word(at: Column | int, octets: int) -> Column:
+    """Up to seven bytes of the staged header as one BIGINT; NULL past the end.
+
+    Turning hex digits into a number is the costly step, so neighbouring fields
+    are read as one word and taken apart with shifts.
+    """
     at = F.lit(at) if isinstance(at, int) else at
     digits = F.substring(F.col("__hex"), at * 2 + 1, F.lit(octets * 2))
-    value = F.conv(digits, 16, 10).cast("bigint" if octets >= 4 else "int")
-    return F.when(F.col("__size") >= at + octets, value)
+    return F.when(F.col("__size") >= at + octets, F.conv(digits, 16, 10).cast("bigint"))
+
 
+def _part(word: str, below: int, octets: int) -> Column:
+    """A field of a word with ``below`` bytes after it."""
+    mask = F.lit((1 << (8 * octets)) - 1).cast("bigint")
+    value = F.shiftright(F.col(word), 8 * below).bitwiseAND(mask)
+    return value if octets >= 4 else value.cast("int")
 
-def _ip_text(at: int) -> Column:
-    return F.concat_ws(".", *[_number(at + i, 1).cast("string") for i in range(4)])
+
+def _ip_text(word: str) -> Column:
+    octets = [_part(word, i, 1).cast("string") for i in (3, 2, 1, 0)]
+    return F.when(F.col(word).isNotNull(), F.concat_ws(".", *octets))
 
 
 def _mac(at: int) -> Column:
-    raw = F.substring(F.col("frame"), at + 1, 6)
-    return F.when(F.col("__size") >= at + 6, mac_text(raw))
+    pairs = [F.substring(F.col("__hex"), 2 * (at + i) + 1, 2) for i in range(6)]
+    return F.when(F.col("__size") >= at + 6, F.concat_ws(":", *pairs))
 
 
 def _stage(df: DataFrame) -> DataFrame:
     size = F.octet_length("frame")
-    return computed_once(
-        df, {"__size": size, "__hex": F.hex(F.substring(F.col("frame"), 1, _HEADER_BYTES))}
-    )
+    digits = F.lower(F.hex(F.substring(F.col("frame"), 1, _HEADER_BYTES)))
+    return computed_once(df, {"__size": size, "__hex": digits})
 
 
 def _unstage(df: DataFrame) -> DataFrame:
@@ -57,9 +67,8 @@ def _unstage(df: DataFrame) -> DataFrame:
 
 
 def _add_ethernet(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        {"src_mac": _mac(6), "dst_mac": _mac(0), "ethertype": _number(12, 2)}
-    )
+    columns = {"src_mac": _mac(6), "dst_mac": _mac(0), "ethertype": _word(12, 2).cast("int")}
+    return computed_once(df, columns)
 
 
 def _add_ipv4(df: DataFrame) -> DataFrame:
@@ -69,91 +78,101 @@ def _add_ipv4(df: DataFrame) -> DataFrame:
     fragment offset is given in units of eight bytes and in bytes.
     """
     known = (F.col("ethertype") == 0x0800) & (F.col("__size") >= _ETHERNET + 20)
+    words = {"__w14": (14, 6), "__w20": (20, 6), "__w26": (26, 4), "__w30": (30, 4)}
     staged = computed_once(
-        df,
+        df, {name: F.when(known, _word(at, size)) for name, (at, size) in words.items()}
+    )
+    fragment = _part("__w20", 4, 2)
+    first = computed_once(
+        staged,
         {
-            "__word": F.when(known, _number(14, 1)),
-            "__fragment": F.when(known, _number(20, 2)),
-            "ip_total_length": F.when(known, _number(16, 2)),
-            "ip_proto": F.when(known, _number(23, 1)),
+            "ip_version": F.shiftright(_part("__w14", 5, 1), 4),
+            "ip_ihl": _part("__w14", 5, 1).bitwiseAND(F.lit(15)),
+            "ip_dscp_ecn": _part("__w14", 4, 1),
+            "ip_total_length": _part("__w14", 2, 2),
+            "ip_id": _part("__w14", 0, 2),
+            "ip_flags": F.shiftright(fragment, 13),
+            "ip_fragment_offset": fragment.bitwiseAND(F.lit(0x1FFF)),
+            "ttl": _part("__w20", 3, 1),
+            "ip_proto": _part("__w20", 2, 1),
+            "ip_checksum": _part("__w20", 0, 2),
+            "src_ip": _ip_text("__w26"),
+            "dst_ip": _ip_text("__w30"),
         },
     )
-    is_ip = F.col("__word").isNotNull()
-    fragment = F.col("__fragment")
-    offset = fragment.bitwiseAND(F.lit(0x1FFF))
-    columns = {
-        "ip_version": F.shiftright("__word", 4),
-        "ip_ihl": F.col("__word").bitwiseAND(F.lit(15)),
-        "ip_dscp_ecn": F.when(is_ip, _number(15, 1)),
-        "ip_id": F.when(is_ip, _number(18, 2)),
-        "ip_flags": F.shiftright(fragment, 13),
-        "ip_fragment_offset": offset,
-        "ip_fragment_bytes": offset * 8,
-        "ttl": F.when(is_ip, _number(22, 1)),
-        "ip_checksum": F.when(is_ip, _number(24, 2)),
-        "src_ip": F.when(is_ip, _ip_text(26)),
-        "dst_ip": F.when(is_ip, _ip_text(30)),
-    }
     # later fragments carry no transport header
-    header = F.lit(_ETHERNET) + F.col("__word").bitwiseAND(F.lit(15)) * 4
+    header = F.when(F.col("ip_fragment_offset") == 0, F.lit(_ETHERNET) + F.col("ip_ihl") * 4)
     # a zero total length means the sender left it to the hardware
     cut = F.least(F.col("__size"), F.lit(_ETHERNET) + F.col("ip_total_length"))
     end = F.when(F.col("ip_total_length") > 0, cut).otherwise(F.col("__size"))
-    return computed_once(
-        staged.withColumns(columns), {"__l4": F.when(offset == 0, header), "__end": end}
-    )
+    placed = computed_once(first, {"__l4": header, "__end": end})
+    return placed.withColumn("ip_fragment_bytes", F.col("ip_fragment_offset") * 8)
 
 
 def _add_tcp(df: DataFrame) -> DataFrame:
     at = F.col("__l4")
     known = (F.col("ip_proto") == 6) & (F.col("__size") >= at + 20)
-    columns = {
-        "tcp_src_port": _number(at, 2),
-        "tcp_dst_port": _number(at + 2, 2),
-        "tcp_seq": _number(at + 4, 4),
-        "tcp_ack": _number(at + 8, 4),
-        "tcp_data_offset": F.shiftright(_number(at + 12, 1), 4),
-        "tcp_flags_mask": _number(at + 13, 1),
-        "tcp_window": _number(at + 14, 2),
-        "tcp_checksum": _number(at + 16, 2),
-        "tcp_urgent": _number(at + 18, 2),
-    }
-    return computed_once(df, {n: F.when(known, c) for n, c in columns.items()})
+    words = {"__t0": (0, 4), "__t4": (4, 4), "__t8": (8, 4), "__t12": (12, 4), "__t16": (16, 4)}
+    staged = computed_once(
+        df, {name: F.when(known, _word(at + start, size)) for name, (start, size) in words.items()}
+    )
+    return computed_once(
+        staged,
+        {
+            "tcp_src_port": _part("__t0", 2, 2),
+            "tcp_dst_port": _part("__t0", 0, 2),
+            "tcp_seq": F.col("__t4"),
+            "tcp_ack": F.col("__t8"),
+            "tcp_data_offset": F.shiftright(_part("__t12", 3, 1), 4),
+            "tcp_flags_mask": _part("__t12", 2, 1),
+            "tcp_window": _part("__t12", 0, 2),
+            "tcp_checksum": _part("__t16", 2, 2),
+            "tcp_urgent": _part("__t16", 0, 2),
+        },
+    )
 
 
 def _add_udp(df: DataFrame) -> DataFrame:
     at = F.col("__l4")
     known = (F.col("ip_proto") == 17) & (F.col("__size") >= at + 8)
-    columns = {
-        "udp_src_port": _number(at, 2),
-        "udp_dst_port": _number(at + 2, 2),
-        "udp_length": _number(at + 4, 2),
-        "udp_checksum_value": _number(at + 6, 2),
-    }
-    return computed_once(df, {n: F.when(known, c) for n, c in columns.items()})
+    words = {"__u0": F.when(known, _word(at, 4)), "__u4": F.when(known, _word(at + 4, 4))}
+    return computed_once(
+        computed_once(df, words),
+        {
+            "udp_src_port": _part("__u0", 2, 2),
+            "udp_dst_port": _part("__u0", 0, 2),
+            "udp_length": _part("__u4", 2, 2),
+            "udp_checksum_value": _part("__u4", 0, 2),
+        },
+    )
 
 
 def _add_icmp(df: DataFrame) -> DataFrame:
-    at = F.col("__l4")
+    # type and code may be all a short frame has, so they are read one by one
     known = F.col("ip_proto") == 1
-    return df.withColumns(
+    at = F.col("__l4")
+    return computed_once(
+        df,
         {
-            "icmp_type": F.when(known, _number(at, 1)),
-            "icmp_code": F.when(known, _number(at + 1, 1)),
-        }
+            "icmp_type": F.when(known, _word(at, 1)).cast("int"),
+            "icmp_code": F.when(known, _word(at + 1, 1)).cast("int"),
+        },
     )
 
 
 def _add_arp(df: DataFrame) -> DataFrame:
     known = (F.col("ethertype") == 0x0806) & (F.col("__size") >= _ETHERNET + 28)
+    staged = computed_once(
+        df, {"__a28": F.when(known, _word(28, 4)), "__a38": F.when(known, _word(38, 4))}
+    )
     columns = {
-        "arp_op": _number(20, 2),
-        "arp_src_mac": _mac(22),
-        "arp_src_ip": _ip_text(28),
-        "arp_dst_mac": _mac(32),
-        "arp_dst_ip": _ip_text(38),
+        "arp_op": F.when(known, _word(20, 2)).cast("int"),
+        "arp_src_mac": F.when(known, _mac(22)),
+        "arp_src_ip": _ip_text("__a28"),
+        "arp_dst_mac": F.when(known, _mac(32)),
+        "arp_dst_ip": _ip_text("__a38"),
     }
-    return df.withColumns({n: F.when(known, c) for n, c in columns.items()})
+    return computed_once(staged, columns)
 
 
 def _add_payload(df: DataFrame) -> DataFrame:

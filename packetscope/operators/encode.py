@@ -22,6 +22,21 @@ def number_hex(value: Column, octets: int) -> Column:
     return F.lpad(F.hex(kept), 2 * octets, "0")
 
 
+def packed(*fields: tuple[Column, int]) -> Column:
+    """Hex digits of several neighbouring numbers (value, octets), seven bytes at most.
+
+    One conversion for all of them instead of one each.
+    """
+    total = F.lit(0).cast("bigint")
+    width = 0
+    for value, octets in fields:
+        low = F.coalesce(value.cast("bigint"), F.lit(0).cast("bigint"))
+        kept = low.bitwiseAND(F.lit((1 << (8 * octets)) - 1).cast("bigint"))
+        total = kept if width == 0 else F.shiftleft(total, 8 * octets).bitwiseOR(kept)
+        width += octets
+    return F.lpad(F.hex(total), 2 * width, "0")
+
+
 def _const(digits: str) -> Column:
     return F.lit(digits)
 
@@ -31,8 +46,8 @@ def mac_hex(mac: Column) -> Column:
 
 
 def ip_hex(ip: Column) -> Column:
-    octets = [F.split_part(ip, F.lit("."), F.lit(i)).cast("bigint") for i in (1, 2, 3, 4)]
-    return F.coalesce(F.concat(*[number_hex(o, 1) for o in octets]), _const("00000000"))
+    octets = F.split(ip, r"\.")
+    return packed(*[(F.get(octets, F.lit(i)), 1) for i in range(4)])
 
 
 def text_hex(text: Column) -> Column:
@@ -128,68 +143,59 @@ def _payload() -> Column:
     return F.coalesce(chosen, F.lit(_EMPTY))
 
 
+def _ports() -> Column:
+    return packed((F.col("src_port"), 2), (F.col("dst_port"), 2))
+
+
 def tcp_header() -> Column:
     """Ports, sequence and acknowledgement 1, 20 bytes, bits, window, no checksum."""
-    return F.concat(
-        number_hex(F.col("src_port"), 2),
-        number_hex(F.col("dst_port"), 2),
-        _const("00000001" "00000001" "50"),
-        number_hex(F.col("tcp_flags_mask"), 1),
-        number_hex(F.col("tcp_window"), 2),
-        _const("0000" "0000"),
-    )
+    bits = packed((F.lit(0x50), 1), (F.col("tcp_flags_mask"), 1), (F.col("tcp_window"), 2))
+    return F.concat(_ports(), _const("00000001" "00000001"), bits, _const("0000" "0000"))
 
 
 def udp_header(payload: Column) -> Column:
     """Ports, length of header and payload, checksum unused."""
-    return F.concat(
-        number_hex(F.col("src_port"), 2),
-        number_hex(F.col("dst_port"), 2),
-        number_hex(F.length(payload) / 2 + 8, 2),
-        _const("0000"),
-    )
+    return F.concat(_ports(), packed((F.length(payload) / 2 + 8, 2), (F.lit(0), 2)))
 
 
 def icmp_header() -> Column:
-    return F.concat(
-        number_hex(F.col("icmp_type"), 1),
-        number_hex(F.col("icmp_code"), 1),
-        _const("0000" "00010001"),
-    )
+    kind = packed((F.col("icmp_type"), 1), (F.col("icmp_code"), 1))
+    return F.concat(kind, _const("0000" "00010001"))
 
 
 def ipv4_header(number: Column, body: Column) -> Column:
     """20-byte header: don't-fragment set, id from the packet number, no checksum."""
     return F.concat(
-        _const("4500"),
-        number_hex(F.length(body) / 2 + 20, 2),
-        number_hex(F.col("packet_id"), 2),
-        _const("4000"),
-        number_hex(F.col("ttl"), 1),
-        number_hex(number, 1),
-        _const("0000"),
-        ip_hex(F.col("src_ip")),
-        ip_hex(F.col("dst_ip")),
+        packed((F.lit(0x4500), 2), (F.length(body) / 2 + 20, 2), (F.col("packet_id"), 2)),
+        packed((F.lit(0x4000), 2), (F.col("ttl"), 1), (number, 1), (F.lit(0), 2)),
+        F.col("__src_ip"),
+        F.col("__dst_ip"),
     )
 
 
 def arp_body() -> Column:
     """Request (1) or reply (2) between the packet's own addresses."""
-    opcode = F.when(F.col("arp_opcode") == "request", F.lit(1)).otherwise(F.lit(2))
+    opcode = F.when(F.col("arp_opcode") == "request", _const("0001")).otherwise(_const("0002"))
     return F.concat(
         _const("0001" "0800" "06" "04"),
-        number_hex(opcode, 2),
-        mac_hex(F.col("src_mac")),
-        ip_hex(F.col("src_ip")),
-        mac_hex(F.col("dst_mac")),
-        ip_hex(F.col("dst_ip")),
+        opcode,
+        F.col("__src_mac"),
+        F.col("__src_ip"),
+        F.col("__dst_mac"),
+        F.col("__dst_ip"),
     )
 
 
 def with_frame(df: DataFrame) -> DataFrame:
     """Add ``frame``: Ethernet bytes of each packet."""
     transport = transport_of(F.col("protocol"))
-    staged = computed_once(df, {"__t": transport, "__p": _payload()})
+    addresses = {
+        "__src_mac": mac_hex(F.col("src_mac")),
+        "__dst_mac": mac_hex(F.col("dst_mac")),
+        "__src_ip": ip_hex(F.col("src_ip")),
+        "__dst_ip": ip_hex(F.col("dst_ip")),
+    }
+    staged = computed_once(computed_once(df, addresses), {"__t": transport, "__p": _payload()})
     body = (
         F.when(F.col("__t") == "TCP", F.concat(tcp_header(), F.col("__p")))
         .when(F.col("__t") == "UDP", F.concat(udp_header(F.col("__p")), F.col("__p")))
@@ -202,14 +208,15 @@ def with_frame(df: DataFrame) -> DataFrame:
     staged = computed_once(staged, {"__b": body})
     is_arp = F.col("protocol") == "ARP"
     digits = F.concat(
-        mac_hex(F.col("dst_mac")),
-        mac_hex(F.col("src_mac")),
+        F.col("__dst_mac"),
+        F.col("__src_mac"),
         F.when(is_arp, _const("0806")).otherwise(_const("0800")),
         F.when(is_arp, arp_body()).otherwise(
             F.concat(ipv4_header(number, F.col("__b")), F.col("__b"))
         ),
     )
-    return computed_once(staged, {"frame": F.unhex(digits)}).drop("__t", "__p", "__b")
+    made = computed_once(staged, {"frame": F.unhex(digits)})
+    return made.drop("__t", "__p", "__b", *addresses)
 
 
 def frames(df: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from packetscope.operators.features import LABEL, column_kinds, ensure_columns
 from packetscope.operators.metrics import accuracy, evaluate
 from packetscope.plans.split import stratified_split
+from packetscope.session import written
 
 TREES = 100
 DEPTH = 10
@@ -202,8 +203,12 @@ def train(
 def split_and_train(
     table: DataFrame, source_type: str, trees: int = TREES, depth: int = DEPTH
 ) -> tuple[ThreatModel, DataFrame]:
-    """Model of the 70 % part and the scored 30 % part."""
-    parts = stratified_split(table, "packet_id", LABEL)
+    """Model of the 70 % part and the scored 30 % part.
+
+    Fitting passes over the rows dozens of times, so features and split are
+    written once first.
+    """
+    parts = written(stratified_split(table, "packet_id", LABEL), "split")
     model = train(parts.filter("is_train = 1").drop("is_train"), source_type, trees=trees, depth=depth)
     held_out = parts.filter("is_train = 0").drop("is_train")
     return model, model.predict(held_out)
