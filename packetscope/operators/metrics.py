@@ -8,69 +8,101 @@ from pyspark.sql import functions as F
 from packetscope.plans.ordered import running_totals
 
 
-def accuracy(df: DataFrame) -> DataFrame:
-    return df.agg(F.round(F.avg((F.col("label") == F.col("prediction")).cast("double")), 6).alias("accuracy"))
+_CELLS = [(0, 0), (0, 1), (1, 0), (1, 1)]
+_RATES = ("precision", "recall", "f1_score")
 
 
-def confusion(df: DataFrame) -> DataFrame:
-    """(label, prediction, n) for both classes, empty cells 0."""
-    cells = [(a, p) for a in (0, 1) for p in (0, 1)]
-    counted = df.agg(
+def _cell(label: int, prediction: int) -> Column:
+    return F.col(f"c{label}{prediction}")
+
+
+def _cells(df: DataFrame) -> DataFrame:
+    """One row with the four confusion counts; every other metric is derived from it."""
+    return df.agg(
         *[
             F.count_if((F.col("label") == a) & (F.col("prediction") == p)).alias(f"c{a}{p}")
-            for a, p in cells
+            for a, p in _CELLS
         ]
     )
-    rows = [
-        F.struct(F.lit(a).alias("label"), F.lit(p).alias("prediction"), F.col(f"c{a}{p}").alias("n"))
-        for a, p in cells
-    ]
-    return counted.select(F.inline(F.array(*rows)))
 
 
 def _ratio(above: Column, below: Column) -> Column:
     return F.coalesce(above / F.nullif(below, F.lit(0)), F.lit(0.0))
 
 
-def class_report(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Precision, recall, F1 and support per class, then macro and weighted averages.
+def _accuracy() -> Column:
+    hits, total = _cell(0, 0) + _cell(1, 1), sum((_cell(a, p) for a, p in _CELLS[1:]), _cell(0, 0))
+    return F.round(hits / F.nullif(total, F.lit(0)), 6)
 
-    A division by zero counts as 0.
-    """
-    counted = df.agg(
-        *[F.count_if(F.col("label") == c).alias(f"support{c}") for c in (0, 1)],
-        *[F.count_if(F.col("prediction") == c).alias(f"called{c}") for c in (0, 1)],
-        *[F.count_if((F.col("label") == c) & (F.col("prediction") == c)).alias(f"hit{c}") for c in (0, 1)],
-    )
+
+def accuracy(df: DataFrame) -> DataFrame:
+    return _cells(df).select(_accuracy().alias("accuracy"))
+
+
+def _confusion_rows() -> list[Column]:
+    return [
+        F.struct(
+            F.lit(a).alias("label"), F.lit(p).alias("prediction"), _cell(a, p).alias("n")
+        )
+        for a, p in _CELLS
+    ]
+
+
+def confusion(df: DataFrame) -> DataFrame:
+    """(label, prediction, n) for both classes, empty cells 0."""
+    return _cells(df).select(F.inline(F.array(*_confusion_rows())))
+
+
+def _report_rows(digits: int) -> list[tuple[str, dict[str, Column]]]:
+    """(class, values) of both classes and the two averages, over the cell columns."""
+    rates, supports = [], []
     for c in (0, 1):
-        hit, support, called = F.col(f"hit{c}"), F.col(f"support{c}"), F.col(f"called{c}")
-        counted = counted.withColumns(
+        hit, missed, called = _cell(c, c), _cell(c, 1 - c), _cell(1 - c, c)
+        supports.append(hit + missed)
+        rates.append(
             {
-                f"precision{c}": _ratio(hit, called),
-                f"recall{c}": _ratio(hit, support),
-                f"f1_score{c}": _ratio(2 * hit, called + support),
+                "precision": _ratio(hit, hit + called),
+                "recall": _ratio(hit, hit + missed),
+                "f1_score": _ratio(2 * hit, 2 * hit + called + missed),
             }
         )
-    total = F.col("support0") + F.col("support1")
-    names = ("precision", "recall", "f1_score")
-
-    def row(name: str, values: dict[str, Column], support: Column) -> Column:
-        return F.struct(
-            F.lit(name).alias("class"),
-            *[F.round(values[n], digits).alias(n) for n in names],
-            support.alias("support"),
-        )
+    total = supports[0] + supports[1]
+    macro = {r: (rates[0][r] + rates[1][r]) / 2 for r in _RATES}
+    weighted = {
+        r: _ratio(rates[0][r] * supports[0] + rates[1][r] * supports[1], total) for r in _RATES
+    }
+    rows = [
+        ("0", {**rates[0], "support": supports[0]}),
+        ("1", {**rates[1], "support": supports[1]}),
+        ("macro avg", {**macro, "support": total}),
+        ("weighted avg", {**weighted, "support": total}),
+    ]
+    return [
+        (name, {k: F.round(v, digits) if k in _RATES else v for k, v in values.items()})
+        for name, values in rows
+    ]
+
 
-    def weighted(n: str) -> Column:
-        up = F.col(f"{n}0") * F.col("support0") + F.col(f"{n}1") * F.col("support1")
-        return _ratio(up, total)
+def class_report(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Precision, recall, F1 and support per class, then macro and weighted averages.
 
+    A division by zero counts as 0.
+    """
     rows = [
-        *[row(str(c), {n: F.col(f"{n}{c}") for n in names}, F.col(f"support{c}")) for c in (0, 1)],
-        row("macro avg", {n: (F.col(f"{n}0") + F.col(f"{n}1")) / 2 for n in names}, total),
-        row("weighted avg", {n: weighted(n) for n in names}, total),
+        F.struct(F.lit(name).alias("class"), *[v.alias(k) for k, v in values.items()])
+        for name, values in _report_rows(digits)
     ]
-    return counted.select(F.inline(F.array(*rows)))
+    return _cells(df).select(F.inline(F.array(*rows)))
+
+
+def evaluate(df: DataFrame, digits: int = 6) -> DataFrame:
+    """(metric, value): accuracy, confusion cells and the class report, in one pass."""
+    values = [("accuracy", _accuracy())]
+    values += [(f"confusion {a} {p}", _cell(a, p)) for a, p in _CELLS]
+    for name, row in _report_rows(digits):
+        values += [(f"{name} {k}", v) for k, v in row.items()]
+    rows = [F.struct(F.lit(n).alias("metric"), v.cast("double").alias("value")) for n, v in values]
+    return _cells(df).select(F.inline(F.array(*rows)))
 
 
 def score_histogram(df: DataFrame, bins: int = 20) -> DataFrame:
@@ -115,21 +147,20 @@ def roc_points(df: DataFrame) -> DataFrame:
 
     The start has a NULL threshold. Rates are NULL unless both classes occur.
     """
-    totals = df.agg(
-        F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")
-    )
     points = _cumulative(df).select(F.col("score").alias("threshold"), "tp", "fp")
+    # the lowest threshold calls everything, so the last sums are the class totals
+    ends = points.agg(F.max("tp").alias("p"), F.max("fp").alias("n"))
+    both = ends.filter((F.col("p") > 0) & (F.col("n") > 0))
+    p, n = both.select("p").scalar(), both.select("n").scalar()
     start = df.sparkSession.sql(
         "SELECT CAST(NULL AS DOUBLE) AS threshold, CAST(0 AS BIGINT) AS tp, CAST(0 AS BIGINT) AS fp"
     )
-    p, n = totals.select("p").scalar(), totals.select("n").scalar()
-    both = (p > 0) & (n > 0)
     return start.unionByName(points).select(
         "threshold",
         "tp",
         "fp",
-        F.when(both, F.round(F.col("tp") / F.nullif(p, F.lit(0)), 6)).alias("tpr"),
-        F.when(both, F.round(F.col("fp") / F.nullif(n, F.lit(0)), 6)).alias("fpr"),
+        F.round(F.col("tp") / p, 6).alias("tpr"),
+        F.round(F.col("fp") / n, 6).alias("fpr"),
     )
 
 
@@ -148,27 +179,3 @@ def auc(df: DataFrame) -> DataFrame:
     return sums.select(
         F.round(F.col("area").cast("double") / F.nullif(pairs, F.lit(0.0)), 6).alias("auc")
     )
-
-
-def evaluate(df: DataFrame) -> DataFrame:
-    """(metric, value): accuracy, confusion cells and the class report in one pass."""
-    report = class_report(df)
-    long = report.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.concat_ws(" ", F.col("class"), F.lit(n)).alias("metric"),
-                        F.col(n).cast("double").alias("value"),
-                    )
-                    for n in ("precision", "recall", "f1_score", "support")
-                ]
-            )
-        )
-    )
-    cells = confusion(df).select(
-        F.format_string("confusion %d %d", "label", "prediction").alias("metric"),
-        F.col("n").cast("double").alias("value"),
-    )
-    top = accuracy(df).select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
-    return top.unionByName(cells).unionByName(long)

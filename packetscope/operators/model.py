@@ -80,10 +80,15 @@ def one_hot(train: DataFrame, rows: DataFrame, column: str) -> DataFrame:
 
 
 def _steady(df: DataFrame) -> DataFrame:
-    """Same rows in the same partitions every time, so a seed gives the same forest."""
-    keys = [c for c in ("packet_id",) if c in df.columns] or df.columns
+    """Same rows in the same partitions every time, so a seed gives the same forest.
+
+    Only a unique id spreads evenly; feature rows repeat too much to be hashed, so
+    without an id the rows stay where they are.
+    """
+    if "packet_id" not in df.columns:
+        return df
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, *keys).sortWithinPartitions(*keys)
+    return df.repartition(parts, "packet_id").sortWithinPartitions("packet_id")
 
 
 @dataclass

@@ -1,7 +1,8 @@
 """Reports as long tables: (section, rank, key, n, pct).
 
-Each report reads the packets twice at most: one global aggregate for the totals
-and one grouped aggregate over exploded (section, key) pairs for all its lists.
+Each report groups the packets twice: by protocol, which gives the totals and the
+classes, and by (section, key), which gives all its top lists. The parts of a
+report use the first grouping in the same form, so Spark runs it once.
 """
 
 from __future__ import annotations
@@ -9,32 +10,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetscope.functions.text import epoch_seconds, percent
+from packetscope.functions.text import epoch_micros, has_text, percent
 from packetscope.operators.lookups import transport_of
 from packetscope.operators.stats import (
     class_counts_exact,
-    class_counts_layer,
     class_rows,
     section_counts,
     top5_sections,
     top_per_section,
 )
 
-_KEY = "key"
 
+def _per_protocol(df: DataFrame) -> DataFrame:
+    """Rows per protocol label, NULL included."""
+    return df.groupBy("protocol").agg(F.count("*").alias("n"))
 
-def _total_row(df: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").alias("n")).select(
-        F.lit("total_packets").alias("section"),
+
+def _count(rows: DataFrame, condition: Column | None = None) -> DataFrame:
+    """One row ``n``: packets in all or in some of the protocols."""
+    n = F.col("n") if condition is None else F.when(condition, F.col("n"))
+    return rows.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n"))
+
+
+def _single(section: str, one_row: DataFrame) -> DataFrame:
+    return one_row.select(
+        F.lit(section).alias("section"),
         F.lit(1).alias("rank"),
-        F.lit("").alias(_KEY),
+        F.lit("").alias("key"),
         "n",
         F.lit(None).cast("double").alias("pct"),
     )
 
 
-def _with_http(df: DataFrame) -> DataFrame:
-    return df.withColumn("__host", F.when(F.col("protocol") == "HTTP", F.col("http_host")))
+def _classes(rows: DataFrame, kind: Column, shares: bool) -> DataFrame:
+    """The four classes from per-protocol rows."""
+
+    def of(name: str) -> Column:
+        return F.coalesce(F.sum(F.when(kind == name, F.col("n"))), F.lit(0))
+
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    counts = rows.agg(
+        of("TCP").alias("tcp_packets"),
+        of("UDP").alias("udp_packets"),
+        of("ICMP").alias("icmp_packets"),
+        (total - of("TCP") - of("UDP") - of("ICMP")).alias("other_packets"),
+        total.alias("total_packets"),
+    )
+    names = F.array(*[F.lit(c) for c in ("TCP", "UDP", "ICMP", "Other")])
+    return class_rows(counts).select(
+        F.lit("class").alias("section"),
+        F.array_position(names, F.col("protocol_class")).cast("int").alias("rank"),
+        F.col("protocol_class").alias("key"),
+        "n",
+        (F.col("pct") if shares else F.lit(None).cast("double")).alias("pct"),
+    )
 
 
 def traffic_report(df: DataFrame, k: int = 10) -> DataFrame:
@@ -43,33 +72,24 @@ def traffic_report(df: DataFrame, k: int = 10) -> DataFrame:
     Shares are of all packets, for hosts of the HTTP packets. The protocol list
     is whole, the others hold ``k`` entries.
     """
-    lists = section_counts(
-        _with_http(df),
-        [
-            ("protocol", "protocol"),
-            ("source", "src_ip"),
-            ("destination", "dst_ip"),
-            ("http_host", "__host"),
-        ],
+    rows = _per_protocol(df)
+    total, http = _count(rows), _count(rows, F.col("protocol") == "HTTP")
+    # the test reads ``n`` as well, so it stays above the shared grouping
+    labelled = F.when(has_text(F.col("protocol")), F.col("n")) > 0
+    protocols = rows.filter(labelled).select(
+        F.lit("protocol").alias("section"), F.col("protocol").alias("key"), "n"
     )
-    sums = df.agg(
-        F.count("*").alias("total"), F.count_if(F.col("protocol") == "HTTP").alias("http")
-    )
-    total, http = sums.select("total").scalar(), sums.select("http").scalar()
-    protocols = lists.filter(F.col("section") == "protocol")
-    ranked = top_per_section(protocols, None).unionByName(
-        top_per_section(lists.filter(F.col("section") != "protocol"), k)
-    )
-    base = F.when(F.col("section") == "http_host", http).otherwise(total)
-    rows = ranked.select("section", "rank", _KEY, "n", percent(F.col("n"), base, 2).alias("pct"))
-    http_row = sums.select(
-        F.lit("http_requests").alias("section"),
-        F.lit(1).alias("rank"),
-        F.lit("").alias(_KEY),
-        F.col("http").alias("n"),
-        F.lit(None).cast("double").alias("pct"),
+    host = F.when(F.col("protocol") == "HTTP", F.col("http_host"))
+    sections = [("source", "src_ip"), ("destination", "dst_ip"), ("http_host", "__host")]
+    lists = section_counts(df.withColumn("__host", host), sections)
+    ranked = top_per_section(protocols, None).unionByName(top_per_section(lists, k))
+    base = F.when(F.col("section") == "http_host", http.scalar()).otherwise(total.scalar())
+    shares = ranked.select("section", "rank", "key", "n", percent(F.col("n"), base, 2).alias("pct"))
+    return (
+        _single("total_packets", total)
+        .unionByName(shares)
+        .unionByName(_single("http_requests", http))
     )
-    return _total_row(df).unionByName(rows).unionByName(http_row)
 
 
 _SECTION_ORDER = [
@@ -94,7 +114,7 @@ def report_lines(df: DataFrame, k: int = 10) -> DataFrame:
     report = traffic_report(df, k)
     number = F.array_position(F.array(*[F.lit(s) for s in _SECTION_ORDER]), F.col("section"))
     indent = F.when(F.col("section") == "http_host", F.lit("    ")).otherwise(F.lit("  "))
-    entry = F.format_string("%s%s: %d (%.2f%%)", indent, F.col(_KEY), F.col("n"), F.col("pct"))
+    entry = F.format_string("%s%s: %d (%.2f%%)", indent, F.col("key"), F.col("n"), F.col("pct"))
     line = (
         F.when(F.col("section") == "total_packets", F.format_string("Total Packets: %d", F.col("n")))
         .when(
@@ -106,7 +126,7 @@ def report_lines(df: DataFrame, k: int = 10) -> DataFrame:
     body = report.select(
         number.cast("int").alias("section_no"), F.col("rank").alias("line_no"), line.alias("line")
     )
-    http = df.agg(F.count_if(F.col("protocol") == "HTTP")).scalar()
+    http = _count(_per_protocol(df), F.col("protocol") == "HTTP").scalar()
     rows = ", ".join(
         f"({_SECTION_ORDER.index(s) + 1}, 0, '{text}')" for s, text in _HEADINGS.items()
     )
@@ -115,55 +135,43 @@ def report_lines(df: DataFrame, k: int = 10) -> DataFrame:
     return body.unionByName(headings).orderBy("section_no", "line_no")
 
 
-def _class_section(classes: DataFrame) -> DataFrame:
-    rows = class_rows(classes)
-    order = F.array_position(F.array(*[F.lit(c) for c in ("TCP", "UDP", "ICMP", "Other")]), F.col("protocol_class"))
-    return rows.select(
-        F.lit("class").alias("section"),
-        order.cast("int").alias("rank"),
-        F.col("protocol_class").alias(_KEY),
-        "n",
-        "pct",
-    )
-
-
 def capture_summary(df: DataFrame, k: int = 10) -> DataFrame:
-    """Totals, seconds, transport shares and the top sources, destinations and ports.
+    """Totals, duration, transport shares and the top sources, destinations and ports.
 
     ``n`` of the duration row is whole milliseconds. Ports are the destination
     ports of TCP and UDP packets; shares have one decimal.
     """
-    on_port = transport_of(F.col("protocol")).isin("TCP", "UDP")
-    listed = section_counts(
-        df.withColumn("__port", F.when(on_port, F.col("dst_port"))),
-        [("source", "src_ip"), ("destination", "dst_ip"), ("port", "__port")],
-    )
-    total = F.greatest(df.agg(F.count("*")).scalar(), F.lit(1))
+    rows = _per_protocol(df)
+    total = _count(rows)
+    transport = transport_of(F.col("protocol"))
+    port = F.when(transport.isin("TCP", "UDP"), F.col("dst_port"))
+    sections = [("source", "src_ip"), ("destination", "dst_ip"), ("port", "__port")]
+    listed = section_counts(df.withColumn("__port", port), sections)
+    base = F.greatest(total.scalar(), F.lit(1))
     lists = top_per_section(listed, k, numeric=("port",)).select(
-        "section", "rank", _KEY, "n", F.round(F.lit(100.0) * F.col("n") / total, 1).alias("pct")
+        "section", "rank", "key", "n", F.round(F.lit(100.0) * F.col("n") / base, 1).alias("pct")
     )
-
-    def millis(c: Column) -> Column:
-        return F.round(epoch_seconds(c) * 1000).cast("bigint")
-
-    span = df.agg((millis(F.max("ts")) - millis(F.min("ts"))).alias("n")).select(
-        F.lit("duration_ms").alias("section"),
-        F.lit(1).alias("rank"),
-        F.lit("").alias(_KEY),
-        F.coalesce("n", F.lit(0)).alias("n"),
-        F.lit(None).cast("double").alias("pct"),
+    span = epoch_micros(F.max("ts")) - epoch_micros(F.min("ts"))
+    duration = df.agg(F.coalesce(F.round(span / 1000).cast("bigint"), F.lit(0)).alias("n"))
+    return (
+        _single("total_packets", total)
+        .unionByName(_single("duration_ms", duration))
+        .unionByName(_classes(rows, transport, shares=True))
+        .unionByName(lists)
     )
-    classes = _class_section(class_counts_layer(df))
-    return _total_row(df).unionByName(span).unionByName(classes).unionByName(lists)
 
 
 def viewer_summary(df: DataFrame) -> DataFrame:
     """Total, class counts by label, and the five top sources, destinations and ports."""
+    rows = _per_protocol(df)
     lists = top5_sections(df).select(
-        "section", "rank", _KEY, "n", F.lit(None).cast("double").alias("pct")
+        "section", "rank", "key", "n", F.lit(None).cast("double").alias("pct")
+    )
+    return (
+        _single("total_packets", _count(rows))
+        .unionByName(_classes(rows, F.col("protocol"), shares=False))
+        .unionByName(lists)
     )
-    classes = _class_section(class_counts_exact(df)).withColumn("pct", F.lit(None).cast("double"))
-    return _total_row(df).unionByName(classes).unionByName(lists)
 
 
 def protocol_chart(df: DataFrame) -> DataFrame:
