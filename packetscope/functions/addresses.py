@@ -12,20 +12,20 @@ from packetscope.constants import PRIVATE_V6, PUBLIC_V6_EXCEPTIONS
 from packetscope.functions.text import any_of, flag
 
 _OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_V4 = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
-_V4_TAIL = rf":{_OCTET}(\.{_OCTET}){{3}}$"
+_V4 = rf"^{_OCTET}(\.{_OCTET}){{3}}\z"
+_V4_TAIL = rf":{_OCTET}(\.{_OCTET}){{3}}\z"
 _PREFIX = r"^(10\.|127\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.)"
 
 # A well-formed address that starts like one of the reserved ranges; two single
 # addresses of 192.0.0.0/24 are public.
-_RESERVED_V4 = rf"^(?={_OCTET}(\.{_OCTET}){{3}}$)(?:" + "|".join(
+_RESERVED_V4 = rf"^(?={_OCTET}(\.{_OCTET}){{3}}\z)(?:" + "|".join(
     [
         r"(0|10|127|24\d|25[0-5])\.",
         r"169\.254\.",
         r"172\.(1[6-9]|2\d|3[01])\.",
         r"192\.168\.",
         r"192\.0\.2\.",
-        r"192\.0\.0\.(?!(9|10)$)",
+        r"192\.0\.0\.(?!(9|10)\z)",
         r"198\.1[89]\.",
         r"198\.51\.100\.",
         r"203\.0\.113\.",
@@ -49,8 +49,8 @@ def ipv4_number(ip: Column) -> Column:
 
 def _dotted_tail_as_groups(text: Column) -> Column:
     """``::ffff:10.0.0.1`` with its last part as two ordinary groups."""
-    tail = F.regexp_extract(text, r"(\d+\.\d+\.\d+\.\d+)$", 1)
-    head = F.regexp_replace(text, r"\d+\.\d+\.\d+\.\d+$", "")
+    tail = F.regexp_extract(text, r"(\d+\.\d+\.\d+\.\d+)\z", 1)
+    head = F.regexp_replace(text, r"\d+\.\d+\.\d+\.\d+\z", "")
     digits = F.lpad(F.lower(F.hex(ipv4_number(tail))), 8, "0")
     grouped = F.concat(head, F.regexp_replace(digits, "^(....)", "$1:"))
     return F.when(text.rlike(_V4_TAIL), grouped).otherwise(text)
@@ -74,7 +74,7 @@ def _all_groups(halves: Column) -> Column:
 
 def _digits(groups: Column) -> Column:
     padded = F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")
-    sound = (F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    sound = (F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike(r"^[0-9a-f]{1,4}\z"))
     return F.when(sound, padded)
 
 

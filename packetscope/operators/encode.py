@@ -231,7 +231,7 @@ def parse_raw_data(text: Column) -> Column:
     stands for its own character codes (one byte each up to U+00FF, else UTF-8).
     """
     numbers = F.from_json(text, "array<int>")
-    is_list = text.rlike(r"^\[\s*\d+(\s*,\s*\d+)*\s*\]$") & F.coalesce(
+    is_list = text.rlike(r"^\[\s*(\d+(\s*,\s*\d+)*)?\s*\]$") & F.coalesce(
         F.forall(numbers, lambda n: n.between(0, 255)), F.lit(False)
     )
     listed = F.unhex(F.array_join(F.transform(numbers, lambda n: F.lpad(F.hex(n), 2, "0")), ""))
