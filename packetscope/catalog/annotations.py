@@ -8,7 +8,7 @@ from packetscope.catalog import sql
 from packetscope.catalog.registry import query
 from packetscope.constants import PROTOCOL_FAMILIES
 from packetscope.functions.addresses import direction, network_context
-from packetscope.operators import rules
+from packetscope.operators import filters, rules
 from packetscope.operators.lookups import with_icmp_meaning, with_protocol_family
 
 _M = "tcp_flags_mask"
@@ -16,21 +16,22 @@ _M = "tcp_flags_mask"
 
 @query(
     "tcp_purpose",
-    f""" SELECT packet_id, CASE WHEN {_M} & 18 = 18 THEN 'SYN_ACK' WHEN {_M} & 2 <> 0 THEN 'SYN'
+    f""" SELECT packet_id, CASE WHEN protocol <> 'TCP' THEN NULL WHEN {_M} & 18 = 18 THEN 'SYN_ACK' WHEN {_M} & 2 <> 0 THEN 'SYN'
  WHEN {_M} & 17 = 17 THEN 'FIN_ACK' WHEN {_M} & 1 <> 0 THEN 'FIN' WHEN {_M} & 4 <> 0 THEN 'RST'
  WHEN {_M} & 24 = 24 THEN 'PSH_ACK' WHEN {_M} & 16 <> 0 THEN 'ACK' END AS purpose FROM packets""",
 )
 def tcp_purpose(packets):
-    return packets.select("packet_id", rules.tcp_purpose(F.col(_M)).alias("purpose"))
+    purpose = rules.on_tcp(F.col("protocol"), rules.tcp_purpose(F.col(_M)))
+    return packets.select("packet_id", purpose.alias("purpose"))
 
 
 @query(
     "tcp_abnormal",
     f""" SELECT packet_id, {sql.one(f'{_M} & 3 = 3')} AS syn_fin, {sql.one(f'{_M} & 6 = 6')} AS syn_rst
- FROM packets""",
+ FROM packets WHERE protocol = 'TCP'""",
 )
 def tcp_abnormal(packets):
-    return packets.select(
+    return packets.filter(filters.protocol_matches("TCP")).select(
         "packet_id", rules.syn_fin(F.col(_M)).alias("syn_fin"), rules.syn_rst(F.col(_M)).alias("syn_rst")
     )
 
@@ -98,11 +99,12 @@ def ttl_class(packets):
 
 @query(
     "window_class",
-    """ SELECT packet_id, CASE WHEN tcp_window IS NULL THEN NULL WHEN tcp_window < 1000 THEN 'small'
+    """ SELECT packet_id, CASE WHEN protocol <> 'TCP' OR tcp_window IS NULL THEN NULL WHEN tcp_window < 1000 THEN 'small'
  WHEN tcp_window > 65000 THEN 'large' ELSE 'normal' END AS window_class FROM packets""",
 )
 def window_class(packets):
-    return packets.select("packet_id", rules.window_class(F.col("tcp_window")).alias("window_class"))
+    size = rules.on_tcp(F.col("protocol"), rules.window_class(F.col("tcp_window")))
+    return packets.select("packet_id", size.alias("window_class"))
 
 
 @query(

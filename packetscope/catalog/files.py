@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from packetscope.catalog import sql
 from packetscope.catalog.registry import query
 from packetscope.constants import BASIC_FEATURES
+from packetscope.functions.text import utc_clock
 from packetscope.operators import decode, encode
 from packetscope.session import scratch_path
 from packetscope.sources.captures import (
@@ -64,7 +65,7 @@ def loaded_features(packets):
     spark = packets.sparkSession
     path = scratch_path(spark, "capture-basic")
     write_capture(packets, path, "basic")
-    return load_features(spark, path)
+    return load_features(spark, path).drop("packet_id")
 
 
 @query("pcap_scan", f", {sql.FRAMES} SELECT ts, frame_hex FROM frames")
@@ -74,7 +75,7 @@ def pcap_scan(packets):
     path = scratch_path(spark, "pcap")
     write_pcap(encode.frames(packets), path)
     return read_pcap(spark, path).select(
-        F.col("ts").cast("timestamp_ntz").alias("ts"), F.hex("frame").alias("frame_hex")
+        utc_clock(F.col("ts")).alias("ts"), F.hex("frame").alias("frame_hex")
     )
 
 

@@ -261,11 +261,11 @@ def report_lines(packets):
 
 @query(
     "capture_summary",
-    f"""{_LISTS} {_TOTAL_ROW} UNION ALL SELECT 'duration_ms', 1, '',
- CAST(round(epoch_us(max(ts)) / 1000.0) - round(epoch_us(min(ts)) / 1000.0) AS BIGINT), NULL FROM packets
+    f"""{_LISTS}, rows_(section, rank, key, n, pct) AS ({_TOTAL_ROW} UNION ALL SELECT 'duration_ms', 1, '',
+ CAST(round((epoch_us(max(ts)) - epoch_us(min(ts))) / CAST(1000 AS DOUBLE)) AS BIGINT), NULL FROM packets
  UNION ALL {_class_rows(f'({sql.TRANSPORT})', True)}
- UNION ALL {_ranked('src', 10, pct=_share(_TOTAL, 1))} UNION ALL {_ranked('dst', 10, pct=_share(_TOTAL, 1))}
- UNION ALL {_ranked('dst_ports', 10, 'port', _share(_TOTAL, 1))}""",
+ UNION ALL {_ranked('src', None, pct=_share(_TOTAL, 1))} UNION ALL {_ranked('dst', None, pct=_share(_TOTAL, 1))}
+ UNION ALL {_ranked('dst_ports', None, 'port', _share(_TOTAL, 1))}) SELECT section, key, n, pct FROM rows_""",
 )
 def capture_summary(packets):
     return reports.capture_summary(packets)

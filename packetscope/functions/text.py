@@ -101,6 +101,11 @@ def epoch_seconds(ts: Column) -> Column:
     )
 
 
+def utc_clock(ts: Column) -> Column:
+    """TIMESTAMP as the TIMESTAMP_NTZ a UTC clock showed, whatever the session zone is."""
+    return F.convert_timezone(None, F.lit("UTC"), ts.cast("timestamp_ntz"))
+
+
 def epoch_micros(ts: Column) -> Column:
     """Microseconds since 1970 as BIGINT, read off the clock fields."""
     whole = (

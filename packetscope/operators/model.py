@@ -239,20 +239,15 @@ def compare_models(
 
     Only measured values. With ``output_dir`` both models are saved there.
     """
-    parts = []
+    measured = {}
     for name, table in (("basic", basic), ("detailed", detailed)):
         model, predicted = split_and_train(table, name, trees, depth)
         if output_dir is not None:
             model.save(os.path.join(output_dir, f"{name}_model"))
-        parts.append(
-            accuracy(as_scored(predicted)).select(
-                F.col("accuracy").alias(f"{name}_accuracy"),
-                F.lit(len(model.feature_columns)).alias(f"{name}_features"),
-                F.lit(1).alias("__one"),
-            )
-        )
-    # two one-row tables side by side
-    both = parts[0].join(parts[1], "__one").drop("__one")
+        measured[f"{name}_accuracy"] = accuracy(as_scored(predicted)).scalar()
+        measured[f"{name}_features"] = F.lit(len(model.feature_columns))
+    one_row = basic.sparkSession.range(1)
+    both = one_row.select(*[value.alias(name) for name, value in measured.items()])
     gain = F.round(F.col("detailed_accuracy") - F.col("basic_accuracy"), 6)
     return both.select(
         "*",

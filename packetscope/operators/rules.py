@@ -24,6 +24,11 @@ def tcp_purpose(mask: Column) -> Column:
     )
 
 
+def on_tcp(protocol: Column, value: Column) -> Column:
+    """``value`` for packets labelled TCP; notes on control bits and windows are for those."""
+    return F.when(F.upper(protocol) == "TCP", value)
+
+
 def syn_fin(mask: Column) -> Column:
     return flag(has_all(mask, "SYN", "FIN"))
 

@@ -19,22 +19,25 @@ _RANGE = "__range"
 _ROW_BITS = 33
 
 
-def _in_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
+def _in_ranges(df: DataFrame, order: list[Column] | None) -> DataFrame:
     """Sorted copy with the range number and the place inside the range.
 
+    Without an order the rows stay as they are read, partition by partition.
+
     The copy is checkpointed: both later passes must see the same ranges, also
     after an executor is lost.
     """
     shared_dir(df.sparkSession)
-    placed = df.orderBy(*order).withColumn(_POS, F.monotonically_increasing_id())
+    rows = df if order is None else df.orderBy(*order)
+    placed = rows.withColumn(_POS, F.monotonically_increasing_id())
     return placed.withColumn(_RANGE, F.shiftright(_POS, _ROW_BITS)).checkpoint()
 
 
 def _with_offsets(ranges: DataFrame, totals: dict[str, Column]) -> DataFrame:
     """Add, per row, the sums of ``totals`` over all earlier ranges.
 
-    The totals table has one row per sort partition, so its size is bounded by
-    the shuffle partition count and it is safe to window in one task and broadcast.
+    The totals table has one row per partition of the copy, so its size is bounded
+    by the partition count and it is safe to window in one task and broadcast.
     """
     per_range = ranges.groupBy(_RANGE).agg(*[c.alias(n) for n, c in totals.items()])
     before = W.orderBy(_RANGE).rowsBetween(W.unboundedPreceding, -1)
@@ -44,8 +47,10 @@ def _with_offsets(ranges: DataFrame, totals: dict[str, Column]) -> DataFrame:
     return ranges.join(F.broadcast(offsets), _RANGE)
 
 
-def number_rows(df: DataFrame, order: list[Column], name: str = "packet_no") -> DataFrame:
-    """Add 1..n in the given total order."""
+def number_rows(
+    df: DataFrame, order: list[Column] | None, name: str = "packet_no"
+) -> DataFrame:
+    """Add 1..n in the given total order, or in the order the rows are read in."""
     ranges = _in_ranges(df, order)
     local = F.col(_POS).bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + 1
     numbered = _with_offsets(ranges, {"__before": F.count(F.lit(1))})

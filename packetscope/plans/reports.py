@@ -135,8 +135,9 @@ def report_lines(df: DataFrame, k: int = 10) -> DataFrame:
     return body.unionByName(headings).orderBy("section_no", "line_no")
 
 
-def capture_summary(df: DataFrame, k: int = 10) -> DataFrame:
-    """Totals, duration, transport shares and the top sources, destinations and ports.
+def capture_summary(df: DataFrame) -> DataFrame:
+    """(section, key, n, pct): totals, duration, transport shares, and every source,
+    destination and port with its count, most frequent first.
 
     ``n`` of the duration row is whole milliseconds. Ports are the destination
     ports of TCP and UDP packets; shares have one decimal.
@@ -148,17 +149,20 @@ def capture_summary(df: DataFrame, k: int = 10) -> DataFrame:
     sections = [("source", "src_ip"), ("destination", "dst_ip"), ("port", "__port")]
     listed = section_counts(df.withColumn("__port", port), sections)
     base = F.greatest(total.scalar(), F.lit(1))
-    lists = top_per_section(listed, k, numeric=("port",)).select(
-        "section", "rank", "key", "n", F.round(F.lit(100.0) * F.col("n") / base, 1).alias("pct")
-    )
+    share = F.round(F.lit(100.0) * F.col("n") / base, 1)
+    lists = listed.select("section", F.lit(None).cast("int").alias("rank"), "key", "n", share.alias("pct"))
     span = epoch_micros(F.max("ts")) - epoch_micros(F.min("ts"))
     duration = df.agg(F.coalesce(F.round(span / 1000).cast("bigint"), F.lit(0)).alias("n"))
-    return (
+    parts = (
         _single("total_packets", total)
         .unionByName(_single("duration_ms", duration))
         .unionByName(_classes(rows, transport, shares=True))
         .unionByName(lists)
     )
+    order = ["total_packets", "duration_ms", "class", "source", "destination", "port"]
+    section = F.array_position(F.array(*[F.lit(name) for name in order]), F.col("section"))
+    sorted_rows = parts.orderBy(section, "rank", F.desc("n"), F.col("key").try_cast("bigint"), "key")
+    return sorted_rows.select("section", "key", "n", "pct")
 
 
 def viewer_summary(df: DataFrame) -> DataFrame:

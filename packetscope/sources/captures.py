@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetscope.operators.features import basic_features, detailed_features
+from packetscope.plans.ordered import number_rows
 from packetscope.sources.layouts import (
     LAYOUTS,
     LayoutError,
@@ -35,7 +36,8 @@ def read_text_rows(spark: SparkSession, path: str, layout: str | None = None) ->
     if layout is not None and layout not in LAYOUTS:
         raise LayoutError(f"unknown layout {layout!r}, expected one of {sorted(LAYOUTS)}")
     header = _header(spark, path)
-    reader = spark.read.option("header", True).option("escape", '"').option("mode", "PERMISSIVE")
+    # files of a folder must agree on the header, or columns would be mixed up
+    reader = spark.read.option("header", True).option("enforceSchema", False).option("escape", '"')
     if layout is None or header != LAYOUTS[layout]:
         return reader.option("inferSchema", False).csv(path)
     return reader.schema(layout_schema(layout)).csv(path)
@@ -46,6 +48,15 @@ def read_capture(spark: SparkSession, path: str, layout: str | None = None) -> D
     return normalise(read_text_rows(spark, path, layout))
 
 
+def read_numbered(spark: SparkSession, path: str) -> DataFrame:
+    """Canonical packets with ``packet_id`` 1..n in file order.
+
+    Lines Spark skips as empty get no number.
+    """
+    rows = read_capture(spark, path).drop("packet_no")
+    return number_rows(rows, None, "packet_id")
+
+
 def detect_source_type(spark: SparkSession, path: str) -> str:
     """``detailed`` if the header says so; anything else, unreadable too, is ``basic``."""
     try:
@@ -55,10 +66,11 @@ def detect_source_type(spark: SparkSession, path: str) -> str:
 
 
 def load_features(spark: SparkSession, path: str, source_type: str | None = None) -> DataFrame:
-    """Feature table of a capture, layout detected unless it is given."""
+    """Feature table of a capture with packet ids, layout detected unless it is given."""
     kind = source_type or detect_source_type(spark, path)
     packets = read_capture(spark, path)
-    return basic_features(packets) if kind == "basic" else detailed_features(packets)
+    table = basic_features(packets) if kind == "basic" else detailed_features(packets)
+    return number_rows(table, None, "packet_id")
 
 
 def write_capture(df: DataFrame, path: str, layout: str = "basic") -> None:

@@ -24,7 +24,7 @@ from packetscope.constants import (
 )
 from packetscope.functions.addresses import frame_direction, packet_direction
 from packetscope.functions.flags import flag_mask, flag_names
-from packetscope.functions.text import blank_to_null, epoch_seconds, to_int, to_long
+from packetscope.functions.text import blank_to_null, epoch_seconds, to_int, to_long, utc_clock
 from packetscope.operators.lookups import protocol_fallback, transport_of
 from packetscope.operators.shaping import ts_text
 
@@ -129,7 +129,7 @@ def normalise(df: DataFrame) -> DataFrame:
     seconds = text("time_epoch").try_cast("decimal(20,6)")
     wall = F.coalesce(
         text("timestamp").try_cast("timestamp_ntz"),
-        F.timestamp_seconds(seconds).cast("timestamp_ntz"),
+        utc_clock(F.timestamp_seconds(seconds)),
     )
     made = {
         "ts": wall,

@@ -201,7 +201,12 @@ def read_pcap(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_pcap(frames: DataFrame, path: str) -> None:
-    """Write (ts, frame) rows as pcap files, one per partition."""
+    """Write (ts, frame) rows as pcap files, one per partition.
+
+    A TIMESTAMP is an instant; a TIMESTAMP_NTZ is read as UTC clock time.
+    """
     register(frames.sparkSession)
-    rows = frames.select(epoch_micros(F.col("ts")).alias("ts_micros"), "frame")
+    instant = dict(frames.dtypes)["ts"] == "timestamp"
+    micros = F.unix_micros("ts") if instant else epoch_micros(F.col("ts"))
+    rows = frames.select(micros.alias("ts_micros"), "frame")
     rows.write.format("pcap").mode("append").save(path)

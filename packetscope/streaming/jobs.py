@@ -48,6 +48,7 @@ def stream_csv(
     """Canonical packets from capture files as they land."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     reader = spark.readStream.schema(schema).option("header", True).option("escape", '"')
+    reader = reader.option("enforceSchema", False)
     if per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
     return normalise(reader.csv(folder))

@@ -3,9 +3,11 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from packetscope.operators import model
-from packetscope.operators.features import DETAILED_FEATURES, basic_features, detailed_features
+from packetscope.operators.features import DETAILED_FEATURES, detailed_features
 from packetscope.operators.metrics import auc
+from packetscope.plans.comparison import compare_captures
 from packetscope.session import scratch_path, written
+from packetscope.sources.captures import write_capture
 
 
 @pytest.fixture(scope="module")
@@ -88,14 +90,13 @@ def test_zscore_without_spread(spark):
     assert {r.x_z for r in model.zscores(frame, ["x"]).collect()} == {0.0}
 
 
-def test_comparison(spark, packets):
-    path = scratch_path(spark, "comparison")
-    compared = written(
-        model.compare_models(basic_features(packets), detailed_features(packets), 4, 4, path), "compared"
-    )
-    row = compared.first()
+def test_comparison_of_two_capture_files(spark, packets):
+    basic, detailed = scratch_path(spark, "basic"), scratch_path(spark, "detailed")
+    write_capture(packets, basic, "basic")
+    write_capture(packets, detailed, "detailed")
+    out = scratch_path(spark, "comparison")
+    row = compare_captures(spark, basic, detailed, out, trees=4, depth=4).first()
     assert (row.basic_features, row.detailed_features, row.feature_gain) == (27, 44, 17)
-    assert model.ThreatModel.load(path + "/basic_model").source_type == "basic"
-    model.write_comparison(compared, path + "/report")
-    lines = [r.value for r in spark.read.text(path + "/report").collect()]
+    assert model.ThreatModel.load(out + "/basic_model").source_type == "basic"
+    lines = [r.value for r in spark.read.text(out + "/comparison_results").collect()]
     assert lines[3] == f"Accuracy: {row.basic_accuracy:.4f}" and "Feature count increase: 17" in lines

@@ -117,3 +117,19 @@ def test_estimates(spark, tmp_path):
 
 def test_scratch_is_under_the_named_folder(spark):
     assert scratch_path(spark, "x").startswith(shared_dir(spark))
+
+
+def test_packets_are_numbered_in_file_order(spark, packets):
+    path = scratch_path(spark, "numbered")
+    captures.write_capture(packets.orderBy("packet_id").coalesce(1), path, "detailed")
+    rows = captures.read_numbered(spark, path)
+    got = [r.src_ip for r in rows.orderBy("packet_id").select("src_ip").collect()]
+    assert got == [r.src_ip for r in packets.orderBy("packet_id").select("src_ip").collect()]
+    assert rows.agg(F.min("packet_id"), F.max("packet_id")).first() == (1, packets.count())
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("source_ip,length\n10.0.0.1,60\n")
+    (tmp_path / "b.csv").write_text("length,source_ip\n60,10.0.0.1\n")
+    with pytest.raises(Exception, match="header"):
+        captures.read_capture(spark, str(tmp_path)).select("src_ip", "length").collect()
