@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Hash prefixes of five hex digits: about a million buckets per class, so the one
-# bucket that has to be ranked stays small however large or uneven a class is.
-_PREFIX_DIGITS = 5
+# Hash prefixes of four hex digits: 65536 even buckets per class. The counts stay a
+# small table, and the one bucket that has to be ranked holds 1/65536 of a class
+# (about 15 million rows of a class of a trillion) however uneven the classes are.
+_PREFIX_DIGITS = 4
 
 
 def _keyed(df: DataFrame, key: str, seed: int) -> DataFrame:
