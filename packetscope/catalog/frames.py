@@ -209,7 +209,7 @@ def sig_frames(packets):
     # total length 0 lets the decoder take everything up to the end of the frame
     patched = F.concat(
         F.substring(digits, 1, 28), version, F.lit("000000"), F.substring(digits, 37, 4), fragment,
-        F.substring(digits, 45, 100000), marker,
+        F.substring(digits, F.lit(45), F.length(digits)), marker,
     )
     frames = encode.with_frame(ip).select("packet_id", "ts", F.unhex(patched).alias("frame"))
     found = with_frame_signatures(decode.frame_headers(frames))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetscope.functions.text import epoch_micros, has_text, percent
+from packetscope.operators.filters import non_zero
 from packetscope.operators.lookups import transport_of
 from packetscope.operators.stats import (
     class_counts_exact,
@@ -180,4 +181,4 @@ def viewer_summary(df: DataFrame) -> DataFrame:
 
 def protocol_chart(df: DataFrame) -> DataFrame:
     """(protocol_class, n, pct) of the classes that occur."""
-    return class_rows(class_counts_exact(df)).filter(F.col("n") > 0)
+    return non_zero(class_rows(class_counts_exact(df)))

@@ -28,22 +28,26 @@ def local_session(cpus: str | int = 8, memory: str = "8g") -> SparkSession:
     return spark
 
 
+# stands in for the shared folder where a local session names none
+_own_dir: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can see, as named by ``spark.checkpoint.dir``.
 
     Only a local master may fall back to a temporary folder; on a cluster a
     machine-local path would lose data together with the executor that wrote it.
     """
+    global _own_dir
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = tempfile.mkdtemp(prefix="packetscope-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        _own_dir = folder = _own_dir or tempfile.mkdtemp(prefix="packetscope-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(configured)
-    return configured
+        sc.setCheckpointDir(folder)
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
