@@ -28,32 +28,35 @@ _HEADER_BYTES = 94
 _ETHERNET = 14
 
 
-def _word(at: Column | int, octets: int) -> Column:
+def _word(at: str | int, octets: int) -> Column:
     """Up to seven bytes of the staged header as one BIGINT; NULL past the end.
 
-    Turning hex digits into a number is the costly step, so neighbouring fields
-    are read as one word and taken apart with shifts.
+    ``at`` is an offset or SQL for one. Turning hex digits into a number is the
+    costly step, so neighbouring fields are read as one word and taken apart.
     """
-    at = F.lit(at) if isinstance(at, int) else at
-    digits = F.substring(F.col("__hex"), at * 2 + 1, F.lit(octets * 2))
-    return F.when(F.col("__size") >= at + octets, F.conv(digits, 16, 10).cast("bigint"))
+    return F.expr(
+        f"CASE WHEN __size >= {at} + {octets} THEN"
+        f" CAST(conv(substring(__hex, ({at}) * 2 + 1, {octets * 2}), 16, 10) AS BIGINT) END"
+    )
+
+
+def _part_sql(word: str, below: int, octets: int) -> str:
+    return f"(shiftright({word}, {8 * below}) & {(1 << (8 * octets)) - 1}L)"
 
 
 def _part(word: str, below: int, octets: int) -> Column:
     """A field of a word with ``below`` bytes after it."""
-    mask = F.lit((1 << (8 * octets)) - 1).cast("bigint")
-    value = F.shiftright(F.col(word), 8 * below).bitwiseAND(mask)
-    return value if octets >= 4 else value.cast("int")
+    return F.expr(f"CAST({_part_sql(word, below, octets)} AS INT)")
 
 
 def _ip_text(word: str) -> Column:
-    octets = [_part(word, i, 1).cast("string") for i in (3, 2, 1, 0)]
-    return F.when(F.col(word).isNotNull(), F.concat_ws(".", *octets))
+    octets = ", ".join(f"CAST({_part_sql(word, i, 1)} AS STRING)" for i in (3, 2, 1, 0))
+    return F.expr(f"CASE WHEN {word} IS NOT NULL THEN concat_ws('.', {octets}) END")
 
 
 def _mac(at: int) -> Column:
-    pairs = [F.substring(F.col("__hex"), 2 * (at + i) + 1, 2) for i in range(6)]
-    return F.when(F.col("__size") >= at + 6, F.concat_ws(":", *pairs))
+    pairs = ", ".join(f"substring(__hex, {2 * (at + i) + 1}, 2)" for i in range(6))
+    return F.expr(f"CASE WHEN __size >= {at} + 6 THEN concat_ws(':', {pairs}) END")
 
 
 def _stage(df: DataFrame) -> DataFrame:
@@ -110,11 +113,10 @@ def _add_ipv4(df: DataFrame) -> DataFrame:
 
 
 def _add_tcp(df: DataFrame) -> DataFrame:
-    at = F.col("__l4")
-    known = (F.col("ip_proto") == 6) & (F.col("__size") >= at + 20)
+    known = (F.col("ip_proto") == 6) & (F.col("__size") >= F.col("__l4") + 20)
     words = {"__t0": (0, 4), "__t4": (4, 4), "__t8": (8, 4), "__t12": (12, 4), "__t16": (16, 4)}
     staged = computed_once(
-        df, {name: F.when(known, _word(at + start, size)) for name, (start, size) in words.items()}
+        df, {name: F.when(known, _word(f"__l4 + {start}", size)) for name, (start, size) in words.items()}
     )
     return computed_once(
         staged,
@@ -133,9 +135,8 @@ def _add_tcp(df: DataFrame) -> DataFrame:
 
 
 def _add_udp(df: DataFrame) -> DataFrame:
-    at = F.col("__l4")
-    known = (F.col("ip_proto") == 17) & (F.col("__size") >= at + 8)
-    words = {"__u0": F.when(known, _word(at, 4)), "__u4": F.when(known, _word(at + 4, 4))}
+    known = (F.col("ip_proto") == 17) & (F.col("__size") >= F.col("__l4") + 8)
+    words = {"__u0": F.when(known, _word("__l4", 4)), "__u4": F.when(known, _word("__l4 + 4", 4))}
     return computed_once(
         computed_once(df, words),
         {
@@ -150,12 +151,11 @@ def _add_udp(df: DataFrame) -> DataFrame:
 def _add_icmp(df: DataFrame) -> DataFrame:
     # type and code may be all a short frame has, so they are read one by one
     known = F.col("ip_proto") == 1
-    at = F.col("__l4")
     return computed_once(
         df,
         {
-            "icmp_type": F.when(known, _word(at, 1)).cast("int"),
-            "icmp_code": F.when(known, _word(at + 1, 1)).cast("int"),
+            "icmp_type": F.when(known, _word("__l4", 1)).cast("int"),
+            "icmp_code": F.when(known, _word("__l4 + 1", 1)).cast("int"),
         },
     )
 

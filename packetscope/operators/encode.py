@@ -15,39 +15,34 @@ from packetscope.plans.staged import computed_once
 _EMPTY = ""
 
 
-def number_hex(value: Column, octets: int) -> Column:
-    """Big-endian hex digits of a number, its low ``octets`` bytes; NULL is 0."""
-    low = F.coalesce(value.cast("bigint"), F.lit(0).cast("bigint"))
-    kept = low.bitwiseAND(F.lit((1 << (8 * octets)) - 1).cast("bigint"))
-    return F.lpad(F.hex(kept), 2 * octets, "0")
+def packed(*fields: tuple[str, int]) -> Column:
+    """Big-endian hex digits of neighbouring numbers, seven bytes at most.
 
-
-def packed(*fields: tuple[Column, int]) -> Column:
-    """Hex digits of several neighbouring numbers (value, octets), seven bytes at most.
-
-    One conversion for all of them instead of one each.
+    Fields are (SQL of the value, octets); a value keeps its low bytes and NULL is
+    0. One conversion serves all of them.
     """
-    total = F.lit(0).cast("bigint")
-    width = 0
-    for value, octets in fields:
-        low = F.coalesce(value.cast("bigint"), F.lit(0).cast("bigint"))
-        kept = low.bitwiseAND(F.lit((1 << (8 * octets)) - 1).cast("bigint"))
-        total = kept if width == 0 else F.shiftleft(total, 8 * octets).bitwiseOR(kept)
+    total, width = "", 0
+    for value, octets in reversed(fields):
+        low = f"(coalesce(CAST({value} AS BIGINT), 0L) & {(1 << (8 * octets)) - 1}L)"
+        total += (" | " if total else "") + f"shiftleft({low}, {8 * width})"
         width += octets
-    return F.lpad(F.hex(total), 2 * width, "0")
+    return F.expr(f"lpad(hex({total}), {2 * width}, '0')")
+
+
+def number_hex(value: str, octets: int) -> Column:
+    return packed((value, octets))
 
 
 def _const(digits: str) -> Column:
     return F.lit(digits)
 
 
-def mac_hex(mac: Column) -> Column:
-    return F.upper(F.replace(F.coalesce(mac, F.lit("00:00:00:00:00:00")), F.lit(":"), F.lit("")))
+def mac_hex(mac: str) -> Column:
+    return F.expr(f"upper(replace(coalesce({mac}, '00:00:00:00:00:00'), ':', ''))")
 
 
-def ip_hex(ip: Column) -> Column:
-    octets = F.split(ip, r"\.")
-    return packed(*[(F.get(octets, F.lit(i)), 1) for i in range(4)])
+def ip_hex(ip: str) -> Column:
+    return packed(*[(f"split_part({ip}, '.', {i})", 1) for i in (1, 2, 3, 4)])
 
 
 def text_hex(text: Column) -> Column:
@@ -56,7 +51,8 @@ def text_hex(text: Column) -> Column:
 
 def _sized(body: Column, octets: int) -> Column:
     """Length prefix and body, both as hex."""
-    return F.concat(number_hex(F.length(body) / 2, octets), body)
+    size = F.lpad(F.hex((F.length(body) / 2).cast("bigint")), 2 * octets, "0")
+    return F.concat(size, body)
 
 
 def _tlv(tag: str, body: Column) -> Column:
@@ -89,10 +85,10 @@ def http_payload() -> Column:
 def dns_payload() -> Column:
     """A query with one question."""
     return F.concat(
-        number_hex(F.col("packet_id"), 2),
+        number_hex("packet_id", 2),
         _const("0100" "0001" "0000" "0000" "0000"),
         dns_name_hex(F.col("dns_query")),
-        number_hex(F.col("dns_qtype"), 2),
+        number_hex("dns_qtype", 2),
         _const("0001"),
     )
 
@@ -101,10 +97,10 @@ def dhcp_payload() -> Column:
     """Fixed part (236 bytes, mostly empty), cookie, message type option, end."""
     return F.concat(
         _const("01010600"),
-        number_hex(F.col("packet_id"), 4),
+        number_hex("packet_id", 4),
         F.repeat(F.lit("00"), 228),
         _const("63825363" "3501"),
-        number_hex(F.col("dhcp_type_code"), 1),
+        number_hex("dhcp_type_code", 1),
         _const("FF"),
     )
 
@@ -115,19 +111,19 @@ def snmp_payload() -> Column:
     value = _tlv("04", text_hex(F.concat(F.lit("v"), F.col("packet_id").cast("string"))))
     bindings = _tlv("30", _tlv("30", F.concat(oid, value)))
     pdu_body = F.concat(
-        _tlv("02", number_hex(F.col("packet_id"), 4)), _const("020100"), _const("020100"), bindings
+        _tlv("02", number_hex("packet_id", 4)), _const("020100"), _const("020100"), bindings
     )
-    tag = number_hex(F.lit(0xA0) + F.col("snmp_pdu_code"), 1)
+    tag = number_hex("160 + snmp_pdu_code", 1)
     pdu = F.concat(tag, _sized(pdu_body, 1))
     return _tlv("30", F.concat(_const("020101"), _tlv("04", text_hex(F.lit("public"))), pdu))
 
 
 def tls_payload() -> Column:
     """Record header, then the handshake type or two bytes of cover text."""
-    handshake = F.concat(number_hex(F.col("tls_handshake_type"), 1), _const("000000"))
+    handshake = F.concat(number_hex("tls_handshake_type", 1), _const("000000"))
     body = F.when(F.col("tls_handshake_type").isNotNull(), handshake).otherwise(_const("FFFF"))
     return F.concat(
-        number_hex(F.col("tls_content_type"), 1), number_hex(F.col("tls_version"), 2), _sized(body, 2)
+        number_hex("tls_content_type", 1), number_hex("tls_version", 2), _sized(body, 2)
     )
 
 
@@ -144,30 +140,31 @@ def _payload() -> Column:
 
 
 def _ports() -> Column:
-    return packed((F.col("src_port"), 2), (F.col("dst_port"), 2))
+    return packed(("src_port", 2), ("dst_port", 2))
 
 
 def tcp_header() -> Column:
     """Ports, sequence and acknowledgement 1, 20 bytes, bits, window, no checksum."""
-    bits = packed((F.lit(0x50), 1), (F.col("tcp_flags_mask"), 1), (F.col("tcp_window"), 2))
+    bits = packed(("80", 1), ("tcp_flags_mask", 1), ("tcp_window", 2))
     return F.concat(_ports(), _const("00000001" "00000001"), bits, _const("0000" "0000"))
 
 
-def udp_header(payload: Column) -> Column:
+def udp_header() -> Column:
     """Ports, length of header and payload, checksum unused."""
-    return F.concat(_ports(), packed((F.length(payload) / 2 + 8, 2), (F.lit(0), 2)))
+    return F.concat(_ports(), packed(("length(__p) / 2 + 8", 2), ("0", 2)))
 
 
 def icmp_header() -> Column:
-    kind = packed((F.col("icmp_type"), 1), (F.col("icmp_code"), 1))
+    kind = packed(("icmp_type", 1), ("icmp_code", 1))
     return F.concat(kind, _const("0000" "00010001"))
 
 
-def ipv4_header(number: Column, body: Column) -> Column:
+def ipv4_header() -> Column:
     """20-byte header: don't-fragment set, id from the packet number, no checksum."""
+    number = "CASE __t WHEN 'TCP' THEN 6 WHEN 'UDP' THEN 17 ELSE 1 END"
     return F.concat(
-        packed((F.lit(0x4500), 2), (F.length(body) / 2 + 20, 2), (F.col("packet_id"), 2)),
-        packed((F.lit(0x4000), 2), (F.col("ttl"), 1), (number, 1), (F.lit(0), 2)),
+        packed(("17664", 2), ("length(__b) / 2 + 20", 2), ("packet_id", 2)),
+        packed(("16384", 2), ("ttl", 1), (number, 1), ("0", 2)),
         F.col("__src_ip"),
         F.col("__dst_ip"),
     )
@@ -190,21 +187,18 @@ def with_frame(df: DataFrame) -> DataFrame:
     """Add ``frame``: Ethernet bytes of each packet."""
     transport = transport_of(F.col("protocol"))
     addresses = {
-        "__src_mac": mac_hex(F.col("src_mac")),
-        "__dst_mac": mac_hex(F.col("dst_mac")),
-        "__src_ip": ip_hex(F.col("src_ip")),
-        "__dst_ip": ip_hex(F.col("dst_ip")),
+        "__src_mac": mac_hex("src_mac"),
+        "__dst_mac": mac_hex("dst_mac"),
+        "__src_ip": ip_hex("src_ip"),
+        "__dst_ip": ip_hex("dst_ip"),
     }
     staged = computed_once(computed_once(df, addresses), {"__t": transport, "__p": _payload()})
     body = (
         F.when(F.col("__t") == "TCP", F.concat(tcp_header(), F.col("__p")))
-        .when(F.col("__t") == "UDP", F.concat(udp_header(F.col("__p")), F.col("__p")))
+        .when(F.col("__t") == "UDP", F.concat(udp_header(), F.col("__p")))
         .when(F.col("__t") == "ICMP", icmp_header())
         .otherwise(F.lit(_EMPTY))
     )
-    number = (
-        F.when(F.col("__t") == "TCP", F.lit(6)).when(F.col("__t") == "UDP", F.lit(17)).otherwise(F.lit(1))
-    )
     staged = computed_once(staged, {"__b": body})
     is_arp = F.col("protocol") == "ARP"
     digits = F.concat(
@@ -212,7 +206,7 @@ def with_frame(df: DataFrame) -> DataFrame:
         F.col("__src_mac"),
         F.when(is_arp, _const("0806")).otherwise(_const("0800")),
         F.when(is_arp, arp_body()).otherwise(
-            F.concat(ipv4_header(number, F.col("__b")), F.col("__b"))
+            F.concat(ipv4_header(), F.col("__b"))
         ),
     )
     made = computed_once(staged, {"frame": F.unhex(digits)})

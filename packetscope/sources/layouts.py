@@ -19,12 +19,13 @@ from packetscope.constants import (
     DETAILED_COLUMNS,
     DETAILED_MARKERS,
     RAW_COLUMNS,
+    SENTINELS,
     SAVED_COLUMNS,
     TSHARK_COLUMNS,
 )
 from packetscope.functions.addresses import frame_direction, packet_direction
 from packetscope.functions.flags import flag_mask, flag_names
-from packetscope.functions.text import blank_to_null, epoch_seconds, to_int, to_long, utc_clock
+from packetscope.functions.text import epoch_seconds, to_int, to_long, utc_clock
 from packetscope.operators.lookups import protocol_fallback, transport_of
 from packetscope.operators.shaping import ts_text
 
@@ -103,6 +104,9 @@ def detect_layout(columns: list[str]) -> str:
     return "detailed" if any(c in columns for c in DETAILED_MARKERS) else "basic"
 
 
+_SENTINELS = ", ".join(f"'{s}'" for s in SENTINELS)
+
+
 def _first_alias(columns: list[str], name: str) -> str | None:
     return next((a for a in ALIASES[name] if a in columns), None)
 
@@ -115,7 +119,7 @@ def normalise(df: DataFrame) -> DataFrame:
         alias = _first_alias(columns, name)
         if alias is None:
             return F.lit(None).cast("string")
-        return blank_to_null(F.col(f"`{alias}`").cast("string"))
+        return F.expr(f"CASE WHEN `{alias}` NOT IN ({_SENTINELS}) THEN `{alias}` END")
 
     # hex control bits such as 0x0012 win over names where a layout has them
     hex_bits = F.conv(F.regexp_extract(text("tcp_flags_hex"), r"^0x([0-9a-fA-F]+)$", 1), 16, 10)
