@@ -154,48 +154,52 @@ def normalise(df: DataFrame) -> DataFrame:
     return df.select(*[typed(n, k).alias(n) for n, k in CANONICAL.items()])
 
 
-def _sentinel(c: Column, absent: str) -> Column:
-    return F.coalesce(c.cast("string"), F.lit(absent))
-
-
-def _column(df: DataFrame, name: str) -> Column:
-    return F.col(name) if name in df.columns else F.lit(None)
-
-
 def to_layout(df: DataFrame, layout: str) -> DataFrame:
     """Canonical packets as text rows of a layout, missing values as its writers put them."""
     if layout not in LAYOUTS:
         raise LayoutError(f"unknown layout {layout!r}, expected one of {sorted(LAYOUTS)}")
-    c = lambda name: _column(df, name)
-    ts, mask = F.col("ts"), F.col("tcp_flags_mask")
-    direction = packet_direction(c("protocol"), c("src_ip"), c("dst_ip"))
-    on_tcp = transport_of(c("protocol")) == "TCP"
-    named = {
-        "timestamp": ts_text(ts, millis=layout == "raw"),
-        "Time": ts_text(ts),
-        "frame.time_epoch": F.format_string("%.6f", epoch_seconds(ts)),
-        "protocol": c("protocol"),
-        "packet_direction": frame_direction(
-            c("protocol"), c("arp_opcode"), c("src_ip"), c("dst_ip"), c("dst_mac")
-        )
-        if layout == "raw"
-        else direction,
-        "#": c("packet_no") if "packet_no" in df.columns else c("packet_id"),
-        "TCP Flags": F.nullif(flag_names(mask, "+"), F.lit("None")),
-        "tcp_flags": F.nullif(flag_names(mask, " ", 6), F.lit("None"))
-        if layout == "raw"
-        else flag_names(mask),
-        "tcp.flags": F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(mask)), 4, "0")),
-        "TLS Version": c("tls_version"),
-        "tcp.srcport": F.when(on_tcp, c("src_port")),
-        "tcp.dstport": F.when(on_tcp, c("dst_port")),
+    have = set(df.columns)
+
+    def c(name: str) -> Column:
+        return F.col(name) if name in have else F.lit(None)
+
+    def direction() -> Column:
+        if layout == "raw":
+            return frame_direction(
+                c("protocol"), c("arp_opcode"), c("src_ip"), c("dst_ip"), c("dst_mac")
+            )
+        return packet_direction(c("protocol"), c("src_ip"), c("dst_ip"))
+
+    def flag_text() -> Column:
+        if layout == "raw":
+            return F.nullif(flag_names(c("tcp_flags_mask"), " ", 6), F.lit("None"))
+        return flag_names(c("tcp_flags_mask"))
+
+    def tcp_only(name: str) -> Column:
+        return F.when(transport_of(c("protocol")) == "TCP", c(name))
+
+    # columns that are not just a canonical one written as text
+    rendered = {
+        "timestamp": lambda: ts_text(c("ts"), millis=layout == "raw"),
+        "Time": lambda: ts_text(c("ts")),
+        "frame.time_epoch": lambda: F.format_string("%.6f", epoch_seconds(c("ts"))),
+        "packet_direction": direction,
+        "#": lambda: c("packet_no" if "packet_no" in have else "packet_id"),
+        "TCP Flags": lambda: F.nullif(flag_names(c("tcp_flags_mask"), "+"), F.lit("None")),
+        "tcp_flags": flag_text,
+        "tcp.flags": lambda: F.concat(
+            F.lit("0x"), F.lpad(F.lower(F.hex(c("tcp_flags_mask"))), 4, "0")
+        ),
+        "TLS Version": lambda: c("tls_version"),
+        "tcp.srcport": lambda: tcp_only("src_port"),
+        "tcp.dstport": lambda: tcp_only("dst_port"),
     }
-    absent = "" if layout in ("detailed", "tshark", "saved") else "N/A"
+    absent = F.lit("" if layout in ("detailed", "tshark", "saved") else "N/A")
     canonical = {alias: name for name, aliases in ALIASES.items() for alias in aliases}
     cells = []
     for column in LAYOUTS[layout]:
-        value = named[column] if column in named else c(canonical[column])
-        cells.append(_sentinel(value, absent).alias(column))
+        value = rendered[column]() if column in rendered else c(canonical[column])
+        cells.append(F.coalesce(value.cast("string"), absent).alias(column))
     return df.select(*cells)
 
 
