@@ -35,11 +35,14 @@ EVENTS_SCHEMA = T.StructType(
 def stream_events(
     spark: SparkSession, folder: str, files: str = "events*.parquet", per_trigger: int | None = None
 ) -> DataFrame:
-    """Event files of a folder as a stream; ``per_trigger`` bounds a batch."""
-    reader = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", files)
+    """Event files of a folder as a stream; ``per_trigger`` bounds a batch.
+
+    What matches ``files`` may be single files or folders of part files.
+    """
+    reader = spark.readStream.schema(EVENTS_SCHEMA)
     if per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
-    return reader.parquet(folder)
+    return reader.parquet(os.path.join(folder, files))
 
 
 def stream_csv(
