@@ -8,7 +8,6 @@ memory; many words are walked at the same time, one byte position after the othe
 
 from __future__ import annotations
 
-import hashlib
 import mmap
 import os
 import tempfile
@@ -88,17 +87,10 @@ def compile_lexicon(entries: dict[bytes, Sequence[int]]) -> bytes:
 
 
 def mapped(data: bytes) -> mmap.mmap:
-    """The file's bytes, memory-mapped. Workers of one machine share one copy.
-
-    The file is a cache: whoever misses it writes it again from ``data``.
-    """
-    path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(data).hexdigest()}.bin")
-    if not os.path.exists(path) or os.path.getsize(path) != len(data):
-        handle, own = tempfile.mkstemp(dir=tempfile.gettempdir(), prefix="lexicon-")
-        with os.fdopen(handle, "wb") as out:
-            out.write(data)
-        os.replace(own, path)
-    with open(path, "rb") as file:
+    """The file's bytes, memory-mapped. The file has no name, so nothing is left behind."""
+    with tempfile.TemporaryFile() as file:
+        file.write(data)
+        file.flush()
         return mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
 
 
