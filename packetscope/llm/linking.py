@@ -63,11 +63,11 @@ def repeated(hashes: DataFrame) -> Repeated:
         .agg(F.bitmap_construct_agg(F.col("p") % _CELL).alias("bitmap"))
     )
     out = Repeated(bits, {r["cell"]: bytes(r["bitmap"]) for r in cells.toLocalIterator()})
-    _drop(spark, found)
+    drop_tables(spark, found)
     return out
 
 
-def _drop(spark: SparkSession, *tables: DataFrame | None) -> None:
+def drop_tables(spark: SparkSession, *tables: DataFrame | None) -> None:
     """Delete scratch tables by the files they read."""
     for df in tables:
         if df is not None:
@@ -98,7 +98,7 @@ def connected(links: DataFrame) -> DataFrame:
         after = written(
             down.where("u <> v").union(smallest.select("u", F.col("m").alias("v"))).distinct(), "edges"
         )
-        _drop(spark, edges)
+        drop_tables(spark, edges)
         edges, before, mark = after, mark, _mark(after)
         if mark == before:
             break
@@ -145,7 +145,7 @@ def classes(members: DataFrame, content: DataFrame, same: Callable[[Column, Colu
         )
         hubs = written(hubs, "hubs")
         if hubs.isEmpty():
-            _drop(spark, hubs)
+            drop_tables(spark, hubs)
             break
         pairs = (
             now.join(hubs, "bucket")
@@ -175,11 +175,11 @@ def classes(members: DataFrame, content: DataFrame, same: Callable[[Column, Colu
                 moved = labels.join(joined.withColumnRenamed("root", "new"), F.col("root") == F.col("node"), "left")
                 fresh = moved.select("key", F.coalesce("new", "root").alias("root")).union(fresh)
             labels = written(fresh, "labels")
-        _drop(spark, linked)
+        drop_tables(spark, linked)
         number += 1
     if labels is None:
         key = members.schema["key"].dataType.simpleString()
         labels = spark.createDataFrame([], f"key {key}, root {key}")
-    _drop(spark, members)
+    drop_tables(spark, members)
     # the root itself belongs to its class
     return labels.union(labels.select(F.col("root").alias("key"), "root").distinct())

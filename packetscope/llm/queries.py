@@ -5,17 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from packetscope.llm import (
     decontamination,
     encoding,
+    language_scores,
     near_duplicates,
+    neighbours,
     paragraphs,
     secrets,
     token_counts,
     toxicity,
+    warc,
 )
 from packetscope.llm.common import table
+from packetscope.session import scratch_path
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_pages(spark, path).drop("intact")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +35,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, net)
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op5_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return language_scores.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
 def op6_repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
 
@@ -53,8 +73,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_warc,
         op2_toxicity,
+        op3_nearest_neighbours,
         op4_secret_scan,
+        op5_language_scores,
         op6_repeated_paragraphs,
         op7_decontaminate,
         op8_token_counts,
@@ -63,4 +86,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP1 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS h FROM p),
+b AS (SELECT h, max(page_id) AS best, count(*) AS copies FROM d GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((
+      16 * (strpos('0123456789abcdef', substr(d.h, CAST((5 * i) // 4 + 1 AS BIGINT), 1)) - 1)
+      + (strpos('0123456789abcdef', substr(d.h || '0', CAST((5 * i) // 4 + 2 AS BIGINT), 1)) - 1)
+    ) >> CAST(3 - (5 * i) % 4 AS BIGINT)) % 32, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN best = page_id OR copies = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN best = page_id OR copies = 1 THEN NULL ELSE best END AS refers_to
+FROM d JOIN b ON d.h = b.h
+"""
+
+_WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+_OP7 = f"""
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark
+  WHERE item_id IS NOT NULL AND text IS NOT NULL),
+iw AS (SELECT item, least(10, len(w)) AS n, list_slice(w, s, s + least(10, len(w)) - 1) AS win
+  FROM i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(s) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM iw),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+dw AS (SELECT doc_id, n, s, list_slice(w, s, s + n - 1) AS win
+  FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS u(s)),
+hit AS (SELECT dw.doc_id, dw.n, s, item FROM dw JOIN iw ON dw.n = iw.n AND dw.win = iw.win),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM hit, unnest(range(s, s + n)) AS u(p) GROUP BY doc_id),
+found AS (SELECT doc_id, count(DISTINCT item) AS n_items,
+  list_aggregate(list_sort(list_distinct(list(item))), 'string_agg', ',') AS items FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+  coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+# the other results rest on tokenizers, models, signatures or match positions
+ORACLE_SQL: dict[str, str] = {"op1_warc": _OP1, "op7_decontaminate": _OP7}
