@@ -2,8 +2,8 @@
 
 ``repeated`` finds which hashes occur with more than one value, as a bitmap of bounded
 size. ``classes`` verifies colliding items and joins them. In each round every bucket
-names one hub, and the hub is compared with the bucket's other items that are not in its
-class yet: as many pairs as items. A hub that met its whole bucket is done there. Rounds
+names a few hubs, and a hub is compared with the bucket's other items that are not in its
+class yet: a few pairs per item. A hub that met its whole bucket is done there. Rounds
 go on until the items left in every bucket are in one class, so no colliding pair of
 different classes is left unchecked, whatever the bucket's size.
 """
@@ -20,11 +20,21 @@ from packetscope.session import remove, written
 
 # bits of the bitmap of repeated hashes: the least, and the most whatever the input's size
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
+# pairs that are broadcast to the contents; each takes less than 200 bytes
+BROADCAST_PAIRS = 50_000
+# hubs of a bucket by round: the first finds most links, the later ones what it missed
+_HUBS = (1, 4, 16)
 _CELL = 32768  # bits in one piece of Spark's bitmap functions
 
 
+def _second(values):
+    """Another place for the same hash: its upper half."""
+    return values >> 32
+
+
 class Repeated:
-    """A set of hashes as a bitmap. It may say yes to others, never no to its own."""
+    """A set of hashes as a bitmap with two bits each. It may say yes to others, never no to
+    its own."""
 
     def __init__(self, bits: int, cells: dict[int, bytes]):
         self.mask = bits - 1
@@ -32,18 +42,17 @@ class Repeated:
         for cell, content in cells.items():
             self.bytes[cell * _CELL // 8 : (cell + 1) * _CELL // 8] = np.frombuffer(content, np.uint8)
 
-    def __contains__(self, value: int) -> bool:
-        return bool(self.has(np.asarray([value], np.int64))[0])
-
     def has(self, values: np.ndarray) -> np.ndarray:
-        at = values & self.mask
-        return (self.bytes[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        found = np.ones(values.shape, bool)
+        for at in (values & self.mask, _second(values) & self.mask):
+            found &= (self.bytes[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return found
 
 
 def repeated(hashes: DataFrame) -> Repeated:
     """Which ``h`` occur with at least two different ``v``.
 
-    Counted over all rows. The bitmap grows with the number found, eight bits and more for
+    Counted over all rows. The bitmap grows with the number found, 64 bits and more for
     each, up to a fixed bound; beyond it more hashes pass that only look repeated, which
     costs time and changes no result.
     """
@@ -54,11 +63,12 @@ def repeated(hashes: DataFrame) -> Repeated:
     )
     bits = LEAST_BITS
     number = found.count()
-    while bits < min(16 * number, MOST_BITS):
+    while bits < min(64 * number, MOST_BITS):
         bits *= 2
-    place = F.col("h").bitwiseAND(F.lit(bits - 1))
+    places = F.array(F.col("h"), F.shiftright("h", 32))
     cells = (
-        found.select(place.alias("p"))
+        found.select(F.explode(places).alias("h"))
+        .select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("p"))
         .groupBy(F.expr(f"p div {_CELL}").alias("cell"))
         .agg(F.bitmap_construct_agg(F.col("p") % _CELL).alias("bitmap"))
     )
@@ -115,59 +125,71 @@ def _mark(edges: DataFrame):
 def classes(members: DataFrame, content: DataFrame, same: Callable[[Column, Column], Column]) -> DataFrame:
     """``key, root`` for the items that are linked to another one.
 
-    ``members`` has ``bucket, key``; ``content`` has one row ``key, body`` per item;
-    ``same`` decides from two bodies whether two items are linked.
+    ``members`` has ``bucket, key``; ``content`` has ``key, body``, for one item as often
+    as it likes but always the same; ``same`` decides from two bodies whether two items are
+    linked.
     """
     spark = members.sparkSession
-    members = written(members.distinct(), "members")
-    labels = done = None
+    crowds = members.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b")
+    members = written(members.join(crowds.select("bucket"), "bucket", "left_semi").distinct(), "members")
+    wanted = content.join(members.select("key").distinct(), "key", "left_semi")
+    content = written(wanted.groupBy("key").agg(F.first("body").alias("body")), "content")
+    labels = None
     number = 0
     while True:
-        now = members
-        if done is not None:
-            now = now.join(done, ["bucket", "key"], "left_anti")
         if labels is None:
-            now = now.withColumn("root", F.col("key"))
+            now = members.withColumn("root", F.col("key"))
         else:
-            now = now.join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        # the item of the smallest class is the hub: it meets the most others
+            now = members.join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        # hubs are items of small classes, which meet the most others
+        salt = F.pmod(F.xxhash64("root", F.lit(number)), F.lit(_HUBS[min(number, len(_HUBS) - 1)]))
+        order = F.xxhash64("key", F.lit(number))
         roots = now.groupBy("bucket", "root").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key", F.lit(number)).alias("o"), "key")).alias("k")
+            F.count(F.lit(1)).alias("n"), F.min(F.struct(order.alias("o"), "key")).alias("k")
         )
+        open_buckets = roots.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
         hubs = (
-            roots.groupBy("bucket")
-            .agg(
-                F.count(F.lit(1)).alias("classes"),
-                F.min(F.struct("n", F.col("k.o").alias("o"), F.col("k.key").alias("key"), "root")).alias("hub"),
-            )
-            .where("classes > 1")
+            roots.groupBy("bucket", salt.alias("salt"))
+            .agg(F.min(F.struct("n", F.col("k.o").alias("o"), F.col("k.key").alias("key"), "root")).alias("hub"))
+            .join(open_buckets.select("bucket"), "bucket", "left_semi")
             .select("bucket", F.col("hub.key").alias("hub"), F.col("hub.root").alias("hub_root"))
         )
         hubs = written(hubs, "hubs")
         if hubs.isEmpty():
             drop_tables(spark, hubs)
             break
-        pairs = (
+        pairs = written(
             now.join(hubs, "bucket")
             .where("root <> hub_root")
             .select(
                 F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"),
                 F.least("root", "hub_root").alias("root_a"), F.greatest("root", "hub_root").alias("root_b"),
             )
-            .distinct()
+            .distinct(),
+            "pairs",
         )
-        # both ends at random over the tasks: a hub's many pairs do not meet in one
         left = content.select(F.col("key").alias("a"), F.col("body").alias("body_a"))
         right = content.select(F.col("key").alias("b"), F.col("body").alias("body_b"))
+        few = pairs.count() <= BROADCAST_PAIRS
+        with_left = left.join(F.broadcast(pairs), "a") if few else pairs.join(left, "a")
+        if few:  # the contents stay where they are
+            with_left = written(with_left, "pairs")
+            numbered = with_left.select("a", "b").distinct()
+            with_right = right.join(F.broadcast(numbered), "b")
+            both = with_right.join(with_left, ["a", "b"])
+        else:
+            both = with_left.join(right, "b")
         linked = written(
-            pairs.join(left, "a").join(right, "b")
-            .where(same(F.col("body_a"), F.col("body_b")))
+            both.where(same(F.col("body_a"), F.col("body_b")))
             .select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
             .distinct(),
             "links",
         )
-        done_now = hubs.select("bucket", F.col("hub").alias("key"))
-        done = done_now if done is None else done.union(done_now)
+        # only buckets with several classes go on, without the hubs that met all of theirs
+        rest = members.join(hubs.select("bucket"), "bucket", "left_semi").join(
+            hubs.select("bucket", F.col("hub").alias("key")), ["bucket", "key"], "left_anti"
+        )
+        rest = written(rest, "members")
         if not linked.isEmpty():
             joined = connected(linked)
             fresh = joined.where("node <> root").select(F.col("node").alias("key"), "root")
@@ -175,11 +197,12 @@ def classes(members: DataFrame, content: DataFrame, same: Callable[[Column, Colu
                 moved = labels.join(joined.withColumnRenamed("root", "new"), F.col("root") == F.col("node"), "left")
                 fresh = moved.select("key", F.coalesce("new", "root").alias("root")).union(fresh)
             labels = written(fresh, "labels")
-        drop_tables(spark, linked)
+        drop_tables(spark, linked, hubs, pairs, members, *([with_left] if few else []))
+        members = rest
         number += 1
     if labels is None:
         key = members.schema["key"].dataType.simpleString()
         labels = spark.createDataFrame([], f"key {key}, root {key}")
-    drop_tables(spark, members)
+    drop_tables(spark, members, content)
     # the root itself belongs to its class
     return labels.union(labels.select(F.col("root").alias("key"), "root").distinct())

@@ -26,6 +26,8 @@ from packetscope.session import ship, written
 SIMILARITY = 0.8
 # arrivals of one shingle that are drawn at a time, once few shingles are left
 _AT_ONCE = 16
+# components of a signature at most
+_COMPONENTS = 64
 # texts hashed together
 _TEXTS = 1024
 
@@ -185,14 +187,12 @@ def keyed_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    bands, rows = tuned(similarity)
+    bands, rows = tuned(similarity, most=_COMPONENTS)
     again = repeated(_hashes(docs, bands, rows))
     table = written(_signed(docs, bands, rows, spark.sparkContext.broadcast(again)), "signed")
     near = table.where("values IS NOT NULL")
-    content = written(
-        near.groupBy("key").agg(F.first(F.struct("values", "weights")).alias("body")), "content"
-    )
-    members = near.select("key", F.explode("bands").alias("bucket")).distinct()
+    content = near.select("key", F.struct("values", "weights").alias("body"))
+    members = near.select("key", F.explode("bands").alias("bucket"))
     linked = classes(members, content, _similar(similarity))
     every = table.select("doc_id", "key")
     return every.join(linked, "key", "left").select(

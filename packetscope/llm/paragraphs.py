@@ -173,8 +173,8 @@ def repeated_paragraphs(
         _found(texts, similarity, least_words, spark.sparkContext.broadcast(again)), "paragraphs"
     )
     near = found.where("values IS NOT NULL")
-    content = written(near.groupBy("key").agg(F.first("values").alias("body")), "content")
-    members = near.select("key", F.explode("bands").alias("bucket")).distinct()
+    content = near.select("key", F.col("values").alias("body"))
+    members = near.select("key", F.explode("bands").alias("bucket"))
     linked = classes(members, content, _similar(similarity))
     spans = found.select("doc_id", "place", "start", "end", "key").join(linked, "key", "left")
     spans = spans.withColumn("root", F.coalesce("root", "key")).drop("key")

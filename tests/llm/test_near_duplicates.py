@@ -13,7 +13,7 @@ from packetscope.llm.linking import classes, connected, repeated
 from packetscope.llm.near_duplicates import (
     near_duplicates, prob_minhash, probability_jaccard, without_near_duplicates,
 )
-from packetscope.llm.shingles import Shingler, counted, tuned
+from packetscope.llm.shingles import Shingler, counted, mixed, tuned
 
 
 def shingles(text):
@@ -136,10 +136,10 @@ def test_tuning():
 
 
 def test_repeated(spark):
-    rows = [(h, v) for h in range(100) for v in range(1 + h % 2)] * 2
-    found = repeated(spark.createDataFrame(rows, "h long, v long"))
-    has = found.has(np.arange(-50, 100))
-    assert has[50:].tolist() == [h % 2 == 1 for h in range(100)] and not has[:50].any()
+    hashes = mixed(np.arange(1, 151, dtype=np.uint64)).astype(np.int64)
+    rows = [(h, v) for i, h in enumerate(hashes[:100].tolist()) for v in range(1 + i % 2)] * 2
+    found = repeated(spark.createDataFrame(rows, "h long, v long")).has(hashes)
+    assert found.tolist() == [i % 2 == 1 and i < 100 for i in range(150)]
 
 
 def test_components(spark):
