@@ -129,17 +129,15 @@ def high_ports(packets):
 
 @query(
     "port_meaning",
-    """, t AS (SELECT packet_id, CASE WHEN ip_proto = 17 THEN 'UDP' ELSE 'TCP' END AS transport,
- src_port, dst_port FROM packets)
+    """, t AS (SELECT packet_id, upper(protocol) AS transport, src_port, dst_port FROM packets)
 SELECT packet_id, CASE WHEN transport = 'TCP' AND 80 IN (src_port, dst_port) THEN 'web'
  WHEN transport = 'TCP' AND 443 IN (src_port, dst_port) THEN 'secure_web'
  WHEN transport = 'UDP' AND 53 IN (src_port, dst_port) THEN 'name_lookup' END AS meaning FROM t""",
 )
 def port_meaning(packets):
-    transport = F.when(F.col("ip_proto") == 17, F.lit("UDP")).otherwise(F.lit("TCP"))
     return packets.select(
         "packet_id",
-        rules.port_meaning(transport, F.col("src_port"), F.col("dst_port")).alias("meaning"),
+        rules.port_meaning(F.col("protocol"), F.col("src_port"), F.col("dst_port")).alias("meaning"),
     )
 
 

@@ -195,7 +195,7 @@ def byte_list(packets):
     f""" SELECT packet_id, {sql.one("ttl % 11 = 0")} AS bad_ip_version, {sql.one("ttl % 7 = 0")} AS all_ip_flags,
  {sql.one(f"ttl % 7 = 0 AND ({sql.TRANSPORT}) IN ('TCP', 'UDP') AND protocol <> 'DHCP'")} AS tiny_fragment,
  {sql.one(f"ttl % 5 = 0 AND ({sql.TRANSPORT}) IN ('TCP', 'UDP') AND protocol <> 'HTTP (Raw)'")} AS test_virus
-FROM packets WHERE protocol <> 'ARP'""",
+FROM packets WHERE protocol <> 'ARP' UNION ALL SELECT packet_id, 0, 0, 0, 0 FROM packets WHERE protocol = 'ARP'""",
 )
 def sig_frames(packets):
     """Header oddities and the antivirus test marker in frames."""
@@ -213,4 +213,7 @@ def sig_frames(packets):
     )
     frames = encode.with_frame(ip).select("packet_id", "ts", F.unhex(patched).alias("frame"))
     found = with_frame_signatures(decode.frame_headers(frames))
-    return found.select("packet_id", "bad_ip_version", "all_ip_flags", "tiny_fragment", "test_virus")
+    marks = ["bad_ip_version", "all_ip_flags", "tiny_fragment", "test_virus"]
+    none = [F.lit(0).alias(m) for m in marks]
+    arp = packets.filter(F.col("protocol") == "ARP").select("packet_id", *none)
+    return found.select("packet_id", *marks).unionByName(arp)

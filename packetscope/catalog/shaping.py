@@ -308,7 +308,7 @@ FROM packets ORDER BY packet_id LIMIT 1000""",
 )
 def first_1000(packets):
     """The raw view shows the first thousand packets."""
-    return packets.orderBy("packet_id").limit(1000).select("packet_id", raw_line(False).alias("line"))
+    return filters.first_by_id(packets, n=1000).select("packet_id", raw_line(False).alias("line"))
 
 
 @query("last_100", " SELECT packet_id FROM packets ORDER BY packet_id DESC LIMIT 100")

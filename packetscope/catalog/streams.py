@@ -34,9 +34,14 @@ def stream_ingest(spark, sf_dir):
 
 @folder_query(
     "stream_totals",
-    """ SELECT 'protocol' AS section, protocol AS key, count(*) AS n FROM packets GROUP BY protocol
+    f""" SELECT 'protocol' AS section, protocol AS key, count(*) AS n FROM packets GROUP BY protocol
  UNION ALL SELECT 'source', src_ip, count(*) FROM packets GROUP BY src_ip
- UNION ALL SELECT 'destination', dst_ip, count(*) FROM packets GROUP BY dst_ip""",
+ UNION ALL SELECT 'destination', dst_ip, count(*) FROM packets GROUP BY dst_ip
+ UNION ALL SELECT 'port', CAST(dst_port AS VARCHAR), count(*) FROM packets
+  WHERE dst_port IS NOT NULL GROUP BY dst_port
+ UNION ALL SELECT 'class', CASE WHEN ({sql.TRANSPORT}) IN ('TCP', 'UDP', 'ICMP')
+  THEN lower({sql.TRANSPORT}) ELSE 'other' END, count(*) FROM packets GROUP BY 2
+ UNION ALL SELECT 'total', 'all', count(*) FROM packets""",
 )
 def stream_totals(spark, sf_dir):
     out = scratch_path(spark, "totals")
@@ -48,14 +53,13 @@ def stream_totals(spark, sf_dir):
     "stream_rate",
     """, w AS (SELECT date_trunc('minute', ts)::TIMESTAMP AS window_start, count(*) AS n,
  CAST(sum(length) AS BIGINT) AS bytes FROM packets GROUP BY 1)
-SELECT window_start, window_start + INTERVAL 1 MINUTE AS window_end, n, bytes FROM w
-WHERE window_start + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM packets) - INTERVAL 1 MINUTE""",
+SELECT window_start, window_start + INTERVAL 1 MINUTE AS window_end, n, bytes FROM w""",
 )
 def stream_rate(spark, sf_dir):
-    """Windows the watermark has passed; the last two minutes are still open."""
+    """All windows, the last ones included."""
     out = scratch_path(spark, "rate")
     jobs.packet_rates(_stream(spark, sf_dir), out)
-    return spark.read.parquet(os.path.join(out, "rows"))
+    return jobs.read_rates(spark, out)
 
 
 @folder_query(

@@ -22,6 +22,7 @@ from packetscope.operators.lookups import (
     with_snmp_name,
 )
 from packetscope.plans.staged import computed_once
+from packetscope.session import ship
 
 # Ethernet 14, IPv4 at most 60, fixed TCP part 20
 _HEADER_BYTES = 94
@@ -269,6 +270,7 @@ def _add_tls(df: DataFrame) -> DataFrame:
 
 
 def _add_app(df: DataFrame) -> DataFrame:
+    ship(df.sparkSession)
     kind = app_kind(F.col("udp_src_port"), F.col("udp_dst_port"))
     staged = df.withColumn("__kind", kind)
     payload = F.when(F.col("__kind").isNotNull(), F.col("payload"))

@@ -23,7 +23,7 @@ def packed(*fields: tuple[str, int]) -> Column:
     """
     total, width = "", 0
     for value, octets in reversed(fields):
-        low = f"(coalesce(CAST({value} AS BIGINT), 0L) & {(1 << (8 * octets)) - 1}L)"
+        low = f"(coalesce(try_cast({value} AS BIGINT), 0L) & {(1 << (8 * octets)) - 1}L)"
         total += (" | " if total else "") + f"shiftleft({low}, {8 * width})"
         width += octets
     return F.expr(f"lpad(hex({total}), {2 * width}, '0')")
@@ -42,7 +42,11 @@ def mac_hex(mac: str) -> Column:
 
 
 def ip_hex(ip: str) -> Column:
-    return packed(*[(f"split_part({ip}, '.', {i})", 1) for i in (1, 2, 3, 4)])
+    """Four octets of a dotted address; none is 0.0.0.0, any other text gives NULL."""
+    octets = packed(*[(f"split_part({ip}, '.', {i})", 1) for i in (1, 2, 3, 4)])
+    octet = "(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+    dotted = F.expr(f"coalesce({ip}, '') = '' OR {ip} RLIKE '^{octet}([.]{octet}){{3}}$'")
+    return F.when(dotted, octets)
 
 
 def text_hex(text: Column) -> Column:
@@ -184,7 +188,7 @@ def arp_body() -> Column:
 
 
 def with_frame(df: DataFrame) -> DataFrame:
-    """Add ``frame``: Ethernet bytes of each packet."""
+    """Add ``frame``: Ethernet bytes of each packet; NULL where an address is not dotted IPv4."""
     transport = transport_of(F.col("protocol"))
     addresses = {
         "__src_mac": mac_hex("src_mac"),

@@ -57,6 +57,11 @@ def first_packets(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy("ts", "packet_id").limit(n)
 
 
+def first_by_id(df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` packets, as the raw view shows them."""
+    return df.orderBy("packet_id").limit(n)
+
+
 def last_packets(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy(F.desc("packet_id")).limit(n)
 

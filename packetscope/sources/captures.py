@@ -88,7 +88,8 @@ def pcap_sizes(spark: SparkSession, path: str) -> DataFrame:
 
     File contents are not read: only these columns are taken from the listing.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap").load(path)
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap")
+    files = reader.option("recursiveFileLookup", True).load(path)
     return files.select("path", "length", "modificationTime")
 
 

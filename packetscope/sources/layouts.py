@@ -147,6 +147,9 @@ def normalise(df: DataFrame) -> DataFrame:
         if name in made:
             return made[name]
         raw = text(name)
+        if name == "identification":
+            hex_digits = F.nullif(F.regexp_extract(raw, r"^0[xX]([0-9a-fA-F]+)$", 1), F.lit(""))
+            return F.coalesce(to_int(raw), F.conv(hex_digits, 16, 10).try_cast("int"))
         if kind == "int":
             return to_int(raw)
         return to_long(raw) if kind == "bigint" else raw

@@ -25,6 +25,7 @@ from pyspark.sql.datasource import (
 )
 
 from packetscope.functions.text import epoch_micros
+from packetscope.session import ship
 
 SCHEMA = "packet_id bigint, ts timestamp, frame binary"
 ROWS_PER_BATCH = 8192
@@ -191,6 +192,8 @@ class PcapSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the source known; executors need the package to run it."""
+    ship(spark)
     spark.dataSource.register(PcapSource)
 
 

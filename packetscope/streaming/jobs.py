@@ -7,6 +7,7 @@ files that came in since. State is bounded in all of them.
 
 from __future__ import annotations
 
+import itertools
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from packetscope.functions.addresses import direction
+from packetscope.operators.lookups import transport_of
 from packetscope.operators.rules import size_class, ttl_low, with_findings
 from packetscope.operators.stats import section_counts
 from packetscope.session import scratch_path
@@ -71,20 +73,39 @@ def ingest_csv(packets: DataFrame, out: str, layout: str = "basic") -> None:
     _finish(writer.trigger(availableNow=True).start(os.path.join(out, "rows")))
 
 
-TOTAL_SECTIONS = [("protocol", "protocol"), ("source", "src_ip"), ("destination", "dst_ip")]
+TOTAL_SECTIONS = [
+    ("protocol", "protocol"), ("source", "src_ip"), ("destination", "dst_ip"), ("port", "dst_port"),
+    ("class", "packet_class"), ("total", "packets"),
+]
 
 
 def running_totals(packets: DataFrame, out: str) -> None:
-    """Counts per (section, key), one partial table per batch.
+    """Counts per protocol, address, destination port and class, and in total, one partial
+    table per batch.
 
     Addresses are unbounded, so they are not kept in operator state. Each batch
     writes its own counts under its batch number; a repeated batch overwrites
     them, and :func:`read_totals` adds them up.
     """
 
+    _write_partials(packets, out, lambda batch: section_counts(with_classes(batch), TOTAL_SECTIONS))
+
+
+def with_classes(packets: DataFrame) -> DataFrame:
+    """The columns that :data:`TOTAL_SECTIONS` counts besides those of a packet."""
+    transport = F.lower(transport_of(F.col("protocol")))
+    known = F.when(transport.isin("tcp", "udp", "icmp"), transport)
+    return packets.withColumns(
+        {"packet_class": F.coalesce(known, F.lit("other")), "packets": F.lit("all")}
+    )
+
+
+def _write_partials(packets: DataFrame, out: str, counted) -> None:
+    """Write ``counted(batch)`` under each batch's number; a repeated batch overwrites its own."""
+
     def write(batch: DataFrame, number: int) -> None:
-        counts = section_counts(batch, TOTAL_SECTIONS)
-        counts.write.mode("overwrite").parquet(os.path.join(out, "partial", f"batch={number}"))
+        path = os.path.join(out, "partial", f"batch={number}")
+        counted(batch).write.mode("overwrite").parquet(path)
 
     writer = packets.writeStream.foreachBatch(write)
     writer = writer.option("checkpointLocation", os.path.join(out, "_state"))
@@ -97,21 +118,34 @@ def read_totals(spark: SparkSession, out: str) -> DataFrame:
     return partial.groupBy("section", "key").agg(F.sum("n").alias("n"))
 
 
-def packet_rates(packets: DataFrame, out: str, window: str = "1 minute", late: str = "1 minute") -> None:
-    """Packets and bytes per time window, written once the window can no longer change."""
-    timed = packets.withColumn("event_time", F.col("ts").cast("timestamp"))
-    rates = (
-        timed.withWatermark("event_time", late)
-        .groupBy(F.window("event_time", window).alias("w"))
-        .agg(F.count("*").alias("n"), F.sum(F.col("length").cast("bigint")).alias("bytes"))
+def window_counts(packets: DataFrame, window: str = "1 minute") -> DataFrame:
+    """Packets and bytes per time window of a table."""
+    rates = packets.groupBy(F.window(F.col("ts").cast("timestamp"), window).alias("w")).agg(
+        F.count("*").alias("n"), F.sum(F.col("length").cast("bigint")).alias("bytes")
     )
-    flat = rates.select(
+    return rates.select(
         F.col("w.start").cast("timestamp_ntz").alias("window_start"),
         F.col("w.end").cast("timestamp_ntz").alias("window_end"),
         "n",
         "bytes",
     )
-    append_rows(flat, out)
+
+
+def packet_rates(packets: DataFrame, out: str, window: str = "1 minute") -> None:
+    """Packets and bytes per time window, one partial table per batch.
+
+    Packets may come in any order and however late: their batch counts them, and
+    :func:`read_rates` adds up. Nothing is kept between batches.
+    """
+    _write_partials(packets, out, lambda batch: window_counts(batch, window))
+
+
+def read_rates(spark: SparkSession, out: str) -> DataFrame:
+    """Rates so far of :func:`packet_rates`, the last windows included."""
+    partial = spark.read.parquet(os.path.join(out, "partial"))
+    return partial.groupBy("window_start", "window_end").agg(
+        F.sum("n").alias("n"), F.sum("bytes").alias("bytes")
+    )
 
 
 def annotate(packets: DataFrame) -> DataFrame:
@@ -139,10 +173,15 @@ def stream_findings(packets: DataFrame, out: str) -> None:
 
 
 def live_view(packets: DataFrame, show, rows: int = 100) -> None:
-    """Hand each batch's newest ``rows`` packets to ``show`` (a display, so capped)."""
+    """Hand every packet to ``show(page, number)``, in pages of at most ``rows`` in packet order.
+
+    A page is a list of rows. The driver holds one page and the partition it comes from.
+    """
 
     def pass_on(batch: DataFrame, number: int) -> None:
-        show(batch.orderBy(F.desc("packet_id")).limit(rows), number)
+        waiting = batch.orderBy("packet_id").toLocalIterator()
+        while page := list(itertools.islice(waiting, rows)):
+            show(page, number)
 
     writer = packets.writeStream.foreachBatch(pass_on)
     writer = writer.option("checkpointLocation", scratch_path(packets.sparkSession, "live"))

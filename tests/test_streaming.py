@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from packetscope.constants import BASIC_COLUMNS
 from packetscope.fixtures import events, packets_from
@@ -30,7 +31,7 @@ def test_totals_add_up_over_batches_and_restarts(spark, sf_dir, packets, landing
     out = scratch_path(spark, "totals")
     jobs.running_totals(stream(spark, landing), out)
     assert batches(out) == 4
-    want = section_counts(packets, jobs.TOTAL_SECTIONS)
+    want = section_counts(jobs.with_classes(packets), jobs.TOTAL_SECTIONS)
     assert jobs.read_totals(spark, out).exceptAll(want).count() == 0
     # more files arrive; the same checkpoint takes only those
     events(spark, sf_dir).write.mode("append").parquet(landing)
@@ -64,7 +65,27 @@ def test_csv_landing_folder(spark, packets):
     assert got.count() == packets.count()
 
 
-def test_live_view_shows_the_newest_of_each_batch(spark, landing):
+def test_live_view_hands_out_every_packet_in_pages(spark, packets, landing):
     seen = []
-    jobs.live_view(stream(spark, landing), lambda batch, number: seen.append((number, batch.count())), rows=20)
-    assert [n for n, _ in seen] == [0, 1, 2, 3] and all(c <= 20 for _, c in seen)
+    jobs.live_view(stream(spark, landing), lambda page, number: seen.append((number, page)), rows=20)
+    assert {n for n, _ in seen} == {0, 1, 2, 3} and all(len(p) <= 20 for _, p in seen)
+    ids = [r.packet_id for _, page in seen for r in page]
+    assert sorted(ids) == sorted(r.packet_id for r in packets.select("packet_id").collect())
+
+
+def test_rates_lose_no_packet_however_late(spark, packets, sf_dir):
+    """Four files in descending order of time, one per batch."""
+    path, out = scratch_path(spark, "late"), scratch_path(spark, "rates")
+    ordered = events(spark, sf_dir).orderBy(F.desc("ts"))
+    parts = [r.ts for r in ordered.select("ts").collect()][249:750:250]
+    bounds = [None, *parts, None]
+    for newer, older in zip(bounds, bounds[1:]):
+        part = events(spark, sf_dir)
+        part = part if newer is None else part.where(F.col("ts") < F.lit(newer))
+        part = part if older is None else part.where(F.col("ts") >= F.lit(older))
+        part.coalesce(1).write.mode("append").parquet(path)
+    jobs.packet_rates(stream(spark, path), out)
+    assert batches(out) == 4
+    got, want = jobs.read_rates(spark, out), jobs.window_counts(packets)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert got.agg(F.sum("n")).first()[0] == packets.count()
