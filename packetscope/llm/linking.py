@@ -3,27 +3,35 @@
 ``repeated`` finds which hashes occur with more than one value, as a bitmap of bounded
 size. ``classes`` verifies colliding items and joins them. In each round every bucket
 names a few hubs, and a hub is compared with the bucket's other items that are not in its
-class yet: a few pairs per item. A hub that met its whole bucket is done there. Rounds
-go on until the items left in every bucket are in one class, so no colliding pair of
-different classes is left unchecked, whatever the bucket's size.
+class yet. A hub that met its whole bucket is done there. Rounds go on until the items left
+in every bucket are in one class, so no colliding pair of different classes is left
+unchecked, whatever the bucket's size.
+
+While a round's hubs are few bytes they go to the items as a broadcast, an item meets all
+its hubs in one look, and no pair is made a row. Beyond that, pairs are joined with the
+contents, a few per item and round.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetscope.llm.comparing import Hubs, similar
 from packetscope.session import remove, written
 
 # bits of the bitmap of repeated hashes: the least, and the most whatever the input's size
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
 # pairs that are broadcast to the contents; each takes less than 200 bytes
 BROADCAST_PAIRS = 50_000
+# bytes of hubs that are broadcast; more hubs are joined
+BROADCAST_BYTES = 16 << 20
 # hubs of a bucket by round: the first finds most links, the later ones what it missed
 _HUBS = (1, 4, 16)
+# the same where hubs are broadcast, which makes no rows of pairs
+_SHARED_HUBS = (1, 16, 256)
 _CELL = 32768  # bits in one piece of Spark's bitmap functions
 
 
@@ -122,74 +130,121 @@ def _mark(edges: DataFrame):
     )
 
 
-def classes(members: DataFrame, content: DataFrame, same: Callable[[Column, Column], Column]) -> DataFrame:
+def _met(items: DataFrame, hubs: Hubs, least: float, key: str) -> DataFrame:
+    """``a, b``: classes of items and of the hubs that are like them."""
+    shared = items.sparkSession.sparkContext.broadcast(hubs)
+
+    def run(batches):
+        meet = shared.value
+        for batch in batches:
+            columns = (batch.column(n).to_pylist() for n in ("root", "buckets", "values", "weights"))
+            links = set()
+            for root, buckets, values, weights in zip(*columns):
+                links.update((root, other) for other in meet(root, buckets, values, weights, least))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([link[side] for link in links], pa.binary()) for side in (0, 1)], names=["a", "b"]
+            )
+
+    return items.mapInArrow(run, f"a {key}, b {key}")
+
+
+def _paired(now: DataFrame, hubs: DataFrame, content: DataFrame, least: float) -> DataFrame:
+    """``a, b`` like ``_met``, for hubs of any number: pairs are joined with the contents."""
+    pairs = written(
+        now.join(hubs, "bucket")
+        .where("root <> hub_root")
+        .select(
+            F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"),
+            F.least("root", "hub_root").alias("root_a"), F.greatest("root", "hub_root").alias("root_b"),
+        )
+        .distinct(),
+        "pairs",
+    )
+    left = content.select(F.col("key").alias("a"), F.col("body").alias("body_a"))
+    right = content.select(F.col("key").alias("b"), F.col("body").alias("body_b"))
+    few = pairs.count() <= BROADCAST_PAIRS
+    with_left = left.join(F.broadcast(pairs), "a") if few else pairs.join(left, "a")
+    if few:  # the contents stay where they are
+        numbered = with_left.select("a", "b").distinct()
+        both = right.join(F.broadcast(numbered), "b").join(with_left, ["a", "b"])
+    else:
+        both = with_left.join(right, "b")
+    linked = both.where(similar(least)("body_a", "body_b"))
+    linked = written(linked.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "links")
+    drop_tables(linked.sparkSession, pairs)
+    return linked
+
+
+def classes(members: DataFrame, content: DataFrame, least: float) -> DataFrame:
     """``key, root`` for the items that are linked to another one.
 
     ``members`` has ``bucket, key``; ``content`` has ``key, body``, for one item as often
-    as it likes but always the same; ``same`` decides from two bodies whether two items are
-    linked.
+    as it likes but always the same. A body has ``values`` and ``weights`` (see
+    ``comparing``); items of a bucket are linked at a similarity of ``least`` or more.
     """
     spark = members.sparkSession
+    kind = members.schema["key"].dataType.simpleString()
     crowds = members.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b")
     members = written(members.join(crowds.select("bucket"), "bucket", "left_semi").distinct(), "members")
     wanted = content.join(members.select("key").distinct(), "key", "left_semi")
     content = written(wanted.groupBy("key").agg(F.first("body").alias("body")), "content")
     labels = None
     number = 0
+    shared = False
     while True:
         if labels is None:
             now = members.withColumn("root", F.col("key"))
         else:
             now = members.join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
         # hubs are items of small classes, which meet the most others
-        salt = F.pmod(F.xxhash64("root", F.lit(number)), F.lit(_HUBS[min(number, len(_HUBS) - 1)]))
+        # (at most 256 of a bucket, so a list of them is short)
+        fewest, most = _HUBS[min(number, 2)], (_SHARED_HUBS if shared else _HUBS)[min(number, 2)]
+        salt = F.pmod(F.xxhash64("root", F.lit(number)), F.lit(most))
         order = F.xxhash64("key", F.lit(number))
         roots = now.groupBy("bucket", "root").agg(
             F.count(F.lit(1)).alias("n"), F.min(F.struct(order.alias("o"), "key")).alias("k")
         )
-        open_buckets = roots.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
         hubs = (
             roots.groupBy("bucket", salt.alias("salt"))
-            .agg(F.min(F.struct("n", F.col("k.o").alias("o"), F.col("k.key").alias("key"), "root")).alias("hub"))
-            .join(open_buckets.select("bucket"), "bucket", "left_semi")
-            .select("bucket", F.col("hub.key").alias("hub"), F.col("hub.root").alias("hub_root"))
+            .agg(
+                F.min(F.struct("n", F.col("k.o").alias("o"), F.col("k.key").alias("key"), "root")).alias("hub"),
+                F.min("root").alias("low"), F.max("root").alias("high"),
+            )
+            .groupBy("bucket")
+            .agg(F.sort_array(F.collect_list("hub")).alias("hubs"), F.min("low").alias("low"), F.max("high").alias("high"))
+            .where("low <> high")
+            .select("bucket", F.posexplode("hubs").alias("place", "hub"))
+            .select("bucket", "place", F.col("hub.key").alias("hub"), F.col("hub.root").alias("hub_root"))
         )
         hubs = written(hubs, "hubs")
         if hubs.isEmpty():
             drop_tables(spark, hubs)
             break
-        pairs = written(
-            now.join(hubs, "bucket")
-            .where("root <> hub_root")
-            .select(
-                F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"),
-                F.least("root", "hub_root").alias("root_a"), F.greatest("root", "hub_root").alias("root_b"),
+        chosen = hubs.select(F.col("hub").alias("key")).distinct()
+        bodies = content.join(chosen, "key", "left_semi")
+        weight = F.octet_length("body.values") + F.coalesce(F.octet_length("body.weights"), F.lit(0))
+        shared = (bodies.agg(F.sum(weight + 512)).first()[0] or 0) <= BROADCAST_BYTES
+        now = now.join(hubs.select("bucket"), "bucket", "left_semi")
+        if shared:  # a hub meets the items of all its buckets, so a pair meets once in all rounds
+            items = written(
+                now.groupBy("key")
+                .agg(F.first("root").alias("root"), F.collect_list("bucket").alias("buckets"))
+                .join(content, "key")
+                .select("key", "root", "buckets", "body.values", "body.weights"),
+                "items",
             )
-            .distinct(),
-            "pairs",
-        )
-        left = content.select(F.col("key").alias("a"), F.col("body").alias("body_a"))
-        right = content.select(F.col("key").alias("b"), F.col("body").alias("body_b"))
-        few = pairs.count() <= BROADCAST_PAIRS
-        with_left = left.join(F.broadcast(pairs), "a") if few else pairs.join(left, "a")
-        if few:  # the contents stay where they are
-            with_left = written(with_left, "pairs")
-            numbered = with_left.select("a", "b").distinct()
-            with_right = right.join(F.broadcast(numbered), "b")
-            both = with_right.join(with_left, ["a", "b"])
+            meet = Hubs(items.join(chosen, "key", "left_semi").toArrow())
+            linked = written(_met(items, meet, least, kind).distinct(), "links")
+            done = members.join(chosen, "key", "left_anti")
+            drop_tables(spark, items)
         else:
-            both = with_left.join(right, "b")
-        linked = written(
-            both.where(same(F.col("body_a"), F.col("body_b")))
-            .select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-            .distinct(),
-            "links",
-        )
+            hubs = hubs.where(F.col("place") < fewest)
+            linked = _paired(now, hubs, content, least)
+            done = members.join(
+                hubs.select("bucket", F.col("hub").alias("key")), ["bucket", "key"], "left_anti"
+            )
         # only buckets with several classes go on, without the hubs that met all of theirs
-        rest = members.join(hubs.select("bucket"), "bucket", "left_semi").join(
-            hubs.select("bucket", F.col("hub").alias("key")), ["bucket", "key"], "left_anti"
-        )
-        rest = written(rest, "members")
+        rest = written(done.join(hubs.select("bucket"), "bucket", "left_semi"), "members")
         if not linked.isEmpty():
             joined = connected(linked)
             fresh = joined.where("node <> root").select(F.col("node").alias("key"), "root")
@@ -197,12 +252,11 @@ def classes(members: DataFrame, content: DataFrame, same: Callable[[Column, Colu
                 moved = labels.join(joined.withColumnRenamed("root", "new"), F.col("root") == F.col("node"), "left")
                 fresh = moved.select("key", F.coalesce("new", "root").alias("root")).union(fresh)
             labels = written(fresh, "labels")
-        drop_tables(spark, linked, hubs, pairs, members, *([with_left] if few else []))
+        drop_tables(spark, linked, hubs, members)
         members = rest
         number += 1
     if labels is None:
-        key = members.schema["key"].dataType.simpleString()
-        labels = spark.createDataFrame([], f"key {key}, root {key}")
+        labels = spark.createDataFrame([], f"key {kind}, root {kind}")
     drop_tables(spark, members, content)
     # the root itself belongs to its class
     return labels.union(labels.select(F.col("root").alias("key"), "root").distinct())

@@ -11,7 +11,6 @@ classes.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,26 +69,6 @@ def prob_minhash(
     return owner
 
 
-def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
-    """Exact similarity of two weighted sets, given as sorted values with weights.
-
-    The sum over common d of 1 / sum over e of max(wa[e] / wa[d], wb[e] / wb[d]). For each
-    d the inner sum splits at the ratio wa[e] / wb[e] = wa[d] / wb[d].
-    """
-    _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if not len(ia):
-        return 0.0
-    alone_a, alone_b = wa.sum() - wa[ia].sum(), wb.sum() - wb[ib].sum()
-    xa, xb = wa[ia], wb[ib]
-    ratio = xa / xb
-    order = np.argsort(ratio, kind="stable")
-    xa, xb, ratio = xa[order], xb[order], ratio[order]
-    below = np.searchsorted(ratio, ratio, side="right")  # wa[e]/wa[d] is the smaller there
-    cum_a, cum_b = np.append(0, np.cumsum(xa)), np.append(0, np.cumsum(xb))
-    most = (alone_a + cum_a[-1] - cum_a[below]) / xa + (alone_b + cum_b[below]) / xb
-    return float((1 / most).sum())
-
-
 class Signer:
     """Keys, bands and shingles of texts, on a worker."""
 
@@ -164,22 +143,6 @@ def _signed(texts: DataFrame, bands: int, rows: int, shared) -> DataFrame:
     )
 
 
-def _similar(least: float):
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for a, b in batches:
-            out = []
-            for x, y in zip(a, b):
-                parts = []
-                for side in (x, y):
-                    values = np.frombuffer(side["values"].as_py(), np.uint64)
-                    weights = side["weights"].as_py()
-                    parts += [values, np.ones(len(values)) if weights is None else np.frombuffer(weights)]
-                out.append(probability_jaccard(*parts) >= least)
-            yield pa.array(out, pa.bool_())
-
-    return F.arrow_udf(run, "boolean")
-
-
 def keyed_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, key, root`` of every row: the key of its words and of its class's smallest text.
 
@@ -193,7 +156,7 @@ def keyed_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     near = table.where("values IS NOT NULL")
     content = near.select("key", F.struct("values", "weights").alias("body"))
     members = near.select("key", F.explode("bands").alias("bucket"))
-    linked = classes(members, content, _similar(similarity))
+    linked = classes(members, content, similarity)
     every = table.select("doc_id", "key")
     return every.join(linked, "key", "left").select(
         "doc_id", "key", F.coalesce("root", "key").alias("root")

@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -133,20 +132,6 @@ def _found(texts: DataFrame, similarity: float, least_words: int, shared) -> Dat
     )
 
 
-def _similar(least: float):
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for a, b in batches:
-            out = []
-            for x, y in zip(a.to_pylist(), b.to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                # in whole numbers: a similarity of exactly the least counts
-                out.append(both >= round(least * 1000) * (len(x) + len(y) - both) / 1000)
-            yield pa.array(out, pa.bool_())
-
-    return F.arrow_udf(run, "boolean")
-
-
 def repeated_paragraphs(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -173,9 +158,9 @@ def repeated_paragraphs(
         _found(texts, similarity, least_words, spark.sparkContext.broadcast(again)), "paragraphs"
     )
     near = found.where("values IS NOT NULL")
-    content = near.select("key", F.col("values").alias("body"))
+    content = near.select("key", F.struct("values", F.lit(None).cast("binary").alias("weights")).alias("body"))
     members = near.select("key", F.explode("bands").alias("bucket"))
-    linked = classes(members, content, _similar(similarity))
+    linked = classes(members, content, similarity)
     spans = found.select("doc_id", "place", "start", "end", "key").join(linked, "key", "left")
     spans = spans.withColumn("root", F.coalesce("root", "key")).drop("key")
     first = (

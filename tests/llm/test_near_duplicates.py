@@ -5,13 +5,16 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from packetscope.llm import linking
 from packetscope.llm.common import words_of
+from packetscope.llm.comparing import alike, probability_jaccard
 from packetscope.llm.linking import classes, connected, repeated
 from packetscope.llm.near_duplicates import (
-    near_duplicates, prob_minhash, probability_jaccard, without_near_duplicates,
+    near_duplicates, prob_minhash, without_near_duplicates,
 )
 from packetscope.llm.shingles import Shingler, counted, mixed, tuned
 
@@ -160,10 +163,43 @@ def test_components(spark):
     assert got == top
 
 
-def test_a_crowded_bucket_is_checked_whole(spark):
-    """Items of one bucket, linked only to their neighbours in a chain."""
+def body(values, weights=None):
+    packed = None if weights is None else np.asarray(weights, np.float64).tobytes()
+    return {"values": np.sort(np.asarray(values, np.uint64)).tobytes(), "weights": packed}
+
+
+@pytest.mark.parametrize("room", [0, 1000, linking.BROADCAST_BYTES])
+def test_a_crowded_bucket_is_checked_whole(spark, monkeypatch, room):
+    """Items of one bucket, linked only to their neighbours in a chain; with hubs that are
+    joined, both in turn, and broadcast."""
+    monkeypatch.setattr(linking, "BROADCAST_BYTES", room)
     n = 40
-    members = spark.range(n).select(F.lit(1).cast("long").alias("bucket"), F.col("id").alias("key"))
-    content = spark.range(n).select(F.col("id").alias("key"), (F.col("id") + F.when(F.col("id") >= 30, 9).otherwise(0)).alias("body"))
-    found = classes(members, content, lambda a, b: F.abs(a - b) <= 1).collect()
-    assert {r.key: r.root for r in found} == {i: 0 if i < 30 else 30 for i in range(n)}
+    start = [i + (9 if i >= 30 else 0) for i in range(n)]
+    key = lambda i: i.to_bytes(2, "big")
+    members = spark.createDataFrame([(1, key(i)) for i in range(n)], "bucket long, key binary")
+    content = spark.createDataFrame(
+        [(key(i), body(range(s, s + 10))) for i, s in enumerate(start)],
+        "key binary, body struct<values: binary, weights: binary>",
+    )
+    found = classes(members, content, 0.8).collect()
+    assert {bytes(r.key): bytes(r.root) for r in found} == {key(i): key(0 if i < 30 else 30) for i in range(n)}
+
+
+def test_many_hubs_at_once_are_the_pairs_one_by_one():
+    rng = np.random.default_rng(5)
+    sets = []
+    for i in range(60):
+        values = np.unique(np.append(rng.choice(40, rng.integers(25, 40), replace=False), 100 * (i % 3)))
+        weights = 1 + np.log(rng.integers(1, 4, len(values))) if i % 2 else None
+        sets.append({"root": bytes([i]), "buckets": [i % 2, 2 + i % 5], **body(values, weights)})
+    hubs = linking.Hubs(pa.Table.from_pylist(sets[:30]))
+    linked = 0
+    for x in sets:
+        for least in (0.3, 0.5, 0.7):
+            want = {
+                y["root"] for y in sets[:30]
+                if x["root"] != y["root"] and set(x["buckets"]) & set(y["buckets"]) and alike(x, y, least)
+            }
+            assert hubs(x["root"], x["buckets"], x["values"], x["weights"], least) == want
+            linked += len(want)
+    assert linked > 100
