@@ -28,6 +28,8 @@ LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
 BROADCAST_PAIRS = 50_000
 # bytes of hubs that are broadcast; more hubs are joined
 BROADCAST_BYTES = 16 << 20
+# links whose ends' least neighbours are broadcast while classes are made; about 50 bytes each
+BROADCAST_LINKS = 200_000
 # hubs of a bucket by round: the first finds most links, the later ones what it missed
 _HUBS = (1, 4, 16)
 # the same where hubs are broadcast, which makes no rows of pairs
@@ -105,14 +107,16 @@ def connected(links: DataFrame) -> DataFrame:
     edges = written(ordered.where("u <> v").distinct(), "edges")
     mark = _mark(edges)
     while True:
+        few = F.broadcast if mark[0] <= BROADCAST_LINKS else (lambda df: df)
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         larger = (
-            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+            .join(few(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         ).where("u <> v")
         larger = larger.distinct()
         smallest = larger.groupBy("u").agg(F.min("v").alias("m"))
-        down = larger.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = larger.join(few(smallest), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = written(
             down.where("u <> v").union(smallest.select("u", F.col("m").alias("v"))).distinct(), "edges"
         )
