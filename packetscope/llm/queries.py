@@ -13,7 +13,7 @@ from packetscope.llm import (
     language_scores,
     near_duplicates,
     neighbours,
-    paragraphs,
+    passages,
     secrets,
     token_counts,
     toxicity,
@@ -49,7 +49,7 @@ def op5_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
