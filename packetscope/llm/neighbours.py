@@ -12,6 +12,7 @@ graph.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +25,24 @@ from packetscope.llm.common import slices
 from packetscope.llm.linking import drop_tables
 from packetscope.session import ship, written
 
-# neighbours of a node, sets of random planes, rounds at most
-DEGREE, TABLES, ROUNDS = 16, 32, 3
+# neighbours of a node
+DEGREE = 20
 # planes in a set, nodes compared in a block, neighbours a block and a meeting propose
 _PLANES, _BLOCK, _PROPOSED = 24, 1024, 4
-# best nodes a query keeps, nodes it looks at in one step, steps
-BEAM, WIDE, STEPS = 40, 10, 3
-# a round that raises the sum of similarities by less ends the descent
-_GAIN = 0.002
+# the part of its best nodes that a query looks at in one step
+_WIDE = 4
+# a round that changes a smaller share of the edges ends the descent
+_CHANGED = 0.01
+
+
+def tables_for(count: int) -> int:
+    """Sets of random planes: more for more nodes, as a block holds a smaller share of them."""
+    return max(32, 8 * math.ceil(math.log2(max(count, _BLOCK) / _BLOCK)))
+
+
+def beam_for(count: int) -> int:
+    """Best nodes a query keeps."""
+    return 16 * max(4, math.ceil(math.log2(max(count, 2))))
 
 
 def usable(vector: Column) -> Column:
@@ -101,13 +112,13 @@ def _edges(parts) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_EDGE)
 
 
-def _first_edges(nodes: DataFrame, tables: int) -> DataFrame:
+def _first_edges(nodes: DataFrame, count: int) -> DataFrame:
     """Neighbours within blocks of nodes, in the order of the sides of planes they lie on.
 
     Each set of planes orders all nodes anew. Ties are broken by a hash, so a crowd on the
     same sides is cut into blocks like any other.
     """
-    count = nodes.count()
+    tables = tables_for(count)
 
     def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights = 1 << np.arange(_PLANES)[::-1]
@@ -152,7 +163,7 @@ def _first_edges(nodes: DataFrame, tables: int) -> DataFrame:
 
 def _best(edges: DataFrame, degree: int) -> DataFrame:
     """The best distinct edges of every node; all but a node's best leave before the shuffle."""
-    once = edges.groupBy("node", "other").agg(F.max("near").alias("near"))
+    once = edges.groupBy("node", "other").agg(F.max("near").alias("near"), F.max("old").alias("old"))
     rank = F.row_number().over(W.partitionBy("node").orderBy(F.desc("near"), "other"))
     return once.withColumn("rank", rank).where(F.col("rank") <= degree).drop("rank")
 
@@ -188,20 +199,21 @@ def _meet(lists: DataFrame, most: int) -> DataFrame:
     return lists.select("around").mapInArrow(run, "node long, other long, near float")
 
 
-def build_graph(
-    nodes: DataFrame, degree: int = DEGREE, tables: int = TABLES, rounds: int = ROUNDS
-) -> DataFrame:
-    """``node, other, near``: the neighbour graph of all nodes by NN-descent."""
-    edges = written(_best(_first_edges(nodes, tables), degree), "graph")
-    total = edges.agg(F.sum("near")).first()[0]
-    for number in range(rounds if total is not None else 0):
+def build_graph(nodes: DataFrame, count: int, degree: int = DEGREE) -> DataFrame:
+    """``node, other``: the neighbour graph of all ``count`` nodes by NN-descent, which goes on
+    until hardly an edge changes."""
+    old = F.lit(True).alias("old")
+    edges = written(_best(_first_edges(nodes, count).withColumn("old", F.lit(False)), degree), "graph")
+    number = 0
+    while True:
         met = _meet(_with_units(_around(edges, degree, number), nodes), _PROPOSED)
-        after = written(_best(edges.union(met), degree), "graph")
+        known = edges.select(*_EDGE, old).union(met.withColumn("old", F.lit(False)))
+        after = written(_best(known, degree), "graph")
         drop_tables(edges.sparkSession, edges)
-        edges, before, total = after, total, after.agg(F.sum("near")).first()[0]
-        if total - before < _GAIN * abs(before):
-            break
-    return edges
+        edges, number = after, number + 1
+        fresh, every = edges.agg(F.count_if(~F.col("old")), F.count(F.lit(1))).first()
+        if fresh <= _CHANGED * every:
+            return edges.drop("old")
 
 
 def _similarity():
@@ -227,12 +239,17 @@ def _cosine():
     return F.arrow_udf(run, "double")
 
 
-def _walk(starts: DataFrame, graph: DataFrame, units: DataFrame, beam: int, wide: int, steps: int) -> DataFrame:
-    """``query, node, near``: the best nodes each query meets. ``starts`` has ``query, node, near``."""
+def _walk(starts: DataFrame, graph: DataFrame, units: DataFrame, beam: int) -> DataFrame:
+    """``query, node, near``: the best nodes each query meets. ``starts`` has ``query, node, near``.
+
+    A query walks until it has looked at all of its best nodes. A node that was dropped is
+    never among the best again, so the walk ends.
+    """
+    wide = -(-beam // _WIDE)
     similarity = _similarity()
     best = W.partitionBy("query").orderBy(F.desc("near"), "node")
-    state = starts.withColumn("open", F.lit(True))
-    for _ in range(steps):
+    state = begun = starts.withColumn("open", F.lit(True))
+    while not state.where("open").isEmpty():
         of_open = W.partitionBy("query", "open").orderBy(F.desc("near"), "node")
         chosen = state.withColumn("chosen", F.col("open") & (F.row_number().over(of_open) <= wide))
         chosen = written(chosen, "beam")
@@ -247,10 +264,11 @@ def _walk(starts: DataFrame, graph: DataFrame, units: DataFrame, beam: int, wide
         merged = known.union(seen).groupBy("query", "node").agg(
             F.max("near").alias("near"), F.min("open").alias("open")
         )
+        before = state
         state = written(
             merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= beam).drop("rank"), "beam"
         )
-        drop_tables(state.sparkSession, chosen)
+        drop_tables(state.sparkSession, chosen, None if before is begun else before)
     return state.select("query", "node", "near")
 
 
@@ -261,7 +279,7 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     degree: int = DEGREE,
-    beam: int = BEAM,
+    beam: int | None = None,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` nearest other rows by cosine.
 
@@ -276,7 +294,8 @@ def nearest(
     ship(vectors.sparkSession)
     rows = written(_rows(vectors, id_col, vector_col), "vectors")
     nodes = _nodes(rows, k + 1)
-    edges = build_graph(nodes, degree)
+    count = nodes.count()
+    edges = build_graph(nodes, count, degree)
     graph = written(_with_units(_around(edges, degree, -1), nodes), "walkable")
     asked = rows.where(queries).join(nodes.select("vector", "node", "unit"), "vector")
     asked = written(asked.select(F.col("vec_id").alias("query_id"), F.col("node").alias("query")), "asked")
@@ -284,7 +303,7 @@ def nearest(
     of_query = nodes.join(asked.select(F.col("query").alias("node")).distinct(), "node", "left_semi")
     units = written(of_query.select(F.col("node").alias("query"), F.col("unit").alias("query_unit")), "asked")
     starts = units.select("query", F.col("query").alias("node"), F.lit(1.0).cast("float").alias("near"))
-    found = _walk(starts, graph, units, max(beam, 3 * k), WIDE, STEPS)
+    found = _walk(starts, graph, units, max(beam or beam_for(count), 3 * k))
     scored = (
         found.join(nodes.select("node", "vector", "ids"), "node")
         .join(of_query.select(F.col("node").alias("query"), F.col("vector").alias("query_vector")), "query")

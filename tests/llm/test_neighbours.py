@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetscope.llm.common import table
-from packetscope.llm.neighbours import nearest
+from packetscope.llm.neighbours import _walk, beam_for, nearest, tables_for
 
 
 def brute(rows, asked, k):
@@ -70,3 +70,22 @@ def test_recall(spark):
         hits += (part.score >= fifth - 1e-9).sum()
         total += 5
     assert total == 5 * (ids % 50 == 0).sum() and hits / total >= 0.9
+
+
+def test_walk_goes_on_until_it_has_looked_at_all_of_its_best(spark):
+    n = 12
+    turn = [np.array([math.cos(a), math.sin(a)], np.float16).tobytes() for a in np.linspace(1.5, 0, n)]
+    # each node knows only the next one, and the last is the nearest to the query
+    graph = spark.createDataFrame(
+        [(i, [(i + 1, turn[i + 1])]) for i in range(n - 1)], "node long, around array<struct<other: long, unit: binary>>"
+    )
+    units = spark.createDataFrame([(100, turn[-1])], "query long, query_unit binary")
+    starts = spark.createDataFrame([(100, 0, 0.0)], "query long, node long, near float")
+    got = _walk(starts, graph, units, 4).orderBy(F.desc("near")).collect()
+    assert [r.node for r in got] == [11, 10, 9, 8]
+
+
+def test_plane_sets_and_beam_grow_with_the_rows():
+    sizes = [0, 2_000, 150_000, 10_000_000]
+    assert [tables_for(s) for s in sizes] == [32, 32, 64, 112]
+    assert [beam_for(s) for s in sizes] == [64, 176, 288, 384]
