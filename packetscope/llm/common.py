@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +66,18 @@ def text_udf(kind: str, arrow_kind: pa.DataType, worker):
             yield pa.concat_arrays(parts) if parts else pa.array([], arrow_kind)
 
     return F.arrow_udf(run, kind)
+
+
+def byte_slices(
+    batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 22
+) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts take ``most`` bytes, or one row if it is longer."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+        ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from packetscope.llm import (
     decontamination,
     encoding,
+    filter_audit,
+    hard_negatives,
     language_scores,
     near_duplicates,
     neighbours,
+    packing,
     passages,
     secrets,
     token_counts,
@@ -70,6 +73,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.digests(encoding.encode_documents(table(spark, sf_dir, "documents")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return filter_audit.filter_interactions(docs, labels)
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_near_duplicates,
         op10_bpe,
+        op11_hard_negatives,
+        op12_filter_audit,
+        op13_packing,
     )
 }
 
@@ -122,5 +143,63 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+_OP11 = """
+WITH v AS (SELECT vec_id,
+    CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.q, c.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same
+  AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3
+"""
+
+_OP12 = """
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
+    min(doc_id) OVER (PARTITION BY text) AS first_id FROM t),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic
+  FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CAST(len(words) < 200 AS INT)
+    + 2 * CAST(100 * len(list_distinct(words)) < 50 * len(words) AS INT)
+    + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS INT)
+    + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT)
+    + 16 * CAST(coalesce(w.doc_id > first_id, false) AS INT) AS failed
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+c AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, CAST(k AS INTEGER) AS step,
+    CAST(1 << (ascii(filter_order[k]) - 65) AS INT) AS own,
+    CAST(list_sum(list_transform(range(1, k), lambda i: 1 << (ascii(filter_order[i]) - 65))) AS INT) AS before
+  FROM o, unnest(range(1, 6)) AS u(k)),
+r AS (SELECT part, filter_order, step, own, c.*, coalesce(before, 0) AS b FROM s, c)
+SELECT part, filter_order, step,
+  CAST(coalesce(sum(n) FILTER (failed & (b | own) = 0), 0) AS BIGINT) AS kept,
+  CAST(coalesce(sum(n) FILTER (failed & b = 0 AND failed & own <> 0), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (failed & b <> 0 AND failed & own <> 0), 0) AS BIGINT) AS redundant,
+  CAST(coalesce(sum(n) FILTER (failed = own), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (failed & b = 0 AND failed & own <> 0), 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(sum(toxic) FILTER (failed & b = 0 AND failed & own <> 0), 0) AS BIGINT) AS toxic_lost,
+  CAST(sum(coalesce(sum(n) FILTER (failed & b = 0 AND failed & own <> 0), 0))
+    OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r GROUP BY part, filter_order, step, own
+"""
+
 # the other results rest on tokenizers, models, signatures or match positions
-ORACLE_SQL: dict[str, str] = {"op1_warc": _OP1, "op7_decontaminate": _OP7}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": _OP1,
+    "op7_decontaminate": _OP7,
+    "op11_hard_negatives": _OP11,
+    "op12_filter_audit": _OP12,
+}
