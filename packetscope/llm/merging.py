@@ -18,8 +18,8 @@ from packetscope.llm.unicode import Assigned
 
 # pieces a worker remembers, longest of them, longest word that is merged with the others
 REMEMBERED, SHORT, LONGEST = 1 << 19, 64, 48
-# white space that is not a lone character between two others
-_RUNS = re.compile(r"\s\s|\A\s|\s\Z")
+# marks that are a pre-token of their own after letters; an apostrophe may begin a contraction
+_MARKS = frozenset(".,;:!?")
 _NONE = np.int64(1) << 60
 
 
@@ -33,6 +33,9 @@ class Merger:
         found = np.array(list(vocabulary.ranks.values()), np.int64).reshape(-1, 2)
         order = np.argsort(codes)
         self.codes, self.rank, self.merged = codes[order], found[order, 0], found[order, 1]
+        # the first look at a word needs pairs of bytes only
+        left, right = np.repeat(self.first, 256), np.tile(self.first, 256)
+        self.byte_ranks, self.byte_merged = self._ranks(left, right)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (or a huge number) and merged id of each pair."""
@@ -52,10 +55,11 @@ class Merger:
         sizes = np.array([len(w) for w in words], np.int64)
         if not words:
             return []
-        ids = self.first[np.frombuffer(b"".join(words), np.uint8)]
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        ids, pairs = self.first[raw], raw[:-1].astype(np.int64) << 8 | raw[1:]
         word = np.repeat(np.arange(len(words)), sizes)
         out: list[bytes] = [b""] * len(words)
-        rank, new = self._ranks(ids[:-1], ids[1:])
+        rank, new = self.byte_ranks[pairs], self.byte_merged[pairs]
         rank, new = np.append(rank, _NONE), np.append(new, 0)
         rank[np.flatnonzero(np.diff(word))] = _NONE  # a word's last place has no pair
         while len(ids):
@@ -106,7 +110,8 @@ class Encoder:
         # pieces without white space inside, at a line's beginning and after a space
         self.led: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
-        self.newline = self._merge(["\n"])[0]
+        self.newline, *marks = self._merge(["\n", *_MARKS])
+        self.marks = dict(zip(_MARKS, marks))
 
     @classmethod
     def of(cls, file: str) -> Encoder:
@@ -138,6 +143,9 @@ class Encoder:
         plain = [p for p in new if p.isalpha()]
         cache.update(zip(plain, self._merge([lead + p for p in plain])))
         new.difference_update(plain)
+        for piece in [p for p in new if p[-1:] in _MARKS and p[:-1] in cache and p[:-1].isalpha()]:
+            cache[piece] = cache[piece[:-1]] + self.marks[piece[-1]]
+            new.remove(piece)
         split = {p: self.pretokens(lead + p) for p in new}
         self._learn_words(set().union(*split.values()))
         words = self.words.__getitem__
@@ -160,7 +168,8 @@ class Encoder:
                     plan.append(self.vocabulary.special[part].to_bytes(4, "little"))
                 elif not part:
                     continue
-                elif _RUNS.search(part):
+                elif part.replace("\n", " ").split(" ") != part.split():
+                    # white space that is more than one blank between two pieces
                     words = self.pretokens(part)
                     loose.update(words)
                     plan.append((words, None))
