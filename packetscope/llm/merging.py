@@ -20,7 +20,7 @@ from packetscope.llm.unicode import Assigned
 REMEMBERED, SHORT, LONGEST = 1 << 19, 64, 48
 # marks that are a pre-token of their own after letters; an apostrophe may begin a contraction
 _MARKS = frozenset(".,;:!?")
-_NONE = np.int64(1) << 60
+_NONE = np.int32(1 << 30)
 
 
 class Merger:
@@ -28,9 +28,9 @@ class Merger:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.first = np.array(vocabulary.first, np.int64)
+        self.first = np.array(vocabulary.first, np.int32)
         codes = np.array([(a << 32) | b for a, b in vocabulary.ranks], np.int64)
-        found = np.array(list(vocabulary.ranks.values()), np.int64).reshape(-1, 2)
+        found = np.array(list(vocabulary.ranks.values()), np.int32).reshape(-1, 2)
         order = np.argsort(codes)
         self.codes, self.rank, self.merged = codes[order], found[order, 0], found[order, 1]
         # the first look at a word needs pairs of bytes only
@@ -40,8 +40,8 @@ class Merger:
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (or a huge number) and merged id of each pair."""
         if not len(self.codes):
-            return np.full(len(left), _NONE), np.zeros(len(left), np.int64)
-        codes = (left << 32) | right
+            return np.full(len(left), _NONE), np.zeros(len(left), np.int32)
+        codes = (left.astype(np.int64) << 32) | right
         at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
         known = self.codes[at] == codes
         return np.where(known, self.rank[at], _NONE), self.merged[at]
@@ -57,10 +57,10 @@ class Merger:
             return []
         raw = np.frombuffer(b"".join(words), np.uint8)
         ids, pairs = self.first[raw], raw[:-1].astype(np.int64) << 8 | raw[1:]
-        word = np.repeat(np.arange(len(words)), sizes)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         out: list[bytes] = [b""] * len(words)
         rank, new = self.byte_ranks[pairs], self.byte_merged[pairs]
-        rank, new = np.append(rank, _NONE), np.append(new, 0)
+        rank, new = np.append(rank, _NONE), np.append(new, _NONE)
         rank[np.flatnonzero(np.diff(word))] = _NONE  # a word's last place has no pair
         while len(ids):
             starts = np.flatnonzero(np.diff(word, prepend=-1))
