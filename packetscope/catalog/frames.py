@@ -48,6 +48,83 @@ def frame_ipv4(packets):
     )
 
 
+# Packets of the test relation between IPv6 addresses, in the shortest form of their text.
+_V6 = """v6 AS (SELECT packet_id, ts, src_mac, dst_mac, protocol, transport, src_port, dst_port, ttl, payload_hex,
+ body_hex, length(body_hex) // 2 AS size, 1 + user_id % 4095 AS s, 1 + packet_id % 4095 AS d,
+ CASE transport WHEN 'TCP' THEN 6 WHEN 'UDP' THEN 17 ELSE 58 END AS number,
+ '2001:db8::' || printf('%x', 1 + user_id % 4095) AS src, 'fe80::1:0:0:' || printf('%x', 1 + packet_id % 4095) AS dst
+ FROM bodies WHERE protocol <> 'ARP'),
+sums AS (SELECT *, size + number + 8193 + 3512 + s + 65152 + 1 + d + CAST(coalesce(list_sum(list_transform(
+  range(0, (size + 1) // 2), lambda i: CAST('0x' || rpad(substr(body_hex, i * 4 + 1, 4), 4, '0') AS BIGINT))), 0)
+  AS BIGINT) AS w FROM v6),
+folded AS (SELECT *, (w & 65535) + (w >> 16) AS once FROM sums),
+checked AS (SELECT *, (once & 65535) + (once >> 16) AS twice FROM folded)"""
+
+
+def in_ipv6(packets):
+    """IP packets of the relation, moved to IPv6 addresses."""
+
+    def digits(column: str):
+        return F.lower(F.hex(1 + F.col(column) % 4095))
+
+    return packets.filter("protocol <> 'ARP'").withColumns(
+        {
+            "src_ip": F.concat(F.lit("2001:db8::"), digits("user_id")),
+            "dst_ip": F.concat(F.lit("fe80::1:0:0:"), digits("packet_id")),
+        }
+    )
+
+
+@query(
+    "frame_ipv6",
+    f""", {sql.FRAMES}, {_V6} SELECT packet_id, 6 AS ip_version, 0 AS ip_dscp_ecn, 0 AS ip6_flow_label,
+ CAST(size AS INT) AS ip6_payload_length, number AS ip6_next_header, ttl, src AS src_ip, dst AS dst_ip,
+ CASE WHEN transport IN ('TCP', 'UDP') THEN src_port END AS src_port,
+ CASE WHEN transport IN ('TCP', 'UDP') THEN dst_port END AS dst_port,
+ CASE WHEN transport IN ('TCP', 'UDP') THEN CAST(CASE WHEN twice = 65535 THEN 65535 ELSE 65535 - twice END AS INT)
+ END AS checksum FROM checked""",
+)
+def frame_ipv6(packets):
+    """IPv6 headers, and the transport checksum that covers their addresses."""
+    headers = decode.frame_headers(encode.frames(in_ipv6(packets)))
+    return headers.filter("ip_version = 6").select(
+        "packet_id", "ip_version", "ip_dscp_ecn", "ip6_flow_label", "ip6_payload_length",
+        "ip6_next_header", "ttl", "src_ip", "dst_ip",
+        F.coalesce("tcp_src_port", "udp_src_port").alias("src_port"),
+        F.coalesce("tcp_dst_port", "udp_dst_port").alias("dst_port"),
+        F.coalesce("tcp_checksum", "udp_checksum_value").alias("checksum"),
+    )
+
+
+def tagged(frames):
+    """None, one or two VLAN tags, by packet id; the outer of two is a service tag."""
+    number = F.col("packet_id")
+    inner = encode.with_vlan_tag(frames, F.lit(0x8100), number % 4095, number % 3 > 0)
+    return encode.with_vlan_tag(inner, F.lit(0x88A8), number % 91, number % 3 == 2)
+
+
+_TAGS = """CAST(packet_id % 3 AS INT) AS vlan_depth,
+ CAST(CASE packet_id % 3 WHEN 1 THEN packet_id % 4095 WHEN 2 THEN packet_id % 91 END AS INT) AS vlan_outer,
+ CAST(CASE WHEN packet_id % 3 > 0 THEN packet_id % 4095 END AS INT) AS vlan_inner"""
+
+
+@query(
+    "frame_vlan",
+    f""" SELECT packet_id, CASE packet_id % 3 WHEN 1 THEN 33024 WHEN 2 THEN 34984 ELSE
+ CASE WHEN protocol = 'ARP' THEN 2054 ELSE 2048 END END AS ethertype, {_TAGS},
+ CASE WHEN protocol <> 'ARP' THEN src_ip END AS src_ip, CASE WHEN protocol <> 'ARP' THEN dst_ip END AS dst_ip,
+ CASE WHEN ({sql.TRANSPORT}) = 'TCP' THEN src_port END AS tcp_src_port,
+ CASE WHEN ({sql.TRANSPORT}) = 'UDP' THEN dst_port END AS udp_dst_port, icmp_type,
+ CASE WHEN protocol = 'ARP' THEN src_ip END AS arp_src_ip FROM packets""",
+)
+def frame_vlan(packets):
+    """Headers behind stacked VLAN tags."""
+    return decode.frame_headers(tagged(encode.frames(packets))).select(
+        "packet_id", "ethertype", "vlan_depth", "vlan_outer", "vlan_inner", "src_ip", "dst_ip",
+        "tcp_src_port", "udp_dst_port", "icmp_type", "arp_src_ip",
+    )
+
+
 @query(
     "frame_tcp",
     f""" SELECT packet_id, src_port AS tcp_src_port, dst_port AS tcp_dst_port, 1::BIGINT AS tcp_seq, 1::BIGINT AS tcp_ack,
@@ -147,6 +224,30 @@ def decode_frames(packets):
     )
 
 
+@query(
+    "decode_mixed",
+    f""", {sql.FRAMES}, {_V6}, {_NAMES}, mixed AS (
+ SELECT packet_id, ts, protocol, src_ip AS src, dst_ip AS dst, CAST(length(frame_hex) // 2 AS INT) AS size FROM frames
+ WHERE packet_id % 2 = 0 OR protocol = 'ARP'
+ UNION ALL SELECT packet_id, ts, CASE WHEN protocol = 'ICMP' THEN '58' ELSE protocol END, src, dst,
+  CAST(54 + size AS INT) FROM v6 WHERE packet_id % 2 = 1)
+SELECT packet_id, m.ts, m.src AS src_ip, m.dst AS dst_ip, p.src_port, p.dst_port, p.ttl,
+ CASE WHEN m.protocol IN ('HTTPS', 'FTP', 'SSH', 'TELNET') THEN 'TCP' ELSE m.protocol END AS protocol,
+ CAST(m.size + 4 * (packet_id % 3) AS INT) AS length, CASE WHEN m.protocol = 'ICMP' THEN icmp_type END AS icmp_type,
+ http_method, http_host, arp_opcode, {_APP.replace("protocol =", "m.protocol =")}
+FROM mixed m JOIN packets p USING (packet_id)
+LEFT JOIN dhcp ON dhcp_type_code = dhcp.code LEFT JOIN snmp ON snmp_pdu_code = snmp.code""",
+)
+def decode_mixed(packets):
+    """Whole rows of IPv4, IPv6 and ARP frames with none, one or two VLAN tags."""
+    even = (F.col("packet_id") % 2 == 0) | (F.col("protocol") == "ARP")
+    mixed = encode.frames(packets.filter(even)).unionByName(encode.frames(in_ipv6(packets.filter(~even))))
+    return decode.decode_frames(tagged(mixed)).select(
+        "packet_id", "ts", "src_ip", "dst_ip", "src_port", "dst_port", "ttl", "protocol", "length",
+        "icmp_type", "http_method", "http_host", "arp_opcode", *_APP_COLUMNS,
+    )
+
+
 @query(
     "hex_dump",
     f""", {sql.FRAMES}, pieces AS (SELECT packet_id, byte_offset, substr(frame_hex, byte_offset * 2 + 1, 32) AS piece
@@ -211,7 +312,7 @@ def sig_frames(packets):
         F.substring(digits, 1, 28), version, F.lit("000000"), F.substring(digits, 37, 4), fragment,
         F.substring(digits, F.lit(45), F.length(digits)), marker,
     )
-    frames = encode.with_frame(ip).select("packet_id", "ts", F.unhex(patched).alias("frame"))
+    frames = encode.with_frame(ip, ("tcp_window",)).select("packet_id", "ts", F.unhex(patched).alias("frame"))
     found = with_frame_signatures(decode.frame_headers(frames))
     marks = ["bad_ip_version", "all_ip_flags", "tiny_fragment", "test_virus"]
     none = [F.lit(0).alias(m) for m in marks]

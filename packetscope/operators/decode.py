@@ -1,8 +1,10 @@
 """Frame bytes to typed columns.
 
-Fixed-position headers are read natively from the hex text of the first bytes;
-only DNS, DHCP and SNMP bodies go through Python (see ``appdata``). Every read
-is guarded by the frame length, so a short frame gives NULL, never garbage.
+Layers are found by walking: VLAN tags shift the network header, IPv4 options and the
+IPv6 extension headers shift the transport header. Header fields are read natively from the
+frame's bytes at those places; only DNS, DHCP and SNMP bodies go through Python (see
+``appdata``). Every read is guarded by the frame length, so a short frame gives NULL,
+never garbage.
 """
 
 from __future__ import annotations
@@ -24,21 +26,25 @@ from packetscope.operators.lookups import (
 from packetscope.plans.staged import computed_once
 from packetscope.session import ship
 
-# Ethernet 14, IPv4 at most 60, fixed TCP part 20
-_HEADER_BYTES = 94
 _ETHERNET = 14
+_IPV6 = 40
+# types that announce a VLAN tag (802.1Q, 802.1ad)
+_TAGS = (0x8100, 0x88A8)
+# IPv6 extension headers counted in units of eight bytes, besides fragment and authentication
+_OPTIONS, _FRAGMENT, _AUTHENTICATION = (0, 43, 60, 135, 139, 140), 44, 51
+
+
+def _number_sql(at: str | int, octets: int) -> str:
+    return f"CAST(conv(hex(substring(frame, ({at}) + 1, {octets})), 16, 10) AS BIGINT)"
 
 
 def _word(at: str | int, octets: int) -> Column:
-    """Up to seven bytes of the staged header as one BIGINT; NULL past the end.
+    """Up to seven bytes of the frame as one BIGINT; NULL past the end.
 
-    ``at`` is an offset or SQL for one. Turning hex digits into a number is the
-    costly step, so neighbouring fields are read as one word and taken apart.
+    ``at`` is an offset or SQL for one. Turning bytes into a number is the costly
+    step, so neighbouring fields are read as one word and taken apart.
     """
-    return F.expr(
-        f"CASE WHEN __size >= {at} + {octets} THEN"
-        f" CAST(conv(substring(__hex, ({at}) * 2 + 1, {octets * 2}), 16, 10) AS BIGINT) END"
-    )
+    return F.expr(f"CASE WHEN __size >= {at} + {octets} THEN {_number_sql(at, octets)} END")
 
 
 def _part_sql(word: str, below: int, octets: int) -> str:
@@ -55,15 +61,41 @@ def _ip_text(word: str) -> Column:
     return F.expr(f"CASE WHEN {word} IS NOT NULL THEN concat_ws('.', {octets}) END")
 
 
-def _mac(at: int) -> Column:
-    pairs = ", ".join(f"substring(__hex, {2 * (at + i) + 1}, 2)" for i in range(6))
-    return F.expr(f"CASE WHEN __size >= {at} + 6 THEN concat_ws(':', {pairs}) END")
+def _mac(at: str | int) -> Column:
+    digits = f"lower(hex(substring(frame, ({at}) + 1, 6)))"
+    pairs = f"substring(regexp_replace({digits}, '(..)', '$1:'), 1, 17)"
+    return F.expr(f"CASE WHEN __size >= {at} + 6 THEN {pairs} END")
+
+
+def _ip6_groups(digits: str) -> Column:
+    """Eight groups of 32 hex digits, without leading zeros."""
+    spaced = f"regexp_replace({digits}, '(....)', '$1:')"
+    return F.expr(f"rtrim(':', regexp_replace({spaced}, '0{{0,3}}([0-9a-f]+):', '$1:'))")
+
+
+def _ip6_text(groups: str) -> Column:
+    """Shortest form of an address: the first longest run of zero groups becomes ``::``.
+
+    IPv4 addresses mapped to IPv6 keep their dots. ``groups`` is a column made by
+    :func:`_ip6_groups`.
+    """
+    runs = " ".join(
+        f"WHEN {groups} RLIKE '(^|:)0(:0){{{n - 1}}}(:|$)' THEN"
+        f" regexp_replace({groups}, '^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?::|$)(.*)$', '$1::$2')"
+        for n in range(8, 1, -1)
+    )
+    octets = [
+        f"conv(substring(lpad(split_part({groups}, ':', {g}), 4, '0'), {at}, 2), 16, 10)"
+        for g in (7, 8) for at in (1, 3)
+    ]
+    return F.expr(
+        f"CASE WHEN {groups} LIKE '0:0:0:0:0:ffff:%' THEN concat('::ffff:', concat_ws('.', {', '.join(octets)}))"
+        f" {runs} ELSE {groups} END"
+    )
 
 
 def _stage(df: DataFrame) -> DataFrame:
-    size = F.octet_length("frame")
-    digits = F.lower(F.hex(F.substring(F.col("frame"), 1, _HEADER_BYTES)))
-    return computed_once(df, {"__size": size, "__hex": digits})
+    return computed_once(df, {"__size": F.octet_length("frame")})
 
 
 def _unstage(df: DataFrame) -> DataFrame:
@@ -71,44 +103,117 @@ def _unstage(df: DataFrame) -> DataFrame:
 
 
 def _add_ethernet(df: DataFrame) -> DataFrame:
-    columns = {"src_mac": _mac(6), "dst_mac": _mac(0), "ethertype": _word(12, 2).cast("int")}
-    return computed_once(df, columns)
+    """Addresses, the type field, and VLAN tags.
+
+    ``ethertype`` is what stands behind the addresses; ``vlan_depth`` tags may follow, of
+    which the outermost and the innermost id are given. The network header starts at
+    ``__l3``, its type is ``__type``. Any number of stacked tags is followed.
+    """
+    staged = computed_once(
+        df, {"src_mac": _mac(6), "dst_mac": _mac(0), "ethertype": _word(12, 2).cast("int")}
+    )
+    codes = "|".join(f"{t:04X}" for t in _TAGS)
+    # only tagged frames are matched; a tag is a type and two bytes, and ends with the next type
+    tags = f"regexp_extract(hex(substring(frame, 13)), '^((?:(?:{codes})....(?=....))+)', 1)"
+    is_tagged = f"ethertype IN ({', '.join(map(str, _TAGS))})"
+    staged = computed_once(
+        staged, {"__l3": F.expr(f"{_ETHERNET} + CASE WHEN {is_tagged} THEN length({tags}) DIV 2 ELSE 0 END")}
+    )
+    depth = f"CAST((__l3 - {_ETHERNET}) DIV 4 AS INT)"
+    return computed_once(
+        staged,
+        {
+            "vlan_depth": F.expr(depth),
+            "vlan_outer": F.when(F.expr(f"{depth} > 0"), _word(14, 2).bitwiseAND(F.lit(0xFFF))).cast("int"),
+            "vlan_inner": F.when(
+                F.expr(f"{depth} > 0"), _word("__l3 - 4", 2).bitwiseAND(F.lit(0xFFF))
+            ).cast("int"),
+            "__type": _word("__l3 - 2", 2).cast("int"),
+        },
+    )
+
+
+def _walked_sql() -> str:
+    """Transport protocol, place and fragment word behind the IPv6 extension headers.
+
+    Every header has eight bytes at least, so the steps suffice for any chain. A chain
+    that the frame's end cuts short keeps the number of the header it ends in.
+    """
+    known = ", ".join(map(str, (*_OPTIONS, _FRAGMENT, _AUTHENTICATION)))
+    first = (
+        "named_struct('next', CAST(__next AS INT), 'at', CAST(__l3 + 40 AS INT), 'fragment', CAST(NULL AS INT))"
+    )
+
+    def octet(at: str) -> str:
+        return f"CAST({_number_sql(at, 1)} AS INT)"
+
+    size = (
+        f"CASE s.next WHEN {_FRAGMENT} THEN 8 WHEN {_AUTHENTICATION} THEN 4 * ({octet('s.at + 1')} + 2)"
+        f" ELSE 8 * ({octet('s.at + 1')} + 1) END"
+    )
+    fragment = f"CASE WHEN s.next = {_FRAGMENT} THEN CAST({_number_sql('s.at + 2', 2)} AS INT) ELSE s.fragment END"
+    step = (
+        f"CASE WHEN s.next IN ({known}) AND coalesce(s.fragment, 0) < 8 AND __size >= s.at + 8 THEN"
+        f" named_struct('next', {octet('s.at')}, 'at', s.at + {size}, 'fragment', {fragment}) ELSE s END"
+    )
+    steps = f"sequence(1, greatest(1, CAST((__size - __l3) DIV 8 AS INT)))"
+    return f"CASE WHEN __next IN ({known}) THEN aggregate({steps}, {first}, (s, i) -> {step}) ELSE {first} END"
 
 
-def _add_ipv4(df: DataFrame) -> DataFrame:
-    """IPv4 columns, NULL for other frames.
+def _add_ip(df: DataFrame) -> DataFrame:
+    """IPv4 and IPv6 columns, NULL for other frames.
 
-    Flag bits by RFC 791: 4 reserved, 2 don't fragment, 1 more fragments. The
-    fragment offset is given in units of eight bytes and in bytes.
+    Flag bits of IPv4 by RFC 791: 4 reserved, 2 don't fragment, 1 more fragments. The
+    fragment offset is given in units of eight bytes and in bytes. ``ttl`` is the hop limit
+    of IPv6, ``ip_proto`` the protocol behind its extension headers.
     """
-    known = (F.col("ethertype") == 0x0800) & (F.col("__size") >= _ETHERNET + 20)
-    words = {"__w14": (14, 6), "__w20": (20, 6), "__w26": (26, 4), "__w30": (30, 4)}
+    is_v4 = (F.col("__type") == 0x0800) & (F.col("__size") >= F.col("__l3") + 20)
+    is_v6 = (F.col("__type") == 0x86DD) & (F.col("__size") >= F.col("__l3") + _IPV6)
+    words = {"__w0": (0, 6), "__w6": (6, 6), "__w12": (12, 4), "__w16": (16, 4)}
+    staged = computed_once(
+        df,
+        {name: F.when(is_v4, _word(f"__l3 + {at}", size)) for name, (at, size) in words.items()}
+        | {
+            "__v0": F.when(is_v6, _word("__l3", 4)),
+            "__v4": F.when(is_v6, _word("__l3 + 4", 4)),
+            "__v8": F.when(is_v6, _ip6_groups("lower(hex(substring(frame, __l3 + 9, 16)))")),
+            "__v24": F.when(is_v6, _ip6_groups("lower(hex(substring(frame, __l3 + 25, 16)))")),
+        },
+    )
+    staged = computed_once(staged, {"__next": _part("__v4", 1, 1)})
     staged = computed_once(
-        df, {name: F.when(known, _word(at, size)) for name, (at, size) in words.items()}
+        staged, {"__walk": F.when(F.col("__next").isNotNull(), F.expr(_walked_sql()))}
     )
-    fragment = _part("__w20", 4, 2)
+    v4, v6 = _part("__w6", 4, 2), F.col("__walk.fragment")
     first = computed_once(
         staged,
         {
-            "ip_version": F.shiftright(_part("__w14", 5, 1), 4),
-            "ip_ihl": _part("__w14", 5, 1).bitwiseAND(F.lit(15)),
-            "ip_dscp_ecn": _part("__w14", 4, 1),
-            "ip_total_length": _part("__w14", 2, 2),
-            "ip_id": _part("__w14", 0, 2),
-            "ip_flags": F.shiftright(fragment, 13),
-            "ip_fragment_offset": fragment.bitwiseAND(F.lit(0x1FFF)),
-            "ttl": _part("__w20", 3, 1),
-            "ip_proto": _part("__w20", 2, 1),
-            "ip_checksum": _part("__w20", 0, 2),
-            "src_ip": _ip_text("__w26"),
-            "dst_ip": _ip_text("__w30"),
+            "ip_version": F.coalesce(F.shiftright(_part("__w0", 5, 1), 4), F.shiftright("__v0", 28).cast("int")),
+            "ip_ihl": _part("__w0", 5, 1).bitwiseAND(F.lit(15)),
+            "ip_dscp_ecn": F.coalesce(_part("__w0", 4, 1), F.expr("CAST(shiftright(__v0, 20) & 255 AS INT)")),
+            "ip_total_length": _part("__w0", 2, 2),
+            "ip_id": _part("__w0", 0, 2),
+            "ip_flags": F.shiftright(v4, 13),
+            "ip_fragment_offset": F.coalesce(v4.bitwiseAND(F.lit(0x1FFF)), F.shiftright(v6, 3)),
+            "ttl": F.coalesce(_part("__w6", 3, 1), _part("__v4", 0, 1)),
+            "ip_proto": F.coalesce(_part("__w6", 2, 1), F.col("__walk.next")),
+            "ip_checksum": _part("__w6", 0, 2),
+            "ip6_flow_label": F.expr("CAST(__v0 & 1048575 AS INT)"),
+            "ip6_payload_length": _part("__v4", 2, 2),
+            "ip6_next_header": F.col("__next"),
+            "src_ip": F.coalesce(_ip_text("__w12"), _ip6_text("__v8")),
+            "dst_ip": F.coalesce(_ip_text("__w16"), _ip6_text("__v24")),
         },
     )
     # later fragments carry no transport header
-    header = F.when(F.col("ip_fragment_offset") == 0, F.lit(_ETHERNET) + F.col("ip_ihl") * 4)
-    # a zero total length means the sender left it to the hardware
-    cut = F.least(F.col("__size"), F.lit(_ETHERNET) + F.col("ip_total_length"))
-    end = F.when(F.col("ip_total_length") > 0, cut).otherwise(F.col("__size"))
+    header = F.coalesce(F.col("__l3") + F.col("ip_ihl") * 4, F.col("__walk.at"))
+    header = F.when(F.coalesce("ip_fragment_offset", F.lit(0)) == 0, header)
+    # a zero length means the sender left it to the hardware, or a jumbogram
+    size = F.nullif(
+        F.coalesce(F.col("ip_total_length"), F.col("ip6_payload_length") + F.lit(_IPV6)),
+        F.when(F.col("ip_ihl").isNotNull(), 0).otherwise(_IPV6),
+    )
+    end = F.coalesce(F.least(F.col("__size"), F.col("__l3") + size), F.col("__size"))
     placed = computed_once(first, {"__l4": header, "__end": end})
     return placed.withColumn("ip_fragment_bytes", F.col("ip_fragment_offset") * 8)
 
@@ -151,27 +256,30 @@ def _add_udp(df: DataFrame) -> DataFrame:
 
 def _add_icmp(df: DataFrame) -> DataFrame:
     # type and code may be all a short frame has, so they are read one by one
-    known = F.col("ip_proto") == 1
+    known = (F.col("ip_proto") == 1) & F.col("ip_ihl").isNotNull()
     return computed_once(
         df,
         {
             "icmp_type": F.when(known, _word("__l4", 1)).cast("int"),
             "icmp_code": F.when(known, _word("__l4 + 1", 1)).cast("int"),
+            "icmp6_type": F.when(F.col("ip_proto") == 58, _word("__l4", 1)).cast("int"),
+            "icmp6_code": F.when(F.col("ip_proto") == 58, _word("__l4 + 1", 1)).cast("int"),
         },
     )
 
 
 def _add_arp(df: DataFrame) -> DataFrame:
-    known = (F.col("ethertype") == 0x0806) & (F.col("__size") >= _ETHERNET + 28)
+    known = (F.col("__type") == 0x0806) & (F.col("__size") >= F.col("__l3") + 28)
     staged = computed_once(
-        df, {"__a28": F.when(known, _word(28, 4)), "__a38": F.when(known, _word(38, 4))}
+        df,
+        {"__a14": F.when(known, _word("__l3 + 14", 4)), "__a24": F.when(known, _word("__l3 + 24", 4))},
     )
     columns = {
-        "arp_op": F.when(known, _word(20, 2)).cast("int"),
-        "arp_src_mac": F.when(known, _mac(22)),
-        "arp_src_ip": _ip_text("__a28"),
-        "arp_dst_mac": F.when(known, _mac(32)),
-        "arp_dst_ip": _ip_text("__a38"),
+        "arp_op": F.when(known, _word("__l3 + 6", 2)).cast("int"),
+        "arp_src_mac": F.when(known, _mac("__l3 + 8")),
+        "arp_src_ip": _ip_text("__a14"),
+        "arp_dst_mac": F.when(known, _mac("__l3 + 18")),
+        "arp_dst_ip": _ip_text("__a24"),
     }
     return computed_once(staged, columns)
 
@@ -190,11 +298,15 @@ def ethernet(df: DataFrame) -> DataFrame:
 
 
 def _ip(df: DataFrame) -> DataFrame:
-    return _add_ipv4(_add_ethernet(_stage(df)))
+    return _add_ip(_add_ethernet(_stage(df)))
 
 
 def ipv4(df: DataFrame) -> DataFrame:
-    return _unstage(_ip(df).filter(F.col("ip_version").isNotNull()))
+    return _unstage(_ip(df).filter(F.col("ip_ihl").isNotNull()))
+
+
+def ipv6(df: DataFrame) -> DataFrame:
+    return _unstage(_ip(df).filter(F.col("ip6_next_header").isNotNull()))
 
 
 def tcp(df: DataFrame) -> DataFrame:
