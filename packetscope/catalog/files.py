@@ -79,6 +79,21 @@ def pcap_scan(packets):
     )
 
 
+@query(
+    "pcap_numbers",
+    f""", {sql.FRAMES} SELECT row_number() OVER (ORDER BY packet_id) AS packet_id, ts, frame_hex FROM frames""",
+)
+def pcap_numbers(packets):
+    """Packet numbers that run through all files of a capture, each file read in ranges."""
+    spark = packets.sparkSession
+    path = scratch_path(spark, "pcap")
+    rows = packets.repartitionByRange(6, "packet_id").sortWithinPartitions("packet_id")
+    write_pcap(encode.frames(rows), path)
+    return read_pcap(spark, path, 1 << 18).select(
+        "packet_id", utc_clock(F.col("ts")).alias("ts"), F.hex("frame").alias("frame_hex")
+    )
+
+
 @query(
     "pcap_decode",
     """ SELECT CASE WHEN protocol IN ('HTTPS', 'FTP', 'SSH', 'TELNET') THEN 'TCP' ELSE protocol END AS protocol,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from packetscope.operators.encode import frames
 from packetscope.session import scratch_path, shared_dir
-from packetscope.sources import captures
+from packetscope.sources import captures, pcap
 from packetscope.sources.layouts import LAYOUTS, LayoutError, detect_layout, to_layout
 from packetscope.sources.pcap import read_pcap, write_pcap
 
@@ -101,6 +101,52 @@ def test_pcap_byte_orders_and_nanoseconds(spark, tmp_path, order, magic, fractio
     assert rows[0].us == 1700000000000250 and bytes(rows[0].frame) == b"abc"
 
 
+def capture_bytes(sizes, first=0):
+    head = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
+    body = b"".join(
+        struct.pack("<IIII", first + i, 0, n, n) + bytes([i % 256]) * n for i, n in enumerate(sizes)
+    )
+    return head + body
+
+
+def test_one_capture_is_read_by_several_tasks(spark, tmp_path):
+    sizes = [(i * 37) % 1400 for i in range(3000)] + [60_000, 0, 2_000_000, 0]
+    (tmp_path / "b.pcap").write_bytes(capture_bytes(sizes))
+    (tmp_path / "a.pcap").write_bytes(capture_bytes([5, 6], first=9000))
+    (tmp_path / "c.pcap").write_bytes(capture_bytes([]))
+    (tmp_path / "d.pcap").write_bytes(capture_bytes([7], first=9100))
+    index = pcap.pcap_index(spark, str(tmp_path), 100_000).collect()
+    assert len([r for r in index if r.path.endswith("b.pcap")]) > 20
+    assert sum(r.packets for r in index) == len(sizes) + 3
+    for range_bytes in (100_000, 1 << 30):
+        got = read_pcap(spark, str(tmp_path), range_bytes)
+        rows = sorted(
+            (r.packet_id, r.us // 1_000_000, bytes(r.frame))
+            for r in got.select("packet_id", F.unix_micros("ts").alias("us"), "frame").collect()
+        )
+        want = [(9000, b"\0" * 5), (9001, b"\1" * 6)]
+        want += [(i, bytes([i % 256]) * n) for i, n in enumerate(sizes)] + [(9100, b"\0" * 7)]
+        assert rows == [(n, at, frame) for n, (at, frame) in enumerate(want, 1)]
+    assert read_pcap(spark, str(tmp_path), 100_000).rdd.getNumPartitions() > 4
+    assert read_pcap(spark, str(tmp_path / "c.pcap")).count() == 0
+
+
+def test_batches_are_bounded_by_bytes():
+    records = [(0, b"x" * 60_000)] * 500 + [(0, b"")] * 20_000
+    batches = list(pcap._batches(iter(records), 1))
+    assert sum(b.num_rows for b in batches) == len(records)
+    assert all(b.num_rows <= pcap.ROWS_PER_BATCH and b.nbytes < pcap.BYTES_PER_BATCH + 500_000 for b in batches)
+    assert [i for b in batches for i in b.column(0).to_pylist()] == list(range(1, len(records) + 1))
+
+
+def test_plain_source_reads_a_file_a_partition(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.pcap").write_bytes(capture_bytes([4, 0, 9]))
+    pcap.register(spark)
+    got = spark.read.format("pcap").load(str(tmp_path))
+    assert sorted(r.packet_id for r in got.collect()) == [1, 1, 2, 2, 3, 3]
+
+
 def test_broken_pcap_is_an_error(spark, tmp_path):
     head = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
     (tmp_path / "cut.pcap").write_bytes(head + struct.pack("<IIII", 1, 1, 50, 50) + b"short")
