@@ -61,26 +61,37 @@ def ip_hex(ip: str) -> Column:
     return F.when(dotted, octets)
 
 
-def ip6_hex(ip: str) -> Column:
-    """Thirty-two digits of an IPv6 address; NULL for text that is none. A zone is left out."""
+def _closed(ip: str) -> Column:
+    """Lower-case IPv6 text without zone and dotted tail; a gap at an end gets the zero beside it."""
     text = f"lower(split_part({ip}, '%', 1))"
-    tail = packed(*[(f"split_part(regexp_extract({text}, '[0-9.]+$', 0), '.', {i})", 1) for i in (1, 2, 3, 4)])
+    tail = packed(
+        *[(f"split_part(regexp_extract({text}, '[0-9.]+$', 0), '.', {i})", 1) for i in (1, 2, 3, 4)], known=True
+    )
     octet = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-    dotted = F.regexp_replace(tail, "^(....)", "$1:")
+    dotted = F.lower(F.regexp_replace(tail, "^(....)", "$1:"))
     plain = F.when(
         F.expr(f"{text} RLIKE ':{octet}([.]{octet}){{3}}$'"),
-        F.lower(F.concat(F.regexp_replace(F.expr(text), "[0-9.]+$", ""), dotted)),
+        F.concat(F.regexp_replace(F.expr(text), "[0-9.]+$", ""), dotted),
     ).otherwise(F.expr(text))
-    # a gap at either end gets the zero beside it; then as many groups are missing as colons
-    ended = F.regexp_replace(F.regexp_replace(plain, "^::", "0::"), "::$", "::0")
-    colons = F.length(ended) - F.length(F.replace(ended, F.lit(":"), F.lit("")))
+    return F.regexp_replace(F.regexp_replace(plain, "^::", "0::"), "::$", "::0")
+
+
+def _expanded(closed: Column) -> Column:
+    """Thirty-two digits; as many groups stand for a gap as there are fewer than eight colons."""
+    colons = F.length(closed) - F.length(F.replace(closed, F.lit(":"), F.lit("")))
     gap = F.concat(F.lit(":"), F.repeat(F.lit("0:"), F.lit(8) - colons))
     whole = F.when(
-        ended.rlike("^[^:]+(:[^:]+)*::[^:]+(:[^:]+)*$") & (colons < 8), F.replace(ended, F.lit("::"), gap)
-    ).otherwise(ended)
+        closed.rlike("^[^:]+(:[^:]+)*::[^:]+(:[^:]+)*$") & (colons < 8), F.replace(closed, F.lit("::"), gap)
+    ).otherwise(closed)
     padded = F.regexp_replace(F.concat(whole, F.lit(":")), "([^:]+):", "000$1:")
     digits = F.regexp_replace(padded, "[0-9a-f]{0,3}([0-9a-f]{4}):", "$1")
-    return F.when(whole.rlike("^[0-9a-f]{1,4}(:[0-9a-f]{1,4}){7}$"), F.upper(digits))
+    sound = padded.rlike("^(000[0-9a-f]{1,4}:){8}$")
+    return F.when(sound, F.upper(digits))
+
+
+def ip6_hex(ip: str) -> Column:
+    """Thirty-two digits of an IPv6 address; NULL for text that is none. A zone is left out."""
+    return _let(_closed(ip), _expanded)
 
 
 def text_hex(text: Column) -> Column:
@@ -282,9 +293,14 @@ def arp_body() -> Column:
     )
 
 
-def _address(ip: str) -> Column:
-    """Hex digits of an IPv4 or IPv6 address, NULL for other text."""
-    return F.when(F.col(ip).contains(":"), ip6_hex(ip)).otherwise(ip_hex(ip))
+def _addresses(df: DataFrame) -> DataFrame:
+    """Add ``__src_ip`` and ``__dst_ip``: digits of IPv4 or IPv6 addresses, NULL for other text."""
+    closed = {f"__{c}6": F.when(F.col(c).contains(":"), _closed(c)) for c in ("src_ip", "dst_ip")}
+    digits = {
+        f"__{c}": F.when(F.col(f"__{c}6").isNotNull(), _expanded(F.col(f"__{c}6"))).otherwise(ip_hex(c))
+        for c in ("src_ip", "dst_ip")
+    }
+    return computed_once(computed_once(df, closed), digits).drop(*closed)
 
 
 def with_frame(df: DataFrame, wrap: tuple[str, ...] = ()) -> DataFrame:
@@ -300,13 +316,8 @@ def with_frame(df: DataFrame, wrap: tuple[str, ...] = ()) -> DataFrame:
     cut = df.withColumns({f"__was_{c}": F.col(c) for c in wrap}).withColumns(
         {c: F.col(c).bitwiseAND(F.lit(0xFFFF)) for c in wrap}
     )
-    addresses = {
-        "__src_mac": mac_hex("src_mac"),
-        "__dst_mac": mac_hex("dst_mac"),
-        "__src_ip": _address("src_ip"),
-        "__dst_ip": _address("dst_ip"),
-    }
-    staged = computed_once(computed_once(cut, addresses), {"__t": transport, "__p": _payload()})
+    macs = {"__src_mac": mac_hex("src_mac"), "__dst_mac": mac_hex("dst_mac")}
+    staged = computed_once(computed_once(_addresses(cut), macs), {"__t": transport, "__p": _payload()})
     body = (
         F.when(F.col("__t") == "TCP", F.concat(tcp_header(), F.col("__p")))
         .when(F.col("__t") == "UDP", F.concat(udp_header(), F.col("__p")))
@@ -338,7 +349,7 @@ def with_frame(df: DataFrame, wrap: tuple[str, ...] = ()) -> DataFrame:
         staged, {"frame": F.unhex(F.concat(F.col("__dst_mac"), F.col("__src_mac"), digits))}
     )
     whole = made.withColumns({c: F.col(f"__was_{c}") for c in wrap})
-    return whole.drop("__t", "__p", "__b", "__sum", *addresses, *[f"__was_{c}" for c in wrap])
+    return whole.drop("__t", "__p", "__b", "__sum", "__src_ip", "__dst_ip", *macs, *[f"__was_{c}" for c in wrap])
 
 
 def frames(df: DataFrame, wrap: tuple[str, ...] = ("tcp_window",)) -> DataFrame:
