@@ -17,9 +17,10 @@ from packetscope.sources.captures import (
     load_features,
     pcap_sizes,
     read_capture,
+    read_numbered,
     write_capture,
 )
-from packetscope.sources.layouts import LAYOUTS
+from packetscope.sources.layouts import LAYOUTS, to_layout
 from packetscope.sources.pcap import read_pcap, write_pcap
 
 _COLUMNS = ["layout", "ts", "src_mac", "dst_mac", "src_ip", "dst_ip", "src_port", "dst_port",
@@ -68,6 +69,28 @@ def loaded_features(packets):
     return load_features(spark, path).drop("packet_id")
 
 
+@query(
+    "file_numbers",
+    """ SELECT r + n AS packet_id, src_ip, dst_ip, protocol, length FROM (SELECT *,
+ row_number() OVER (ORDER BY packet_id) AS r,
+ CAST(sum(CASE WHEN packet_id % 10 = 3 THEN 2 ELSE 0 END)
+  OVER (ORDER BY packet_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM packets) AS p""",
+)
+def file_numbers(packets):
+    """Packets numbered over several files in file order; two empty lines before every tenth."""
+    spark = packets.sparkSession
+    path = scratch_path(spark, "capture-lines")
+    rows = packets.repartitionByRange(4, "packet_id").sortWithinPartitions("packet_id")
+    cells = to_layout(rows, "basic", keep=["packet_id"])
+    line = F.to_csv(F.struct(*[f"`{c}`" for c in LAYOUTS["basic"]]), {"escape": '"', "emptyValue": ""})
+    gap = F.when(F.col("packet_id") % 10 == 3, F.lit("\n\n")).otherwise(F.lit(""))
+    # the first row of a file brings the header along
+    is_first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    head = F.when(is_first, F.lit(",".join(LAYOUTS["basic"]) + "\n")).otherwise(F.lit(""))
+    cells.select(F.concat(head, gap, line).alias("value")).write.text(path)
+    return read_numbered(spark, path).select("packet_id", "src_ip", "dst_ip", "protocol", "length")
+
+
 @query("pcap_scan", f", {sql.FRAMES} SELECT ts, frame_hex FROM frames")
 def pcap_scan(packets):
     """Frames through pcap files."""

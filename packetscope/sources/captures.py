@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetscope.operators.features import basic_features, detailed_features
-from packetscope.plans.ordered import number_rows
+from packetscope.plans.ordered import running_totals
+from packetscope.session import written
 from packetscope.sources.layouts import (
     LAYOUTS,
     LayoutError,
@@ -48,13 +49,60 @@ def read_capture(spark: SparkSession, path: str, layout: str | None = None) -> D
     return normalise(read_text_rows(spark, path, layout))
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``line, number`` of all lines but the header of each file, empty ones too.
+
+    Lines are told apart by file, block of the file and place in the block; only a row per
+    block is summed up, the lines stay where they are read. Numbers do not depend on how files
+    are cut into blocks, nor blocks dealt to tasks.
+    """
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    blocks = lines.groupBy("file", "block").agg(
+        F.min("at").alias("first"),
+        F.count(F.lit(1)).alias("lines"),
+        (F.max("block") == 0).cast("long").alias("headers"),
+    )
+    summed = running_totals(
+        written(blocks, "blocks"),
+        [F.col("file"), F.col("block")],
+        {"lines": "upto", "headers": "headers_upto"},
+    ).select("file", "block", "first", "lines", (F.col("upto") - F.col("lines") - F.col("headers_upto")).alias("before"))
+    placed = lines.join(summed, ["file", "block"])
+    place = F.col("at") - F.col("first")
+    # the lines are read twice; a file that changed in between must not give wrong numbers
+    moved = F.raise_error(F.lit("the capture changed while it was numbered")).cast("long")
+    number = F.when(place.between(0, F.col("lines") - 1), F.col("before") + place + 1).otherwise(moved)
+    return placed.select(
+        "line", number.alias("number"), ((F.col("block") == 0) & (place == 0)).alias("is_header")
+    )
+
+
 def read_numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Canonical packets with ``packet_id`` 1..n in file order.
+    """Canonical packets with ``packet_id`` 1.. in file order, files by their paths.
 
-    Lines Spark skips as empty get no number.
+    Empty lines use up a number and are left out, so a packet's number is its line's. All
+    files must have the same header. Values do not hold line ends.
     """
-    rows = read_capture(spark, path).drop("packet_no")
-    return number_rows(rows, None, "packet_id")
+    header = _header(spark, path)
+    lines = _numbered_lines(spark, path)
+    fields = ", ".join(f"c{i} STRING" for i in range(len(header)))
+    parsed = F.from_csv("line", F.lit(f"{fields}, more STRING"), {"escape": '"'})
+    cells = lines.where("line <> ''").select("number", "is_header", parsed.alias("cells"))
+    same = F.lit(True)
+    for i, name in enumerate(header):
+        same = same & F.col(f"cells.c{i}").eqNullSafe(F.lit(name))
+    other = F.raise_error(F.lit(f"a file of {path} has another header")).cast("boolean")
+    rows = cells.where(F.when(F.col("is_header") & ~same, other).otherwise(~F.col("is_header")))
+    text = rows.select(
+        F.col("number").alias("packet_id"),
+        *[F.col(f"cells.c{i}").alias(name) for i, name in enumerate(header)],
+    )
+    return normalise(text, keep=["packet_id"]).drop("packet_no")
 
 
 def detect_source_type(spark: SparkSession, path: str) -> str:
@@ -68,9 +116,8 @@ def detect_source_type(spark: SparkSession, path: str) -> str:
 def load_features(spark: SparkSession, path: str, source_type: str | None = None) -> DataFrame:
     """Feature table of a capture with packet ids, layout detected unless it is given."""
     kind = source_type or detect_source_type(spark, path)
-    packets = read_capture(spark, path)
-    table = basic_features(packets) if kind == "basic" else detailed_features(packets)
-    return number_rows(table, None, "packet_id")
+    packets = read_numbered(spark, path)
+    return basic_features(packets) if kind == "basic" else detailed_features(packets)
 
 
 def write_capture(df: DataFrame, path: str, layout: str = "basic") -> None:

@@ -111,8 +111,11 @@ def _first_alias(columns: list[str], name: str) -> str | None:
     return next((a for a in ALIASES[name] if a in columns), None)
 
 
-def normalise(df: DataFrame) -> DataFrame:
-    """Canonical packets from text rows under any known header; absent fields are NULL."""
+def normalise(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Canonical packets from text rows under any known header; absent fields are NULL.
+
+    Columns named in ``keep`` come first, as they are.
+    """
     columns = df.columns
 
     def text(name: str) -> Column:
@@ -154,11 +157,14 @@ def normalise(df: DataFrame) -> DataFrame:
             return to_int(raw)
         return to_long(raw) if kind == "bigint" else raw
 
-    return df.select(*[typed(n, k).alias(n) for n, k in CANONICAL.items()])
+    return df.select(*(keep or []), *[typed(n, k).alias(n) for n, k in CANONICAL.items()])
+
 
+def to_layout(df: DataFrame, layout: str, keep: list[str] | None = None) -> DataFrame:
+    """Canonical packets as text rows of a layout, missing values as its writers put them.
 
-def to_layout(df: DataFrame, layout: str) -> DataFrame:
-    """Canonical packets as text rows of a layout, missing values as its writers put them."""
+    Columns named in ``keep`` come first, as they are.
+    """
     if layout not in LAYOUTS:
         raise LayoutError(f"unknown layout {layout!r}, expected one of {sorted(LAYOUTS)}")
     have = set(df.columns)
@@ -203,7 +209,7 @@ def to_layout(df: DataFrame, layout: str) -> DataFrame:
     for column in LAYOUTS[layout]:
         value = rendered[column]() if column in rendered else c(canonical[column])
         cells.append(F.coalesce(value.cast("string"), absent).alias(column))
-    return df.select(*cells)
+    return df.select(*(keep or []), *cells)
 
 
 def normalise_union(parts: dict[str, DataFrame]) -> DataFrame:

@@ -179,3 +179,39 @@ def test_files_with_other_headers_are_refused(spark, tmp_path):
     (tmp_path / "b.csv").write_text("length,source_ip\n60,10.0.0.1\n")
     with pytest.raises(Exception, match="header"):
         captures.read_capture(spark, str(tmp_path)).select("src_ip", "length").collect()
+
+
+def test_numbers_do_not_depend_on_how_files_are_cut(spark, tmp_path):
+    want, number = [], 0
+    for name in ("b.csv", "a.csv", "c.csv"):
+        (tmp_path / name).write_text("source_ip,length,http_path\n")
+    for file, name in enumerate(("a.csv", "b.csv", "c.csv")):
+        with open(tmp_path / name, "a") as out:
+            for i in range(700 if file < 2 else 0):
+                number += 1
+                if i % 11 == 5:
+                    out.write("\n")
+                    continue
+                out.write(f'10.{file}.0.1,{i},"/{"x" * (i % 90)},""q"""\n')
+                want.append((number, f"10.{file}.0.1", i, f'/{"x" * (i % 90)},"q"'))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("1000", "7777", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = captures.read_numbered(spark, str(tmp_path))
+            got = rows.select("packet_id", "src_ip", "length", "http_path").collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert sorted(map(tuple, got)) == want
+
+
+def test_numbering_refuses_other_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("source_ip,length\n10.0.0.1,60\n")
+    (tmp_path / "b.csv").write_text("length,source_ip\n60,10.0.0.1\n")
+    with pytest.raises(Exception, match="header"):
+        captures.read_numbered(spark, str(tmp_path)).collect()
+
+
+def test_numbering_a_capture_without_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("source_ip,length\n")
+    assert captures.read_numbered(spark, str(tmp_path / "a.csv")).count() == 0
