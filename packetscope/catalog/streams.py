@@ -83,3 +83,37 @@ def stream_features(spark, sf_dir):
     labelled = detailed_features(_stream(spark, sf_dir)).select("packet_id", "is_threat")
     jobs.append_rows(labelled, out)
     return spark.read.parquet(os.path.join(out, "rows"))
+
+
+class _Stopped(Exception):
+    """The viewer was closed."""
+
+
+@folder_query(
+    "stream_live",
+    """ SELECT count(*) AS shown, CAST(sum(packet_id) AS BIGINT) AS ids, CAST(max(packet_id) AS BIGINT) AS last_id,
+ 1 AS stops FROM packets""",
+)
+def stream_live(spark, sf_dir):
+    """A live view that is closed after two pages and opened again shows every packet once."""
+    state = scratch_path(spark, "live")
+    seen = {"shown": 0, "ids": 0, "last_id": 0, "stops": 0, "pages": 0}
+
+    def show(page, number):
+        if seen["pages"] == 2 and not seen["stops"]:
+            seen["stops"] = 1
+            raise _Stopped("closed")
+        seen["pages"] += 1
+        seen["shown"] += len(page)
+        seen["ids"] += sum(r["packet_id"] for r in page)
+        seen["last_id"] = max(seen["last_id"], max(r["packet_id"] for r in page))
+
+    narrow = _stream(spark, sf_dir).select("packet_id", "ts", "protocol")
+    try:
+        jobs.live_view(narrow, show, 250, state)
+    except Exception as problem:
+        if not seen["stops"]:
+            raise problem
+    jobs.live_view(_stream(spark, sf_dir).select("packet_id", "ts", "protocol"), show, 250, state)
+    row = tuple(seen[n] for n in ("shown", "ids", "last_id", "stops"))
+    return spark.createDataFrame([row], "shown bigint, ids bigint, last_id bigint, stops int")

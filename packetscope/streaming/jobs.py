@@ -2,7 +2,8 @@
 
 Every job runs with ``availableNow``: it takes all files that are there, in
 batches, then stops. Started again with the same checkpoint it goes on with the
-files that came in since. State is bounded in all of them.
+files that came in since. State is bounded in all of them: what totals and rates keep per
+batch is merged in generations (see ``partials``), its size is that of their result.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from packetscope.operators.rules import size_class, ttl_low, with_findings
 from packetscope.operators.stats import section_counts
 from packetscope.session import scratch_path
 from packetscope.sources.layouts import normalise, to_layout
+from packetscope.streaming.partials import Partials, Position
 
 EVENTS_SCHEMA = T.StructType(
     [
@@ -79,16 +81,20 @@ TOTAL_SECTIONS = [
 ]
 
 
+def _totals(out: str) -> Partials:
+    return Partials(out, ["section", "key"], ["n"])
+
+
 def running_totals(packets: DataFrame, out: str) -> None:
-    """Counts per protocol, address, destination port and class, and in total, one partial
-    table per batch.
+    """Counts per protocol, address, destination port and class, and in total.
 
     Addresses are unbounded, so they are not kept in operator state. Each batch
     writes its own counts under its batch number; a repeated batch overwrites
     them, and :func:`read_totals` adds them up.
     """
-
-    _write_partials(packets, out, lambda batch: section_counts(with_classes(batch), TOTAL_SECTIONS))
+    _write_partials(
+        packets, _totals(out), lambda batch: section_counts(with_classes(batch), TOTAL_SECTIONS)
+    )
 
 
 def with_classes(packets: DataFrame) -> DataFrame:
@@ -100,22 +106,18 @@ def with_classes(packets: DataFrame) -> DataFrame:
     )
 
 
-def _write_partials(packets: DataFrame, out: str, counted) -> None:
-    """Write ``counted(batch)`` under each batch's number; a repeated batch overwrites its own."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        path = os.path.join(out, "partial", f"batch={number}")
-        counted(batch).write.mode("overwrite").parquet(path)
-
-    writer = packets.writeStream.foreachBatch(write)
-    writer = writer.option("checkpointLocation", os.path.join(out, "_state"))
+def _write_partials(packets: DataFrame, partials: Partials, counted) -> None:
+    """Keep ``counted(batch)`` of every batch."""
+    writer = packets.writeStream.foreachBatch(
+        lambda batch, number: partials.write(counted(batch), number)
+    )
+    writer = writer.option("checkpointLocation", os.path.join(partials.out, "_state"))
     _finish(writer.trigger(availableNow=True).start())
 
 
 def read_totals(spark: SparkSession, out: str) -> DataFrame:
     """Totals so far of :func:`running_totals`."""
-    partial = spark.read.parquet(os.path.join(out, "partial"))
-    return partial.groupBy("section", "key").agg(F.sum("n").alias("n"))
+    return _totals(out).read(spark)
 
 
 def window_counts(packets: DataFrame, window: str = "1 minute") -> DataFrame:
@@ -131,21 +133,22 @@ def window_counts(packets: DataFrame, window: str = "1 minute") -> DataFrame:
     )
 
 
+def _rates(out: str) -> Partials:
+    return Partials(out, ["window_start", "window_end"], ["n", "bytes"])
+
+
 def packet_rates(packets: DataFrame, out: str, window: str = "1 minute") -> None:
-    """Packets and bytes per time window, one partial table per batch.
+    """Packets and bytes per time window.
 
     Packets may come in any order and however late: their batch counts them, and
-    :func:`read_rates` adds up. Nothing is kept between batches.
+    :func:`read_rates` adds up.
     """
-    _write_partials(packets, out, lambda batch: window_counts(batch, window))
+    _write_partials(packets, _rates(out), lambda batch: window_counts(batch, window))
 
 
 def read_rates(spark: SparkSession, out: str) -> DataFrame:
     """Rates so far of :func:`packet_rates`, the last windows included."""
-    partial = spark.read.parquet(os.path.join(out, "partial"))
-    return partial.groupBy("window_start", "window_end").agg(
-        F.sum("n").alias("n"), F.sum("bytes").alias("bytes")
-    )
+    return _rates(out).read(spark)
 
 
 def annotate(packets: DataFrame) -> DataFrame:
@@ -172,17 +175,27 @@ def stream_findings(packets: DataFrame, out: str) -> None:
     append_rows(annotate(packets), out)
 
 
-def live_view(packets: DataFrame, show, rows: int = 100) -> None:
+def live_view(packets: DataFrame, show, rows: int = 100, state: str | None = None) -> None:
     """Hand every packet to ``show(page, number)``, in pages of at most ``rows`` in packet order.
 
     A page is a list of rows. The driver holds one page and the partition it comes from.
+    ``state`` names a durable folder: a view that was stopped goes on after the last page that
+    ``show`` returned from, inside a batch too. Without it a view starts from the beginning.
+    Rows with the same packet id keep one order, so pages are the same when a batch is repeated.
     """
+    spark = packets.sparkSession
+    state = state or scratch_path(spark, "live")
+    position = Position(spark, os.path.join(state, "shown"))
 
     def pass_on(batch: DataFrame, number: int) -> None:
-        waiting = batch.orderBy("packet_id").toLocalIterator()
+        in_order = batch.orderBy("packet_id", F.xxhash64(*batch.columns)).toLocalIterator()
+        shown = position.of(number)
+        waiting = itertools.islice(in_order, shown, None)
         while page := list(itertools.islice(waiting, rows)):
             show(page, number)
+            shown += len(page)
+            position.set(number, shown)
 
     writer = packets.writeStream.foreachBatch(pass_on)
-    writer = writer.option("checkpointLocation", scratch_path(packets.sparkSession, "live"))
+    writer = writer.option("checkpointLocation", os.path.join(state, "_state"))
     _finish(writer.trigger(availableNow=True).start())

@@ -9,6 +9,7 @@ from packetscope.operators.stats import section_counts
 from packetscope.session import scratch_path
 from packetscope.sources.captures import read_capture, write_capture
 from packetscope.streaming import jobs
+from packetscope.streaming.partials import Partials
 
 
 @pytest.fixture()
@@ -89,3 +90,62 @@ def test_rates_lose_no_packet_however_late(spark, packets, sf_dir):
     got, want = jobs.read_rates(spark, out), jobs.window_counts(packets)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     assert got.agg(F.sum("n")).first()[0] == packets.count()
+
+
+def tables(out, name):
+    folder = os.path.join(out, name)
+    return sorted(os.listdir(folder)) if os.path.exists(folder) else []
+
+
+def test_fifty_batches_leave_a_bounded_number_of_tables(spark):
+    out = scratch_path(spark, "partials")
+    partials = Partials(out, ["key"], ["n"], every=8)
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "key string, n long").coalesce(1)
+    most = 0
+    for number in range(50):
+        partials.write(rows, number)
+        most = max(most, len(tables(out, "partial")) + len(tables(out, "merged")))
+        if number in (7, 8, 9, 31, 49):
+            got = {r.key: r.n for r in partials.read(spark).collect()}
+            assert got == {"a": number + 1, "b": 2 * (number + 1)}
+    assert most <= 2 * 8 + 2 + 1
+
+
+def test_a_repeated_batch_is_counted_once(spark, monkeypatch):
+    out = scratch_path(spark, "partials")
+    partials = Partials(out, ["key"], ["n"], every=4)
+    rows = spark.createDataFrame([("a", 1)], "key string, n long").coalesce(1)
+    for number in (0, 1, 2, 3, 3, 4, 4, 5):
+        partials.write(rows, number)
+    assert partials.read(spark).first()["n"] == 6
+    # the batch that merges fails before, in the middle of and after the merge, and is repeated
+    for number in (6, 7):
+        partials.write(rows, number)
+    unfinished = os.path.join(out, "merged", "upto=8")
+    rows.write.parquet(unfinished)
+    os.remove(os.path.join(unfinished, "_SUCCESS"))
+    assert partials.read(spark).first()["n"] == 8
+    partials._merge(spark, 8)
+    assert partials.read(spark).first()["n"] == 8
+    for _ in range(2):
+        partials.write(rows, 8)
+    assert partials.read(spark).first()["n"] == 9
+
+
+def test_a_stopped_view_goes_on_where_it_was(spark, packets, landing):
+    state, shown, calls = scratch_path(spark, "view"), [], [0]
+
+    def show(page, number):
+        calls[0] += 1
+        if calls[0] in (3, 4, 9):
+            raise RuntimeError("closed")
+        shown.extend(r["packet_id"] for r in page)
+
+    for _ in range(3):
+        with pytest.raises(Exception, match="closed"):
+            jobs.live_view(stream(spark, landing).select("packet_id", "ts"), show, 60, state)
+    jobs.live_view(stream(spark, landing).select("packet_id", "ts"), show, 60, state)
+    assert sorted(shown) == sorted(r["packet_id"] for r in packets.select("packet_id").collect())
+    # nothing new, nothing shown
+    jobs.live_view(stream(spark, landing).select("packet_id", "ts"), show, 60, state)
+    assert len(shown) == packets.count()
