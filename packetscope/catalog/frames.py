@@ -194,6 +194,48 @@ _APP_COLUMNS = [
 ]
 
 
+@query(
+    "frame_status",
+    """ SELECT packet_id, CAST(NULL AS VARCHAR) AS http_method, http_status, src_port AS dst_port, dst_port AS src_port
+FROM packets WHERE protocol = 'HTTP'""",
+)
+def frame_status(packets):
+    """Status lines: each request's response, sent the other way."""
+    answers = packets.filter("protocol = 'HTTP'").withColumns(
+        {"http_method": F.lit(None).cast("string"), "src_port": F.col("dst_port"), "dst_port": F.col("src_port")}
+    )
+    return decode.http(encode.frames(answers)).select(
+        "packet_id", "http_method", "http_status", F.col("tcp_dst_port").alias("dst_port"),
+        F.col("tcp_src_port").alias("src_port"),
+    )
+
+
+@query(
+    "frame_answers",
+    """ SELECT packet_id, 1 AS dns_qr, dns_query, dns_qtype,
+ CASE WHEN packet_id % 2 = 0 THEN dns_query ELSE 'alias.' || dns_query END AS dns_ans_name,
+ CAST(CASE packet_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 28 ELSE 5 END AS INT) AS dns_ans_type,
+ CASE packet_id % 3 WHEN 0 THEN '10.1.2.' || (packet_id % 250) WHEN 1
+  THEN '2001:db8::' || printf('%x', 1 + packet_id % 4095) ELSE 'x.' || dns_query END AS dns_ans_rdata
+FROM packets WHERE protocol = 'DNS'""",
+)
+def frame_answers(packets):
+    """First answers of DNS responses, with and without compressed names."""
+    number, name = F.col("packet_id"), F.col("dns_query")
+    answers = packets.filter("protocol = 'DNS'").withColumns(
+        {
+            "dns_ans_name": F.when(number % 2 == 0, name).otherwise(F.concat(F.lit("alias."), name)),
+            "dns_ans_type": F.when(number % 3 == 0, 1).when(number % 3 == 1, 28).otherwise(5),
+            "dns_ans_rdata": F.when(number % 3 == 0, F.concat(F.lit("10.1.2."), (number % 250).cast("string")))
+            .when(number % 3 == 1, F.concat(F.lit("2001:db8::"), F.lower(F.hex(1 + number % 4095))))
+            .otherwise(F.concat(F.lit("x."), name)),
+        }
+    )
+    return decode.application(encode.frames(answers)).select(
+        "packet_id", "dns_qr", "dns_query", "dns_qtype", "dns_ans_name", "dns_ans_type", "dns_ans_rdata"
+    )
+
+
 @query(
     "frame_app",
     f""", {_NAMES} SELECT packet_id, protocol AS app_protocol, {_APP}

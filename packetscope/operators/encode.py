@@ -133,8 +133,8 @@ def dns_name_hex(name: Column) -> Column:
     return _let(whole, lambda w: F.when(F.length(w) > 510, F.lit(_BAD)).otherwise(w))
 
 
-def http_payload() -> Column:
-    """Request text when there is a method, a mid-stream line for raw HTTP."""
+def http_payload(columns: list[str]) -> Column:
+    """Request text when there is a method, else a status line, or a mid-stream line for raw HTTP."""
     request = F.concat(
         F.col("http_method"),
         F.lit(" "),
@@ -143,20 +143,51 @@ def http_payload() -> Column:
         F.coalesce(F.col("http_host"), F.lit("")),
         F.lit("\r\n\r\n"),
     )
+    if "http_status" in columns:
+        head = F.concat(F.lit("HTTP/1.1 "), F.col("http_status").cast("string"))
+        response = F.concat(head, F.lit(" \r\nContent-Length: 0\r\n\r\n"))
+        request = F.coalesce(request, F.when(F.col("http_method").isNull(), response))
     raw = F.concat(F.lit(".. GET /part/"), F.col("packet_id").cast("string"), F.lit("\r\nrest"))
     return F.when(F.col("protocol") == "HTTP", text_hex(request)).when(
         F.col("protocol") == "HTTP (Raw)", text_hex(raw)
     )
 
 
-def dns_payload() -> Column:
-    """A query with one question."""
+def _dns_answer() -> Column:
+    """One record; its name points back at the question where it is the same.
+
+    Data are an address for types 1 and 28, a name for 2, 5 and 12, text for others.
+    """
+    kind, data = F.col("dns_ans_type"), F.col("dns_ans_rdata")
+    same = F.col("dns_ans_name") == F.col("dns_query")
+    body = (
+        F.when(kind == 1, F.coalesce(ip_hex("dns_ans_rdata"), F.lit(_BAD)))
+        .when(kind == 28, F.coalesce(ip6_hex("dns_ans_rdata"), F.lit(_BAD)))
+        .when(kind.isin(2, 5, 12), dns_name_hex(data))
+        .otherwise(text_hex(F.coalesce(data, F.lit(""))))
+    )
+    return F.concat(
+        F.when(same, _const("C00C")).otherwise(dns_name_hex(F.col("dns_ans_name"))),
+        number_hex("dns_ans_type", 2),
+        _const("0001" "0000003C"),
+        _let(body, lambda b: _sized(b, 2)),
+    )
+
+
+def dns_payload(columns: list[str]) -> Column:
+    """One question, and one answer when the packet has it."""
+    query, answer = _const("0100" "0001" "0000" "0000" "0000"), _const("")
+    if "dns_ans_name" in columns:
+        answered = F.col("dns_ans_name").isNotNull()
+        query = F.when(answered, _const("8180" "0001" "0001" "0000" "0000")).otherwise(query)
+        answer = F.when(answered, _dns_answer()).otherwise(answer)
     return F.concat(
         number_hex(low_bits("packet_id", 2), 2),
-        _const("0100" "0001" "0000" "0000" "0000"),
+        query,
         dns_name_hex(F.col("dns_query")),
         number_hex("dns_qtype", 2),
         _const("0001"),
+        answer,
     )
 
 
@@ -193,12 +224,12 @@ def tls_payload() -> Column:
     )
 
 
-def _payload() -> Column:
+def _payload(columns: list[str]) -> Column:
     protocol = F.col("protocol")
     chosen = (
-        F.when(protocol.isin("HTTP", "HTTP (Raw)"), http_payload())
+        F.when(protocol.isin("HTTP", "HTTP (Raw)"), http_payload(columns))
         .when(protocol == "TLS", tls_payload())
-        .when(protocol == "DNS", dns_payload())
+        .when(protocol == "DNS", dns_payload(columns))
         .when(protocol == "DHCP", dhcp_payload())
         .when(protocol == "SNMP", snmp_payload())
     )
@@ -317,7 +348,7 @@ def with_frame(df: DataFrame, wrap: tuple[str, ...] = ()) -> DataFrame:
         {c: F.col(c).bitwiseAND(F.lit(0xFFFF)) for c in wrap}
     )
     macs = {"__src_mac": mac_hex("src_mac"), "__dst_mac": mac_hex("dst_mac")}
-    staged = computed_once(computed_once(_addresses(cut), macs), {"__t": transport, "__p": _payload()})
+    staged = computed_once(computed_once(_addresses(cut), macs), {"__t": transport, "__p": _payload(df.columns)})
     body = (
         F.when(F.col("__t") == "TCP", F.concat(tcp_header(), F.col("__p")))
         .when(F.col("__t") == "UDP", F.concat(udp_header(), F.col("__p")))
