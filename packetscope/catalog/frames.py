@@ -342,7 +342,6 @@ FROM packets WHERE protocol <> 'ARP' UNION ALL SELECT packet_id, 0, 0, 0, 0 FROM
 )
 def sig_frames(packets):
     """Header oddities and the antivirus test marker in frames."""
-    ip = packets.filter(F.col("protocol") != "ARP")
     digits, ttl = F.hex("frame"), F.col("ttl")
     version = F.when(ttl % 11 == 0, F.lit("F5")).otherwise(F.lit("45"))
     fragment = F.when(ttl % 7 == 0, F.lit("E000")).otherwise(F.lit("4000"))
@@ -354,9 +353,8 @@ def sig_frames(packets):
         F.substring(digits, 1, 28), version, F.lit("000000"), F.substring(digits, 37, 4), fragment,
         F.substring(digits, F.lit(45), F.length(digits)), marker,
     )
-    frames = encode.with_frame(ip, ("tcp_window",)).select("packet_id", "ts", F.unhex(patched).alias("frame"))
+    is_arp = F.col("protocol") == "ARP"
+    chosen = F.when(is_arp, F.col("frame")).otherwise(F.unhex(patched))
+    frames = encode.with_frame(packets, ("tcp_window",)).select("packet_id", "ts", chosen.alias("frame"))
     found = with_frame_signatures(decode.frame_headers(frames))
-    marks = ["bad_ip_version", "all_ip_flags", "tiny_fragment", "test_virus"]
-    none = [F.lit(0).alias(m) for m in marks]
-    arp = packets.filter(F.col("protocol") == "ARP").select("packet_id", *none)
-    return found.select("packet_id", *marks).unionByName(arp)
+    return found.select("packet_id", "bad_ip_version", "all_ip_flags", "tiny_fragment", "test_virus")

@@ -10,11 +10,12 @@ from packetscope.operators import metrics, model
 from packetscope.operators.features import (
     LABEL,
     basic_features,
+    column_kinds,
     detailed_features,
     scored,
 )
 from packetscope.plans.split import stratified_split
-from packetscope.session import written
+from packetscope.session import scratch_path, written
 
 _SPLIT = """split AS (SELECT packet_id, is_threat, protocol_str, CASE WHEN row_number() OVER (PARTITION BY is_threat
  ORDER BY md5(CAST(packet_id AS VARCHAR) || '42'), packet_id) <= count(*) OVER (PARTITION BY is_threat) * 7 // 10
@@ -163,6 +164,85 @@ def rf_predict(packets):
     return model.as_scored(predicted)
 
 
+_HELD_OUT = f""", {sql.DETAILED}, {_SPLIT}"""
+
+
+@query(
+    "rf_sound",
+    f"""{_HELD_OUT} SELECT packet_id, is_threat AS label, true AS known_class, true AS is_probability,
+ true AS class_of_score FROM split WHERE is_train = 0""",
+)
+def rf_sound(packets):
+    """What must hold of every held-out row's prediction."""
+    _, predicted = model.split_and_train(detailed_features(packets), "detailed", trees=5, depth=4)
+    rows = model.as_scored(predicted)
+    agrees = F.when(F.col("score") == 0.5, True).otherwise(F.col("prediction") == (F.col("score") > 0.5).cast("int"))
+    return rows.select(
+        "packet_id",
+        "label",
+        F.col("prediction").isin(0, 1).alias("known_class"),
+        F.col("score").between(0.0, 1.0).alias("is_probability"),
+        agrees.alias("class_of_score"),
+    )
+
+
+@query(
+    "model_saved",
+    f"""{_HELD_OUT} SELECT packet_id, true AS same_class, true AS same_score, 44 AS features, 'detailed' AS source_type
+FROM split WHERE is_train = 0""",
+)
+def model_saved(packets):
+    """A saved and loaded model predicts what the fitted one does."""
+    fitted, predicted = model.split_and_train(detailed_features(packets), "detailed", trees=5, depth=4)
+    path = scratch_path(packets.sparkSession, "model")
+    fitted.save(path)
+    loaded = model.ThreatModel.load(path)
+    before = written(predicted, "predicted")
+    again = loaded.predict(before.drop("prediction", "score")).select(
+        "packet_id", F.col("prediction").alias("class"), F.col("score").alias("probability")
+    )
+    return before.join(again, "packet_id").select(
+        "packet_id",
+        (F.col("prediction") == F.col("class")).alias("same_class"),
+        (F.col("score") == F.col("probability")).alias("same_score"),
+        F.lit(len(loaded.feature_columns)).alias("features"),
+        F.lit(loaded.source_type).alias("source_type"),
+    )
+
+
+@query(
+    "single_class",
+    f""", {sql.DETAILED} SELECT packet_id, is_threat AS trained_on, is_threat AS prediction,
+ CAST(is_threat AS DOUBLE) AS score FROM detailed""",
+)
+def single_class(packets):
+    """Models that have seen one class only answer it with certainty."""
+    table = written(detailed_features(packets), "features")
+    parts = []
+    for known in (0, 1):
+        rows = table.filter(F.col(LABEL) == known)
+        answered = model.train(rows, "detailed", trees=5, depth=4).predict(rows)
+        parts.append(answered.select("packet_id", F.col(LABEL).alias("trained_on"), "prediction", "score"))
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "column_kinds",
+    f""", {sql.BASIC} SELECT 'numeric' AS kind, count(*) * 26 AS cells FROM basic
+ UNION ALL SELECT 'text', count(protocol_str) FROM basic""",
+)
+def kinds_of_columns(packets):
+    """Cells of numeric and of text features, told apart by type."""
+    table = basic_features(packets)
+    kinds = dict(zip(("numeric", "text"), column_kinds(table)))
+    counts = table.agg(
+        *[F.coalesce(sum((F.count(c) for c in names[1:]), F.count(names[0])), F.lit(0)).alias(kind)
+          for kind, names in kinds.items()]
+    )
+    pairs = [F.struct(F.lit(k).alias("kind"), F.col(k).alias("cells")) for k in kinds]
+    return counts.select(F.inline(F.array(*pairs)))
+
+
 @query("rf_metrics")
 def rf_metrics(packets):
     _, predicted = model.split_and_train(detailed_features(packets), "detailed")

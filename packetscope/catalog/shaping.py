@@ -271,17 +271,26 @@ def by_id(packets):
     return filters.packet_by_id(packets, 4711).select(*_COLUMNS)
 
 
+@query("flt_clear", f" SELECT {_LIST} FROM packets")
+def flt_clear(packets):
+    """Cleared filters: every packet."""
+    return filters.filter_packets(packets, protocol="All", ip=" ", port="").select(*_COLUMNS)
+
+
 _SPARSE = ["dns_query", "http_method", "icmp_type", "arp_opcode", "dhcp_type_code", "snmp_pdu_code",
            "tls_version"]
 
 
-@query(
-    "drop_blank",
-    f""" SELECT packet_id, {', '.join(_SPARSE)} FROM packets
- WHERE {' OR '.join(f'{c} IS NOT NULL' for c in _SPARSE)}""",
-)
+@query("drop_blank", f" SELECT packet_id, {', '.join(_SPARSE)} FROM packets")
 def without_blank(packets):
-    return filters.drop_blank(packets.select("packet_id", *_SPARSE), _SPARSE)
+    """Every packet stays; rows without a value in any column, one beside each packet, go."""
+    rows = packets.select("packet_id", *_SPARSE)
+    kinds = dict(rows.dtypes)
+    blank = [
+        F.lit("" if kind == "string" and i % 2 else None).cast(kind).alias(name)
+        for i, (name, kind) in enumerate(kinds.items())
+    ]
+    return filters.drop_blank(rows.unionByName(rows.select(*blank)))
 
 
 @query("first_n", f" SELECT ts, {_LIST} FROM packets ORDER BY ts, packet_id LIMIT 500")
