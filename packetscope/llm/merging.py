@@ -16,8 +16,8 @@ import regex
 from packetscope.llm.bpe import Vocabulary
 from packetscope.llm.unicode import Assigned
 
-# pieces a worker remembers, longest of them, longest word that is merged with the others
-REMEMBERED, SHORT, LONGEST = 1 << 19, 64, 48
+# pieces of one generation that a worker remembers, longest of them, longest word that is merged with the others
+REMEMBERED, SHORT, LONGEST = 1 << 18, 64, 48
 # marks that are a pre-token of their own after letters; an apostrophe may begin a contraction
 _MARKS = frozenset(".,;:!?")
 _NONE = np.int32(1 << 30)
@@ -93,6 +93,33 @@ class Merger:
         return out
 
 
+class Remembered:
+    """Ids of the pieces met last, in two generations.
+
+    When the younger one is full, it becomes the older one, which is forgotten as a whole; what
+    is met again meanwhile moves to the younger one, so frequent pieces always stay.
+    """
+
+    def __init__(self):
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, pieces: set[str]) -> set[str]:
+        """The pieces of which nothing is known; the others are at hand in ``now``."""
+        new = pieces - self.now.keys()
+        known = new & self.old.keys()
+        old = self.old
+        self.now.update([(p, old[p]) for p in known])
+        return new - known
+
+    def turn(self, pieces: set[str]) -> None:
+        """After a batch: let long pieces go, and start anew when there are too many."""
+        for piece in [p for p in pieces if len(p) > SHORT]:
+            self.now.pop(piece, None)
+        if len(self.now) > REMEMBERED:
+            self.old, self.now = self.now, {}
+
+
 class Encoder:
     """Encodes texts on a worker exactly as the library does; made once per process."""
 
@@ -106,10 +133,8 @@ class Encoder:
         special = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.assigned = Assigned()
-        self.words: dict[str, bytes] = {}
-        # pieces without white space inside, at a line's beginning and after a space
-        self.led: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        # pre-tokens; pieces without white space inside, at a line's beginning and after a space
+        self.words, self.led, self.spaced = Remembered(), Remembered(), Remembered()
         self.newline, *marks = self._merge(["\n", *_MARKS])
         self.marks = dict(zip(_MARKS, marks))
 
@@ -134,12 +159,12 @@ class Encoder:
         return ids
 
     def _learn_words(self, words: set[str]) -> None:
-        new = list(words - self.words.keys())
-        self.words.update(zip(new, self._merge(new)))
+        new = list(self.words.missing(words))
+        self.words.now.update(zip(new, self._merge(new)))
 
-    def _learn(self, cache: dict[str, bytes], pieces: set[str], lead: str) -> None:
+    def _learn(self, known: Remembered, pieces: set[str], lead: str) -> None:
         """Add pieces to a cache; letters alone are one pre-token, others are cut first."""
-        new = pieces - cache.keys()
+        new, cache = known.missing(pieces), known.now
         plain = [p for p in new if p.isalpha()]
         cache.update(zip(plain, self._merge([lead + p for p in plain])))
         new.difference_update(plain)
@@ -147,9 +172,12 @@ class Encoder:
             cache[piece] = cache[piece[:-1]] + self.marks[piece[-1]]
             new.remove(piece)
         split = {p: self.pretokens(lead + p) for p in new}
-        self._learn_words(set().union(*split.values()))
-        words = self.words.__getitem__
+        parts_of_all = set().union(*split.values())
+        self._learn_words(parts_of_all)
+        words = self.words.now.__getitem__
         cache.update((p, b"".join(map(words, parts))) for p, parts in split.items())
+        for word in [w for w in parts_of_all if len(w) > SHORT]:
+            del self.words.now[word]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -181,16 +209,12 @@ class Encoder:
                         spaced.update(line[1:])
                     plan.append((None, lines))
             plans.append(plan)
-        for cache in (self.words, self.led, self.spaced):
-            if len(cache) > REMEMBERED:
-                cache.clear()
-        self._learn_words(loose)
         self._learn(self.led, led, "")
         self._learn(self.spaced, spaced, " ")
+        self._learn_words(loose)
         out = [b"".join(map(self._ids, plan)) for plan in plans]
-        for cache, pieces in ((self.words, loose), (self.led, led), (self.spaced, spaced)):
-            for piece in [p for p in pieces if len(p) > SHORT]:
-                cache.pop(piece, None)
+        for known, pieces in ((self.words, loose), (self.led, led), (self.spaced, spaced)):
+            known.turn(pieces)
         return out
 
     def _ids(self, part) -> bytes:
@@ -198,8 +222,8 @@ class Encoder:
             return part
         words, lines = part
         if lines is None:
-            return b"".join(map(self.words.__getitem__, words))
-        led, spaced = self.led, self.spaced.__getitem__
+            return b"".join(map(self.words.now.__getitem__, words))
+        led, spaced = self.led.now, self.spaced.now.__getitem__
         return self.newline.join([b"".join([led[x[0]], *map(spaced, x[1:])]) for x in lines])
 
     def _library(self, text: str) -> list[int]:
