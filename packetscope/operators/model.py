@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from packetscope.operators.features import LABEL, column_kinds, ensure_columns
 from packetscope.operators.metrics import accuracy, evaluate
 from packetscope.plans.split import stratified_split
-from packetscope.session import written
 
 TREES = 100
 DEPTH = 10
 SEED = 42
+# most frequent values of a text column that get a slot; protocol names and numbers are fewer
+VOCABULARY = 512
+# rows of a task in fitting, and how finely small tables are split
+_PART_ROWS, _SMALL_PART_ROWS, _SMALL_PARTS = 2_000_000, 4096, 16
 
 
 def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
@@ -51,26 +54,34 @@ def zscores(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
     return df.withColumns({f"{c}_z": scaled(c) for c in columns})
 
 
-def one_hot_stages(column: str) -> list:
-    """Indexer by falling frequency, and encoder; unseen text encodes to all zeros."""
+def vocabulary(train: DataFrame, column: str, most: int = VOCABULARY) -> list[str]:
+    """The most frequent values, most frequent first, ties by value; at most ``most``."""
+    counts = train.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    return [r[0] for r in counts.orderBy(F.desc("n"), column).limit(most).collect()]
+
+
+def one_hot_stages(train: DataFrame, column: str, most: int = VOCABULARY) -> list:
+    """Indexer by falling frequency, and encoder.
+
+    The values beyond the vocabulary are one more category, that of unseen text, which
+    encodes to all zeros. The driver holds ``most`` values, whatever the column holds.
+    """
+    # an indexer needs a label; one that no text can have stands for an empty vocabulary
+    labels = vocabulary(train, column, most) or ["\x00"]
     return [
-        StringIndexer(
-            inputCol=column,
-            outputCol=f"{column}_index",
-            handleInvalid="keep",
-            stringOrderType="frequencyDesc",
+        StringIndexerModel.from_labels(
+            labels, inputCol=column, outputCol=f"{column}_index", handleInvalid="keep"
         ),
         OneHotEncoder(inputCol=f"{column}_index", outputCol=f"{column}_hot"),
     ]
 
 
-def one_hot(train: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+def one_hot(train: DataFrame, rows: DataFrame, column: str, most: int = VOCABULARY) -> DataFrame:
     """Add ``hot_slot``: the place of the single 1 in the encoded text, -1 for all zeros.
 
-    The vocabulary comes from ``train``. Protocol labels are a closed set (names
-    plus at most 256 numbers), so the driver holds a short list.
+    The vocabulary comes from ``train``.
     """
-    model = Pipeline(stages=one_hot_stages(column)).fit(train)
+    model = Pipeline(stages=one_hot_stages(train, column, most)).fit(train)
     hot = vector_to_array(f"{column}_hot")
     return (
         model.transform(rows)
@@ -79,16 +90,23 @@ def one_hot(train: DataFrame, rows: DataFrame, column: str) -> DataFrame:
     )
 
 
-def _steady(df: DataFrame) -> DataFrame:
+def _steady(df: DataFrame, total: int) -> DataFrame:
     """Same rows in the same partitions every time, so a seed gives the same forest.
 
-    Only a unique id spreads evenly; feature rows repeat too much to be hashed, so
-    without an id the rows stay where they are.
+    Their number follows from the rows alone, not from the session. Rows with an id are
+    spread by it. Without one, equal rows are counted and spread in blocks, so a row that
+    repeats very often fills no single task.
     """
-    if "packet_id" not in df.columns:
-        return df
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, "packet_id").sortWithinPartitions("packet_id")
+    parts = max(-(-total // _PART_ROWS), min(_SMALL_PARTS, -(-total // _SMALL_PART_ROWS)), 1)
+    if "packet_id" in df.columns:
+        return df.repartition(parts, "packet_id").sortWithinPartitions("packet_id")
+    names = df.columns
+    block = max(1, total // (4 * parts))
+    counted = df.groupBy(*names).agg(F.count("*").alias("__n"))
+    blocks = counted.withColumn("__block", F.explode(F.sequence(F.lit(0), F.expr(f"(__n - 1) div {block}"))))
+    copies = F.least(F.lit(block), F.col("__n") - F.col("__block") * block)
+    placed = blocks.repartition(parts, *names, "__block").sortWithinPartitions(*names, "__block")
+    return placed.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).select(*names)
 
 
 @dataclass
@@ -174,15 +192,17 @@ def train(
     """Fit scaler, encoder and a class-weighted forest on a feature table."""
     feature_columns = [c for c in table.columns if c not in (label, "packet_id")]
     numeric, text = column_kinds(table, label)
-    classes = [r[0] for r in table.select(label).distinct().limit(3).collect()]
+    # one row per class, two for threat labels
+    classes = {r[0]: r.n for r in table.groupBy(label).agg(F.count("*").alias("n")).collect()}
     if len(classes) < 2:
-        return ThreatModel(feature_columns, source_type, label, single_class=int(classes[0]) if classes else 0)
+        known = int(next(iter(classes), 0))
+        return ThreatModel(feature_columns, source_type, label, single_class=known)
     stages = [
         VectorAssembler(inputCols=numeric, outputCol="__numeric"),
         StandardScaler(inputCol="__numeric", outputCol="__scaled", withMean=True),
     ]
     for column in text:
-        stages += one_hot_stages(column)
+        stages += one_hot_stages(table, column)
     stages += [
         VectorAssembler(inputCols=["__scaled", *[f"{c}_hot" for c in text]], outputCol="__features"),
         RandomForestClassifier(
@@ -195,7 +215,8 @@ def train(
             seed=seed,
         ),
     ]
-    fitted = Pipeline(stages=stages).fit(_steady(with_class_weight(table, label)))
+    steady = _steady(with_class_weight(table, label), sum(classes.values()))
+    fitted = Pipeline(stages=stages).fit(steady)
     names = list(numeric)
     for column in text:
         indexer = next(
@@ -210,10 +231,9 @@ def split_and_train(
 ) -> tuple[ThreatModel, DataFrame]:
     """Model of the 70 % part and the scored 30 % part.
 
-    Fitting passes over the rows dozens of times, so features and split are
-    written once first.
+    Fitting passes over the rows dozens of times; the split has written them.
     """
-    parts = written(stratified_split(table, "packet_id", LABEL), "split")
+    parts = stratified_split(table, "packet_id", LABEL)
     model = train(parts.filter("is_train = 1").drop("is_train"), source_type, trees=trees, depth=depth)
     held_out = parts.filter("is_train = 0").drop("is_train")
     return model, model.predict(held_out)

@@ -34,6 +34,26 @@ def test_same_seed_same_scores(fitted, table):
     assert a.exceptAll(b).count() == 0
 
 
+@pytest.mark.parametrize("with_id", [True, False])
+def test_same_forest_under_other_settings(spark, table, with_id):
+    rows = table if with_id else table.drop("packet_id")
+    forests = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions, moved in (("3", rows.repartition(2)), ("11", rows.repartition(9))):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        forests.append(model.train(moved, "detailed", trees=4, depth=4).forest.toDebugString.split("\n", 1)[1])
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert forests[0] == forests[1]
+
+
+def test_rows_without_an_id_all_stay(spark):
+    rows = spark.range(10_000).selectExpr("cast(if(id % 3 = 0, 7, id % 50) as int) x", "cast(null as string) y")
+    steady = model._steady(rows, 10_000)
+    assert steady.exceptAll(rows).count() == 0 and rows.exceptAll(steady).count() == 0
+    sizes = [r[1] for r in steady.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 9000
+
+
 def test_auc_agrees_with_the_evaluator(fitted):
     scored = written(model.as_scored(fitted[1]), "scored")
     other = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label").evaluate(
@@ -85,6 +105,14 @@ def test_unseen_text_has_no_slot(spark):
     assert got == {"b": 0, "a": 1, "c": -1}
 
 
+def test_rare_text_shares_the_slot_of_unseen_text(spark):
+    train = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), ("c",), (None,)], "p string")
+    got = {r.p: r.hot_slot for r in model.one_hot(train, train, "p", most=2).collect()}
+    assert got == {"b": 0, "c": 1, "a": -1, None: -1}
+    nothing = model.one_hot(train.limit(0), train, "p")
+    assert {r.hot_slot for r in nothing.collect()} == {-1}
+
+
 def test_zscore_without_spread(spark):
     frame = spark.createDataFrame([(5,), (5,)], "x int")
     assert {r.x_z for r in model.zscores(frame, ["x"]).collect()} == {0.0}

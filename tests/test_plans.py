@@ -61,6 +61,44 @@ def test_split_of_tiny_and_single_classes(spark):
     assert got[1] == 0 and got[2] + got[3] == 1
 
 
+def counted_reads(spark, frame):
+    """The frame, and a counter of the rows that were worked out."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    return frame.mapInArrow(count, frame.schema), reads
+
+
+def test_split_works_rows_out_once(spark):
+    frame = spark.range(5000).selectExpr("id", "cast(id % 3 = 0 as int) label", "id * 2 other")
+    source, reads = counted_reads(spark, frame)
+    assert stratified_split(source, "id", "label").agg(F.sum("is_train"), F.sum("other")).count() == 1
+    assert reads.value == 5000
+
+
+def test_split_by_longer_prefixes_and_repeated_keys(spark):
+    rows = [(i % 700, int(i % 10 == 0)) for i in range(3000)] + [(9999, 1)] * 500
+    frame = spark.createDataFrame(rows, "id long, label int").repartition(6)
+    once = stratified_split(frame, "id", "label")
+    deep = stratified_split(frame, "id", "label", few=0)
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, deep.collect()))
+    got = {(r.id, r.label): r.is_train for r in deep.collect()}
+    for label in (0, 1):
+        ranked = sorted((hashlib.md5(f"{i}42".encode()).hexdigest(), i) for i, l in rows if l == label)
+        last = ranked[len(ranked) * 7 // 10 - 1]
+        assert {i for (i, l), t in got.items() if l == label and t} == {i for h, i in ranked if (h, i) <= last}
+
+
+def test_split_without_classes_or_rows(spark):
+    frame = spark.createDataFrame([(1, None), (2, None)], "id long, label int")
+    assert [r.is_train for r in stratified_split(frame, "id", "label").collect()] == [0, 0]
+    assert stratified_split(frame.limit(0), "id", "label").count() == 0
+
+
 def scored(spark, rows):
     return spark.createDataFrame(rows, "label int, prediction int, score double")
 
