@@ -1,8 +1,8 @@
 """Reports as long tables: (section, rank, key, n, pct).
 
-Each report groups the packets twice: by protocol, which gives the totals and the
-classes, and by (section, key), which gives all its top lists. The parts of a
-report use the first grouping in the same form, so Spark runs it once.
+Each report groups the packets once, by (section, key), and writes the counts. Protocol
+labels are one of the sections and hold every packet, so totals, classes and the time span
+come from the same rows as the lists.
 """
 
 from __future__ import annotations
@@ -16,15 +16,36 @@ from packetscope.operators.lookups import transport_of
 from packetscope.operators.stats import (
     class_counts_exact,
     class_rows,
-    section_counts,
     top5_sections,
     top_per_section,
 )
+from packetscope.plans.ordered import number_rows
+from packetscope.session import written
 
 
-def _per_protocol(df: DataFrame) -> DataFrame:
+def _grouped(df: DataFrame, sections: dict[str, Column]) -> DataFrame:
+    """``section, key, n, first, last`` of the sections and of ``protocol``, written.
+
+    ``first`` and ``last`` are times of packets, for protocols. Packets without a value are
+    left out, but for protocols, which count every packet. Tasks add up their own rows
+    before the shuffle, so a hot address or label is one row a task.
+    """
+    keys = {"protocol": F.col("protocol"), **sections}
+    pairs = [F.struct(F.lit(s).alias("section"), c.cast("string").alias("key")) for s, c in keys.items()]
+    is_protocol = F.col("section") == "protocol"
+    time = [F.col("ts")] if "ts" in df.columns else [F.lit(None).cast("timestamp").alias("ts")]
+    long = df.select(*time, F.inline(F.array(*pairs))).filter(is_protocol | has_text(F.col("key")))
+    at = F.when(is_protocol, F.col("ts"))
+    counts = long.groupBy("section", "key").agg(
+        F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last")
+    )
+    return written(counts, "report")
+
+
+def _protocols(grouped: DataFrame) -> DataFrame:
     """Rows per protocol label, NULL included."""
-    return df.groupBy("protocol").agg(F.count("*").alias("n"))
+    rows = grouped.filter("section = 'protocol'")
+    return rows.select(F.col("key").alias("protocol"), "n", "first", "last")
 
 
 def _count(rows: DataFrame, condition: Column | None = None) -> DataFrame:
@@ -73,17 +94,24 @@ def traffic_report(df: DataFrame, k: int = 10) -> DataFrame:
     Shares are of all packets, for hosts of the HTTP packets. The protocol list
     is whole, the others hold ``k`` entries.
     """
-    rows = _per_protocol(df)
-    total, http = _count(rows), _count(rows, F.col("protocol") == "HTTP")
-    # the test reads ``n`` as well, so it stays above the shared grouping
-    labelled = F.when(has_text(F.col("protocol")), F.col("n")) > 0
-    protocols = rows.filter(labelled).select(
-        F.lit("protocol").alias("section"), F.col("protocol").alias("key"), "n"
+    http_packets = F.col("protocol") == "HTTP"
+    grouped = _grouped(
+        df,
+        {
+            "source": F.col("src_ip"),
+            "destination": F.col("dst_ip"),
+            "http_host": F.when(http_packets, F.col("http_host")),
+        },
     )
-    host = F.when(F.col("protocol") == "HTTP", F.col("http_host"))
-    sections = [("source", "src_ip"), ("destination", "dst_ip"), ("http_host", "__host")]
-    lists = section_counts(df.withColumn("__host", host), sections)
-    ranked = top_per_section(protocols, None).unionByName(top_per_section(lists, k))
+    rows = _protocols(grouped)
+    total, http = _count(rows), _count(rows, http_packets)
+    labelled = rows.filter(has_text(F.col("protocol")))
+    # labels are an open set: sorted in ranges, not ranked by one task
+    protocols = number_rows(labelled, [F.desc("n"), F.col("protocol")], "rank").select(
+        F.lit("protocol").alias("section"), F.col("protocol").alias("key"), "n", F.col("rank").cast("int").alias("rank")
+    )
+    lists = top_per_section(grouped.filter("section <> 'protocol'").select("section", "key", "n"), k)
+    ranked = protocols.unionByName(lists)
     base = F.when(F.col("section") == "http_host", http.scalar()).otherwise(total.scalar())
     shares = ranked.select("section", "rank", "key", "n", percent(F.col("n"), base, 2).alias("pct"))
     return (
@@ -127,7 +155,7 @@ def report_lines(df: DataFrame, k: int = 10) -> DataFrame:
     body = report.select(
         number.cast("int").alias("section_no"), F.col("rank").alias("line_no"), line.alias("line")
     )
-    http = _count(_per_protocol(df), F.col("protocol") == "HTTP").scalar()
+    http = report.filter("section = 'http_requests'").select("n").scalar()
     rows = ", ".join(
         f"({_SECTION_ORDER.index(s) + 1}, 0, '{text}')" for s, text in _HEADINGS.items()
     )
@@ -143,17 +171,23 @@ def capture_summary(df: DataFrame) -> DataFrame:
     ``n`` of the duration row is whole milliseconds. Ports are the destination
     ports of TCP and UDP packets; shares have one decimal.
     """
-    rows = _per_protocol(df)
-    total = _count(rows)
     transport = transport_of(F.col("protocol"))
-    port = F.when(transport.isin("TCP", "UDP"), F.col("dst_port"))
-    sections = [("source", "src_ip"), ("destination", "dst_ip"), ("port", "__port")]
-    listed = section_counts(df.withColumn("__port", port), sections)
+    grouped = _grouped(
+        df,
+        {
+            "source": F.col("src_ip"),
+            "destination": F.col("dst_ip"),
+            "port": F.when(transport.isin("TCP", "UDP"), F.col("dst_port")),
+        },
+    )
+    rows = _protocols(grouped)
+    total = _count(rows)
+    listed = grouped.filter("section <> 'protocol'")
     base = F.greatest(total.scalar(), F.lit(1))
     share = F.round(F.lit(100.0) * F.col("n") / base, 1)
     lists = listed.select("section", F.lit(None).cast("int").alias("rank"), "key", "n", share.alias("pct"))
-    span = epoch_micros(F.max("ts")) - epoch_micros(F.min("ts"))
-    duration = df.agg(F.coalesce(F.round(span / 1000).cast("bigint"), F.lit(0)).alias("n"))
+    span = epoch_micros(F.max("last")) - epoch_micros(F.min("first"))
+    duration = rows.agg(F.coalesce(F.round(span / 1000).cast("bigint"), F.lit(0)).alias("n"))
     parts = (
         _single("total_packets", total)
         .unionByName(_single("duration_ms", duration))
@@ -168,7 +202,7 @@ def capture_summary(df: DataFrame) -> DataFrame:
 
 def viewer_summary(df: DataFrame) -> DataFrame:
     """Total, class counts by label, and the five top sources, destinations and ports."""
-    rows = _per_protocol(df)
+    rows = df.groupBy("protocol").agg(F.count("*").alias("n"))
     lists = top5_sections(df).select(
         "section", "rank", "key", "n", F.lit(None).cast("double").alias("pct")
     )

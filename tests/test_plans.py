@@ -3,11 +3,13 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from packetscope.operators import stats
 from packetscope.operators.metrics import auc, class_report, evaluate, roc_points, score_histogram
 from packetscope.plans.ordered import number_rows, running_totals
+from packetscope.plans.reports import capture_summary, report_lines, traffic_report
 from packetscope.plans.split import stratified_split
 
 
@@ -80,6 +82,30 @@ def test_split_works_rows_out_once(spark):
     assert reads.value == 5000
 
 
+@pytest.mark.parametrize("report", [traffic_report, report_lines, capture_summary])
+def test_reports_read_the_packets_once(spark, packets, report):
+    source, reads = counted_reads(spark, packets)
+    result = report(source)
+    assert result.count() > 5
+    assert reads.value == packets.count()
+    # only top lists are ranked, and cut to their length before the shuffle
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "Window " not in plan or "WindowGroupLimit" in plan
+
+
+def test_protocol_labels_are_ranked_whole(spark, packets):
+    many = packets.withColumn("protocol", F.concat(F.lit("P"), F.col("packet_id") % 700))
+    rows = traffic_report(many, 3).filter("section = 'protocol'").orderBy("rank").collect()
+    assert [r.rank for r in rows] == list(range(1, len(rows) + 1)) and len(rows) > 10
+    assert [(-r.n, r.key) for r in rows] == sorted((-r.n, r.key) for r in rows)
+
+
+def test_reports_of_an_empty_capture(spark, packets):
+    empty = packets.filter("packet_id < 0")
+    assert {(r.section, r.n) for r in traffic_report(empty).collect()} == {("total_packets", 0), ("http_requests", 0)}
+    assert {r.n for r in capture_summary(empty).collect()} == {0}
+
+
 def test_split_by_longer_prefixes_and_repeated_keys(spark):
     rows = [(i % 700, int(i % 10 == 0)) for i in range(3000)] + [(9999, 1)] * 500
     frame = spark.createDataFrame(rows, "id long, label int").repartition(6)
