@@ -1,8 +1,8 @@
 """Repeated passages: paragraphs that are alike across or within documents.
 
-A paragraph is a line, cut further at ends of sentences that the sentence's own last word
-chooses, so that a passage copied into other surroundings falls into the same paragraphs
-there. MinHash bands, tuned for recall, propose pairs of different paragraphs, exact
+A paragraph is a line, cut further at ends of sentences that the last words of neighbouring
+sentences choose, so that a passage copied into other surroundings falls into the same
+paragraphs there. MinHash bands, tuned for recall, propose pairs of different paragraphs, exact
 Jaccard similarities decide, links become classes, and each class keeps its first
 occurrence.
 """
@@ -26,7 +26,7 @@ from packetscope.session import ship, written
 SIMILARITY = 0.8
 # paragraphs of fewer words are never removed
 LEAST_WORDS = 8
-# one in so many sentences ends a paragraph
+# of so many ends of sentences in a row at least one ends a paragraph
 CUT = 2
 # components of a signature at most; unrelated paragraphs hardly share a shingle, so few do
 _COMPONENTS = 20
@@ -34,14 +34,23 @@ _SENTENCE = re.compile(r"(\S+)(?:(?<=[.!?])[^\S\n]+|[^\S\n]*(?:\n\s*|\Z))")
 
 
 def paragraphs_of(text: str, cut: int = CUT) -> list[tuple[int, int]]:
-    """Where paragraphs start and end, without the white space between them."""
-    out = []
+    """Where paragraphs start and end, without the white space between them.
+
+    Of every ``cut`` ends of sentences in a row within a line, the one whose last word has
+    the least hash ends a paragraph. Only neighbours decide, so a passage of some sentences
+    has such ends wherever it stands.
+    """
+    out, ends = [], []
     start = len(text) - len(text.lstrip())
     for m in _SENTENCE.finditer(text, start):
-        broken = "\n" in m[0] or m.end() == len(text)
-        if broken or zlib.crc32(m[1].encode()) % cut == 0:
-            out.append((start, m.end(1)))
-            start = m.end()
+        ends.append((zlib.crc32(m[1].encode()), m.end(1), m.end()))
+        if "\n" in m[0] or m.end() == len(text):
+            inner = ends[:-1]
+            chosen = {min(inner[i : i + cut]) for i in range(len(inner) - cut + 1)}
+            for end in [*(e for e in inner if e in chosen), ends[-1]]:
+                out.append((start, end[1]))
+                start = end[2]
+            ends = []
     return out
 
 
