@@ -74,35 +74,48 @@ def _seeds(texts: DataFrame) -> DataFrame:
     return texts.select("text", row).mapInArrow(run, "h long, v long")
 
 
+def untouched(spans: np.ndarray, gone: list[dict] | None) -> np.ndarray:
+    """Whether each window of words, of which ``spans`` are the places, has no word in ``gone``."""
+    inside = np.zeros(len(spans) + 1, np.int32)
+    for part in gone or ():
+        first = np.searchsorted(spans[:, 1], part["start"], "right")
+        inside[first : np.searchsorted(spans[:, 0], part["end"])] = 1
+    before = np.concatenate([[0], np.cumsum(inside[:-1])])
+    return before[LEAST:] == before[: len(spans) + 1 - LEAST]
+
+
 def _windows(texts: DataFrame, shared) -> DataFrame:
-    """The windows whose seed occurs again."""
+    """The windows whose seed occurs again; ``whole`` are those with no word in ``gone``."""
 
     def run(batches):
         windows, again = Windows(), shared.value
         for batch in slices(batches):
-            texts = batch.column(1).to_pylist()
-            owners, words, whole, seeds, _ = windows(texts)
+            texts, gone = batch.column(1).to_pylist(), batch.column(3).to_pylist()
+            owners, words, hashes, seeds, _ = windows(texts)
             take = np.flatnonzero(again.has(seeds.astype(np.int64)))
             owners, words = owners[take], words[take]
-            parts = [np.zeros((3, 0), np.int32)]
+            parts = [np.zeros((4, 0), np.int32)]
             for owner, of_owner in zip(*_grouped(owners, words)):
                 spans = np.asarray([m.span() for m in _WORD.finditer(texts[owner])], np.int32)
                 starts = [start for start, _ in paragraphs_of(texts[owner])]
                 start, end = spans[of_owner, 0], spans[of_owner + LEAST - 1, 1]
-                parts.append(np.stack([np.searchsorted(starts, start, "right") - 1, start, end - start]))
+                place = np.searchsorted(starts, start, "right") - 1
+                whole = untouched(spans, gone[owner])[of_owner]
+                parts.append(np.stack([place, start, end - start, whole]))
             places = np.concatenate(parts, axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(whole[take].astype(np.int64)),
+                    pa.array(hashes[take].astype(np.int64)),
                     *(batch.column(c).take(pa.array(owners, pa.int64())) for c in (2, 0)),
-                    *map(pa.array, places),
+                    *map(pa.array, places[:3]),
+                    pa.array(places[3] == 1),
                 ],
-                names=["h", "row", "doc_id", "place", "start", "length"],
+                names=["h", "row", "doc_id", "place", "start", "length", "whole"],
             )
 
     kind = id_type(texts, "doc_id")
-    return texts.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(
-        run, f"h long, row long, doc_id {kind}, place int, start int, length int"
+    return texts.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), "gone").mapInArrow(
+        run, f"h long, row long, doc_id {kind}, place int, start int, length int, whole boolean"
     )
 
 
@@ -119,22 +132,38 @@ def verbatim(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     A window's first occurrence by id and start is kept, every other is ``removed``; null
     ids come last. A row is a longest run of windows that are removed, or kept, alike.
     ``place`` is the paragraph in which it starts; the class names where its first window
-    occurs first. Case, punctuation and white space between words do not count.
+    occurs first. Case, punctuation and white space between words do not count. Null texts
+    and texts under ``LEAST`` words have no windows; rows that repeat whole count as one
+    occurrence. Other columns are not read; an empty table gives an empty one.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    nothing = F.lit(None).cast("array<struct<start:int,end:int>>")
     texts = id_and_text(docs, id_col, text_col)
+    return _verbatim(texts, texts.withColumn("gone", nothing))
+
+
+def _verbatim(texts: DataFrame, marked: DataFrame) -> DataFrame:
+    """``verbatim`` where the spans ``gone`` of a text in ``marked`` go anyhow.
+
+    The occurrence that stays is the first with no word in them, and only later ones go;
+    a window without such an occurrence goes nowhere. So whatever a word is dropped for
+    is an earlier copy that is not in such a span, and the first copy of all stays.
+    """
+    spark = texts.sparkSession
+    ship(spark)
     again = repeated(_seeds(texts))
-    found = written(_windows(texts, spark.sparkContext.broadcast(again)), "windows")
+    found = written(_windows(marked, spark.sparkContext.broadcast(again)), "windows")
     occurrence = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start", "place")
     first = (
-        found.groupBy("h").agg(F.min(occurrence).alias("first"), F.max(occurrence).alias("last")).where("first <> last")
+        found.groupBy("h")
+        .agg(F.min(F.when(F.col("whole"), occurrence)).alias("first"), F.max(occurrence).alias("last"))
+        .where("first < last")
     )
-    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))
-    every = found.join(first, "h").select(
+    here = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start")
+    kept = F.struct("first.none", "first.doc_id", "first.start")
+    every = found.join(first, "h").where(here >= kept).select(
         "row", "doc_id", "place", "start", (F.col("start") + F.col("length")).alias("end"),
         F.col("first.doc_id").alias("class_doc_id"), F.col("first.place").alias("class_place"),
-        (~kept).alias("removed"),
+        (here > kept).alias("removed"),
     )
     alike = W.partitionBy("row", "removed").orderBy("start")
     new = F.coalesce(F.lag("end").over(alike) < F.col("start"), F.lit(True))
@@ -150,6 +179,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of ``repeated_paragraphs``, which may differ in some words, and of ``verbatim``.
 
     The text to drop is what any ``removed`` span covers: a passage that is repeated both
-    ways has a row of each.
+    ways has a row of each. A verbatim copy that stays has no word in a removed paragraph,
+    so no run of words goes as the copy of one that goes as well. Spans under a null id
+    cannot be told to one text and are not asked about.
+    Texts that are null, empty or short, repeated rows and other columns: as in the two parts.
     """
-    return repeated_paragraphs(docs, id_col, text_col).unionByName(verbatim(docs, id_col, text_col))
+    near = written(repeated_paragraphs(docs, id_col, text_col), "repeated")
+    removed = near.where("removed AND doc_id IS NOT NULL").select("doc_id", "start", "end").distinct()
+    gone = removed.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    texts = id_and_text(docs, id_col, text_col)
+    return near.unionByName(_verbatim(texts, texts.join(gone, "doc_id", "left")))
