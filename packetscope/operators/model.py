@@ -277,22 +277,27 @@ def compare_models(
     )
 
 
+# fixed values: the lines of the comparison report, which readers of its file rely on;
+# a pair is a format and the column it prints
+_COMPARISON = [
+    "NETWORK THREAT DETECTION MODEL COMPARISON",
+    "=" * 50,
+    "BASIC MODEL",
+    ("Accuracy: %.4f", "basic_accuracy"),
+    ("Features: %d", "basic_features"),
+    "DETAILED MODEL",
+    ("Accuracy: %.4f", "detailed_accuracy"),
+    ("Features: %d", "detailed_features"),
+    "COMPARISON",
+    ("Accuracy improvement: %.4f", "accuracy_gain"),
+    ("Feature count increase: %d", "feature_gain"),
+    ("CONCLUSION: %s", "verdict"),
+]
+
+
 def comparison_lines(comparison: DataFrame) -> DataFrame:
     """(line_no, line) of the comparison report."""
-    lines = [
-        F.lit("NETWORK THREAT DETECTION MODEL COMPARISON"),
-        F.lit("=" * 50),
-        F.lit("BASIC MODEL"),
-        F.format_string("Accuracy: %.4f", "basic_accuracy"),
-        F.format_string("Features: %d", "basic_features"),
-        F.lit("DETAILED MODEL"),
-        F.format_string("Accuracy: %.4f", "detailed_accuracy"),
-        F.format_string("Features: %d", "detailed_features"),
-        F.lit("COMPARISON"),
-        F.format_string("Accuracy improvement: %.4f", "accuracy_gain"),
-        F.format_string("Feature count increase: %d", "feature_gain"),
-        F.concat(F.lit("CONCLUSION: "), F.col("verdict")),
-    ]
+    lines = [F.lit(line) if isinstance(line, str) else F.format_string(*line) for line in _COMPARISON]
     return comparison.select(F.posexplode(F.array(*lines)).alias("line_no", "line"))
 
 

@@ -138,6 +138,7 @@ def detail_rows(df: DataFrame) -> DataFrame:
         }
     )
     proto = F.col("__proto")
+    # fixed values: the field names below are those that readers of the detail pane know
     ports = [("Source Port", "src_port"), ("Destination Port", "dst_port")]
     layers = [
         _layer(
