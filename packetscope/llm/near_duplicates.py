@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetscope.llm.common import id_and_text, id_type, slices, text_udf, words_of
+from packetscope.llm.common import byte_slices, id_and_text, id_type, slices, text_udf, words_of
 from packetscope.llm.linking import classes, repeated
 from packetscope.llm.shingles import Shingler, bands_of, counted, mixed, tuned
 from packetscope.session import ship, written
@@ -27,8 +27,8 @@ SIMILARITY = 0.8
 _AT_ONCE = 16
 # components of a signature at most
 _COMPONENTS = 64
-# texts hashed together
-_TEXTS = 1024
+# texts hashed together, and their bytes: hashing takes some thirty times the memory of a text
+_TEXTS, _BYTES = 1024, 1 << 21
 
 
 def weights_of(counts: np.ndarray) -> np.ndarray:
@@ -99,7 +99,7 @@ def _hashes(texts: DataFrame, bands: int, rows: int) -> DataFrame:
 
     def run(batches):
         sign = Signer(bands, rows)
-        for batch in slices(batches, _TEXTS):
+        for batch in byte_slices(slices(batches, _TEXTS), 1, _BYTES):
             keys, found, *_ = sign(batch.column(1).to_pylist())
             has = np.asarray([k is not None for k in keys], bool)
             short = np.asarray([_short(k) for k in keys if k is not None], np.int64)
@@ -115,7 +115,7 @@ def _signed(texts: DataFrame, bands: int, rows: int, shared) -> DataFrame:
 
     def run(batches):
         sign, again = Signer(bands, rows), shared.value
-        for batch in slices(batches, _TEXTS):
+        for batch in byte_slices(slices(batches, _TEXTS), 1, _BYTES):
             keys, found, values, weights, ends = sign(batch.column(1).to_pylist())
             hit = again.has(found.ravel()).reshape(found.shape)
             out_bands, out_values, out_weights = [], [], []
