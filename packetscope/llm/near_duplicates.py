@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packetscope.llm.common import byte_slices, id_and_text, id_type, slices, text_udf, words_of
 from packetscope.llm.linking import classes, repeated
@@ -200,8 +201,9 @@ def without_near_duplicates(
 ) -> DataFrame:
     """The rows of ``docs`` with one document of each class, all columns as they are.
 
-    The document with the smallest id stays; of rows that agree in id and words, one does.
-    Rows without words all stay.
+    The document with the smallest id stays; of rows that agree in id and words, the one with
+    the smallest text, then the smallest other columns from left to right, nulls first.
+    Columns that have no order, such as maps, are not compared. Rows without words all stay.
     """
     texts = id_and_text(docs, id_col, text_col)
     found = written(keyed_classes(texts, similarity).where("key IS NOT NULL"), "classes")
@@ -228,4 +230,19 @@ def without_near_duplicates(
     match = keyed[id_col].eqNullSafe(lost["__id"]) & (keyed[name] == lost["__key"])
     stay = keyed.where(F.col(name).isNotNull()).join(lost, match, "left_anti")
     wordless = keyed.where(F.col(name).isNull())
-    return stay.dropDuplicates([id_col, name]).union(wordless).drop(name)
+    order = [text_col, *(c for c in docs.columns if c != text_col and _has_order(docs.schema[c].dataType))]
+    if len(order) == len(docs.columns):
+        least = F.min(F.struct(*order))
+    else:
+        least = F.min_by(F.struct(*docs.columns), F.struct(*order))
+    single = stay.groupBy(docs[id_col].alias("__id"), F.col(name).alias("__key")).agg(least.alias("__row"))
+    return single.select("__row.*").select(*docs.columns).union(wordless.drop(name))
+
+
+def _has_order(kind: T.DataType) -> bool:
+    """Whether values of a type can be compared."""
+    if isinstance(kind, T.StructType):
+        return all(_has_order(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _has_order(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))

@@ -203,3 +203,17 @@ def test_many_hubs_at_once_are_the_pairs_one_by_one():
             assert hubs(x["root"], x["buckets"], x["values"], x["weights"], least) == want
             linked += len(want)
     assert linked > 100
+
+
+def test_rows_of_one_id_and_equal_words(spark):
+    rows = [(1, "x", "a b c d e f"), (1, "y", "A b c d e f"), (1, "b", "A b c d e f"), (2, None, "a b, c d e f")]
+    rows += [(None, "z", "n o p q r s"), (None, None, "n o p q r s"), (None, "z", "N o p q r s?"), (3, "w", "")]
+    schema = "doc_id long, lang string, text string"
+    want = {(1, "b", "A b c d e f"), (None, "z", "N o p q r s?"), (3, "w", "")}
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, schema).repartition(parts)
+        assert {tuple(r) for r in without_near_duplicates(docs).collect()} == want
+    mapped = spark.createDataFrame(rows, schema).withColumn("m", F.create_map(F.lit("k"), F.col("lang")))
+    got = without_near_duplicates(mapped)
+    assert got.columns == ["doc_id", "lang", "text", "m"]
+    assert {(r.doc_id, r.lang, r.text, r.m["k"]) for r in got.collect()} == {(*w, w[1]) for w in want}
