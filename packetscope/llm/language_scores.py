@@ -164,7 +164,8 @@ def questions(blocks: DataFrame, wanted: DataFrame, ranges: int) -> DataFrame:
                     [
                         pa.array([row["block"]] * len(parts), pa.int64()),
                         pa.array(place[cuts[:-1]], pa.int64()),
-                        pa.array([_packed(block.keys[p]) for p in parts], pa.binary()),
+                        # sorted keys as steps from one to the next
+                        pa.array([_packed(np.diff(block.keys[p], prepend=_WORD)) for p in parts], pa.binary()),
                         pa.array([_packed(counts[:, p].ravel()) for p in parts], pa.binary()),
                     ],
                     names=["block", "place", "keys", "counts"],
@@ -185,7 +186,7 @@ def answers(asked: DataFrame) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         place = group.column("place")[0].as_py()
-        keys = [_unpacked(k) for k in group.column("keys").to_pylist()]
+        keys = [np.cumsum(_unpacked(k), dtype=np.uint64) for k in group.column("keys").to_pylist()]
         counts = np.concatenate(
             [_unpacked(c).reshape(2, -1) for c in group.column("counts").to_pylist()], axis=1
         )
