@@ -30,7 +30,7 @@ from packetscope.session import ship, written
 SHARE = 0.7
 # bytes of text in a block, and words of the corpus for each range of hashes: both bound
 # what a worker holds at one time, neither changes a result
-BLOCK_BYTES, RANGE_WORDS = 1 << 21, 1 << 20
+BLOCK_BYTES, RANGE_WORDS = 1 << 22, 1 << 20
 _ROW_BITS = 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 # the lowest two bits of a key tell words, bigrams and the start of a text apart
