@@ -7,9 +7,10 @@ class yet. A hub that met its whole bucket is done there. Rounds go on until the
 in every bucket are in one class, so no colliding pair of different classes is left
 unchecked, whatever the bucket's size.
 
-While a round's hubs are few bytes they go to the items as a broadcast, an item meets all
-its hubs in one look, and no pair is made a row. Beyond that, pairs are joined with the
-contents, a few per item and round.
+The first rounds find nearly all links: pairs are joined with the contents, a few per item
+and round. In later rounds, while the hubs are few bytes, they go to the items as a
+broadcast, an item meets all its hubs in one look, and no pair is made a row; beyond that
+they are joined as well.
 """
 
 from __future__ import annotations
@@ -24,16 +25,15 @@ from packetscope.session import remove, written
 
 # bits of the bitmap of repeated hashes: the least, and the most whatever the input's size
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
-# pairs that are broadcast to the contents; each takes less than 200 bytes
-BROADCAST_PAIRS = 50_000
-# bytes of hubs that are broadcast; more hubs are joined
-BROADCAST_BYTES = 16 << 20
+# rounds that always join pairs with contents; and the bytes of hubs that are broadcast in
+# later rounds, which have few buckets left
+JOINED_ROUNDS, BROADCAST_BYTES = 2, 16 << 20
 # links whose ends' least neighbours are broadcast while classes are made; about 50 bytes each
 BROADCAST_LINKS = 200_000
 # hubs of a bucket by round: the first finds most links, the later ones what it missed
 _HUBS = (1, 4, 16)
 # the same where hubs are broadcast, which makes no rows of pairs
-_SHARED_HUBS = (1, 16, 256)
+_SHARED_HUBS = 256
 _CELL = 32768  # bits in one piece of Spark's bitmap functions
 
 
@@ -153,28 +153,26 @@ def _met(items: DataFrame, hubs: Hubs, least: float, key: str) -> DataFrame:
 
 
 def _paired(now: DataFrame, hubs: DataFrame, content: DataFrame, least: float) -> DataFrame:
-    """``a, b`` like ``_met``, for hubs of any number: pairs are joined with the contents."""
+    """``a, b`` like ``_met``, for hubs of any number: pairs are joined with the contents.
+
+    Items learn where they lie which hubs they meet, and travel once for each. Of two items
+    that are each other's hub one travels.
+    """
     pairs = written(
         now.join(hubs, "bucket")
         .where("root <> hub_root")
-        .select(
-            F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"),
-            F.least("root", "hub_root").alias("root_a"), F.greatest("root", "hub_root").alias("root_b"),
-        )
-        .distinct(),
+        .groupBy(F.least("key", "hub").alias("low"), F.greatest("key", "hub").alias("high"))
+        .agg(F.min(F.struct("key", "hub", "root", "hub_root")).alias("pair"))
+        .select("pair.*"),
         "pairs",
     )
-    left = content.select(F.col("key").alias("a"), F.col("body").alias("body_a"))
-    right = content.select(F.col("key").alias("b"), F.col("body").alias("body_b"))
-    few = pairs.count() <= BROADCAST_PAIRS
-    with_left = left.join(F.broadcast(pairs), "a") if few else pairs.join(left, "a")
-    if few:  # the contents stay where they are
-        numbered = with_left.select("a", "b").distinct()
-        both = right.join(F.broadcast(numbered), "b").join(with_left, ["a", "b"])
-    else:
-        both = with_left.join(right, "b")
-    linked = both.where(similar(least)("body_a", "body_b"))
-    linked = written(linked.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "links")
+    # both joins read one exchange of the contents
+    items = content.join(pairs, "key").select("hub", "root", "hub_root", F.col("body").alias("item"))
+    bodies = content.join(pairs.select(F.col("hub").alias("key")).distinct(), "key", "left_semi")
+    both = items.join(bodies.select(F.col("key").alias("hub"), "body"), "hub")
+    linked = both.where(similar(least)("item", "body"))
+    linked = linked.select(F.least("root", "hub_root").alias("a"), F.greatest("root", "hub_root").alias("b"))
+    linked = written(linked.distinct(), "links")
     drop_tables(linked.sparkSession, pairs)
     return linked
 
@@ -202,7 +200,8 @@ def classes(members: DataFrame, content: DataFrame, least: float) -> DataFrame:
             now = members.join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
         # hubs are items of small classes, which meet the most others
         # (at most 256 of a bucket, so a list of them is short)
-        fewest, most = _HUBS[min(number, 2)], (_SHARED_HUBS if shared else _HUBS)[min(number, 2)]
+        fewest = _HUBS[min(number, 2)]
+        most = _SHARED_HUBS if shared or number == JOINED_ROUNDS else fewest
         salt = F.pmod(F.xxhash64("root", F.lit(number)), F.lit(most))
         order = F.xxhash64("key", F.lit(number))
         roots = now.groupBy("bucket", "root").agg(
@@ -225,9 +224,11 @@ def classes(members: DataFrame, content: DataFrame, least: float) -> DataFrame:
             drop_tables(spark, hubs)
             break
         chosen = hubs.select(F.col("hub").alias("key")).distinct()
-        bodies = content.join(chosen, "key", "left_semi")
-        weight = F.octet_length("body.values") + F.coalesce(F.octet_length("body.weights"), F.lit(0))
-        shared = (bodies.agg(F.sum(weight + 512)).first()[0] or 0) <= BROADCAST_BYTES
+        shared = number >= JOINED_ROUNDS
+        if shared:
+            bodies = content.join(chosen, "key", "left_semi")
+            weight = F.octet_length("body.values") + F.coalesce(F.octet_length("body.weights"), F.lit(0))
+            shared = (bodies.agg(F.sum(weight + 512)).first()[0] or 0) <= BROADCAST_BYTES
         now = now.join(hubs.select("bucket"), "bucket", "left_semi")
         if shared:  # a hub meets the items of all its buckets, so a pair meets once in all rounds
             items = written(

@@ -168,11 +168,12 @@ def body(values, weights=None):
     return {"values": np.sort(np.asarray(values, np.uint64)).tobytes(), "weights": packed}
 
 
-@pytest.mark.parametrize("room", [0, 1000, linking.BROADCAST_BYTES])
-def test_a_crowded_bucket_is_checked_whole(spark, monkeypatch, room):
+@pytest.mark.parametrize(("room", "joined"), [(0, 2), (1000, 2), (1000, 0), (linking.BROADCAST_BYTES, 0)])
+def test_a_crowded_bucket_is_checked_whole(spark, monkeypatch, room, joined):
     """Items of one bucket, linked only to their neighbours in a chain; with hubs that are
     joined, both in turn, and broadcast."""
     monkeypatch.setattr(linking, "BROADCAST_BYTES", room)
+    monkeypatch.setattr(linking, "JOINED_ROUNDS", joined)
     n = 40
     start = [i + (9 if i >= 30 else 0) for i in range(n)]
     key = lambda i: i.to_bytes(2, "big")
