@@ -57,3 +57,23 @@ def test_cut_and_rows():
     rows, starts = rows_of([b"a", b"abcdef", b""])
     # a word of its own row, and "<abcd", "abcde", "bcdef", "cdef>"
     assert np.diff(np.append(starts, len(rows))).tolist() == [1, 5, 1]
+
+
+def test_rows_beyond_the_start_are_learned_from(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choices("aeioulmnrst", k=rnd.randrange(2, 8)))
+    common, marks = [word() for _ in range(300)], ["".join(rnd.choices("bcdfghjkpqvwxyz", k=9)) for _ in range(24)]
+    docs, labels = [], []
+    for i in range(2400):
+        words = rnd.choices(common, k=rnd.randrange(10, 30))
+        if i % 3 == 0:
+            words[rnd.randrange(10)] = marks[i // 3 % 24]
+        docs.append((i, " ".join(words), "en", 0))
+        labels.append((i, int(i % 3 == 0)))
+    docs, labels = spark.createDataFrame(docs, KINDS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    # the start sees at most 12 of the 24 marks
+    net = train(docs, labels, sample_per_class=12)
+    held = [r for r in score_documents(docs, net).collect() if r.held_out]
+    assert sum(r.predicted == int(r.doc_id % 3 == 0) for r in held) / len(held) > 0.95
+    again = train(docs.repartition(7), labels.repartition(3), sample_per_class=12)
+    assert (net.flat() == again.flat()).all() and net.thresholds == again.thresholds
