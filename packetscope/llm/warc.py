@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetscope.llm.common import slices
-from packetscope.session import ship
+from packetscope.session import ship, written
 
 # bytes of a record's block at most, and of a transfer chunk
 SEGMENT_BYTES, CHUNK_BYTES = 16 << 10, 4 << 10
@@ -316,16 +316,34 @@ def reassembled(records: DataFrame) -> DataFrame:
     return whole.unionByName(segmented)
 
 
+# records that hold a payload of their own
+_ANSWERS = "(type = 'response' OR type IS NULL)"
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages of archives: ``page_id, payload_bytes, payload_digest, record_type, refers_to, intact``.
 
     Length and digest are worked out from the decoded payload; ``intact`` says whether it
     could be put together and decoded and has the digest its header names. A revisit takes
     both from the response it refers to, and is not intact without one.
+
+    Archives are parsed once: whole blocks are decoded on the way, and header fields, digests
+    and the blocks of segments are written.
     """
-    blocks = reassembled(read_records(spark, path))
+    records = read_records(spark, path)
+    lone = F.expr(f"CASE WHEN segment IS NULL AND {_ANSWERS} THEN block END")
+    records = written(
+        records.withColumn("payload", _payload_udf()(lone))
+        .withColumn("block", F.when(F.col("segment").isNotNull(), F.col("block"))),
+        "records",
+    )
+    columns = ["type", "record_id", "payload_digest", "refers_to", "complete", "payload"]
+    whole = records.where("segment IS NULL").withColumn("complete", F.lit(True))
+    parts = reassembled(records.where("segment IS NOT NULL").drop("payload"))
+    parts = parts.withColumn("payload", _payload_udf()("block"))
+    blocks = whole.select(columns).unionByName(parts.select(columns))
     page = lambda c: F.try_element_at(F.split(c, ":"), F.lit(3)).try_cast("long")
-    answers = blocks.where("type = 'response' OR type IS NULL").withColumn("payload", _payload_udf()("block"))
+    answers = blocks.where(_ANSWERS)
     named = F.concat(F.lit("sha1:"), F.col("payload.digest"))
     responses = answers.select(
         "record_id",

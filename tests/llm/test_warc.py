@@ -91,3 +91,13 @@ def test_empty_table(spark):
     with tempfile.TemporaryDirectory() as folder:
         write_archives(spark.createDataFrame([], "page_id long, url string, html string"), folder + "/w")
         assert read_pages(spark, folder + "/w").count() == 0
+
+
+def test_archives_are_parsed_once(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", "x" * (i * 700)) for i in range(40)], "page_id long, url string, html string")
+    with tempfile.TemporaryDirectory() as folder:
+        write_archives(pages, folder + "/w", segment_bytes=4096)
+        got = read_pages(spark, folder + "/w")
+        # what is joined and united are narrow rows that were written once, not archives
+        assert "FileScan text" not in got._jdf.queryExecution().toString()
+        assert {(r.page_id, r.payload_bytes, r.intact) for r in got.collect()} == {(i, i * 700, True) for i in range(40)}
