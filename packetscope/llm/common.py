@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +51,15 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_LOWER_WORDS).split()
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system; worker processes live on for other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
+
+
 def text_udf(kind: str, arrow_kind: pa.DataType, worker):
     """A column function over texts. ``worker()`` is made once per task and maps a list of
     texts (null: empty) to a list of values."""
@@ -64,6 +74,8 @@ def text_udf(kind: str, arrow_kind: pa.DataType, worker):
                 for at in range(0, len(texts), SLICE)
             ]
             yield pa.concat_arrays(parts) if parts else pa.array([], arrow_kind)
+        del of_texts
+        give_back()
 
     return F.arrow_udf(run, kind)
 

@@ -8,7 +8,6 @@ text is encoded where it is read.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import public_tokenizers
@@ -18,109 +17,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetscope.llm.bpe import Vocabulary, frequent_chunks
-from packetscope.llm.common import id_and_text, id_type, slices
+from packetscope.llm.common import byte_slices, give_back, id_and_text, id_type
 from packetscope.llm.lexicon import Lexicon, compile_lexicon, mapped
-from packetscope.llm.unicode import Assigned
+from packetscope.llm.merging import Encoder
 from packetscope.session import ship
 
-# pre-tokens in the lexicon, and words a worker remembers besides
-LEXICON_SIZE, REMEMBERED = 1 << 16, 1 << 19
-# longer pieces are forgotten after their batch
-SHORT = 64
-# white space that is not a lone character between two others
-_RUNS = re.compile(r"\s\s|\A\s|\s\Z")
-
-
-class Encoder:
-    """Encodes and decodes on a worker; made once per task."""
-
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, library=None):
-        self.vocabulary, self.lexicon, self.library = vocabulary, lexicon, library
-        self.pretokens = regex.compile(public_tokenizers.PATTERN).findall
-        self.special = None
-        if vocabulary.special:
-            names = sorted(vocabulary.special, key=len, reverse=True)
-            self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")")
-        self.assigned = Assigned()
-        self.words: dict[str, bytes] = {}  # pre-token -> ids as little-endian uint32
-        self.chunks: dict[str, bytes] = {}  # several pre-tokens without inner white space
-
-    def learn(self, chunks: set[str]) -> None:
-        """Fill the caches for chunks not met before."""
-        if len(self.chunks) > REMEMBERED:
-            self.chunks.clear()
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        new = [c for c in chunks if c not in self.chunks]
-        split = [self.pretokens(c) for c in new]
-        unknown = list({w for words in split for w in words if w not in self.words})
-        as_bytes = [w.encode() for w in unknown]
-        for word, raw, ids in zip(unknown, as_bytes, self.lexicon.lookup(as_bytes)):
-            ids = self.vocabulary.merge(raw) if ids is None else ids
-            self.words[word] = np.asarray(ids, "<u4").tobytes()
-        for chunk, words in zip(new, split):
-            self.chunks[chunk] = b"".join([self.words[w] for w in words])
-        for word in unknown:
-            if len(word) > SHORT:
-                del self.words[word]
-
-    def _pieces(self, text: str) -> list[str]:
-        """Cut where a pre-token always begins: before a lone space, around a lone newline."""
-        if not text:
-            return []
-        if _RUNS.search(text):
-            return [text]
-        out = []
-        for number, line in enumerate(text.split("\n")):
-            if number:
-                out.append("\n")
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += [" " + piece for piece in rest]
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        plans, wanted = [], set()
-        for text in texts:
-            if not self.assigned(text):
-                # letters newer than this Unicode table: the library decides how to cut them
-                plans.append(self.library().encode(text, add_special_tokens=False).ids)
-                continue
-            parts = [text]
-            if self.special is not None and self.special.search(text):
-                parts = self.special.split(text)
-            plan = []
-            for part in parts:
-                if self.special is not None and part in self.vocabulary.special:
-                    plan.append(self.vocabulary.special[part])
-                else:
-                    pieces = self._pieces(part)
-                    wanted.update(pieces)
-                    plan.append(pieces)
-            plans.append(plan)
-        self.learn(wanted)
-        out, chunks = [], self.chunks
-        long = [c for c in wanted if len(c) > SHORT]
-        for plan in plans:
-            out.append(
-                b"".join(
-                    part.to_bytes(4, "little")
-                    if isinstance(part, int)
-                    else b"".join([chunks[p] for p in part])
-                    for part in plan
-                )
-            )
-        for chunk in long:
-            del chunks[chunk]
-        return out
+# pre-tokens in the lexicon, pieces of one generation that a worker remembers besides, and bytes of
+# text that are objects at one time
+LEXICON_SIZE, REMEMBERED, AT_ONCE = 1 << 16, 1 << 17, 1 << 20
+
+
+class LexiconEncoder(Encoder):
+    """Encodes and decodes on a worker; made once per process."""
+
+    def __init__(self, file: str, lexicon: Lexicon):
+        self.lexicon = lexicon
+        super().__init__(file, REMEMBERED)
+
+    def _merge(self, words: list[str]) -> list[bytes]:
+        """Ids of pre-tokens from the lexicon; those it does not hold are merged."""
+        ids = self.lexicon.lookup([w.encode() for w in words])
+        merged = iter(super()._merge([w for w, i in zip(words, ids) if i is None]))
+        return [next(merged) if i is None else i.astype("<u4").tobytes() for i in ids]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
-        tokens = self.vocabulary.tokens
-        return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode(
-            "utf-8", "replace"
-        )
+        token = self.vocabulary.tokens.__getitem__
+        return b"".join(map(token, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
 def _lexicon_of(texts: DataFrame, vocabulary: Vocabulary, size: int) -> bytes:
@@ -162,7 +85,7 @@ def encode_documents(
 
     def encode(batches):
         encoder = _encoder(shared)
-        for batch in slices(batches):
+        for batch in byte_slices(batches, 1, AT_ONCE):
             ids = encoder.encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -173,27 +96,24 @@ def encode_documents(
                 ],
                 names=["doc_id", "n_tokens", "ids", "decoded"],
             )
+        # the process lives on for other stages; what is frequent is in the lexicon
+        encoder.forget()
+        give_back()
 
     kind = id_type(texts, "doc_id")
     return texts.mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids binary, decoded string")
 
 
-_made: dict[str, Encoder] = {}
+_made: dict[str, LexiconEncoder] = {}
 
 
-def _encoder(shared) -> Encoder:
+def _encoder(shared) -> LexiconEncoder:
     """One encoder per worker process and lexicon, kept between tasks."""
     file, lexicon = shared.value
     key = hashlib.sha256(file.encode() + lexicon).hexdigest()
     if key not in _made:
-
-        def library():
-            from tokenizers import Tokenizer
-
-            return Tokenizer.from_str(file)
-
         _made.clear()
-        _made[key] = Encoder(Vocabulary.of(file), Lexicon(mapped(lexicon)), library)
+        _made[key] = LexiconEncoder(file, Lexicon(mapped(lexicon)))
     return _made[key]
 
 

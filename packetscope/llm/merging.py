@@ -6,8 +6,11 @@ merge that is its own next one. Everything else is looked up piece by piece.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import public_tokenizers
@@ -17,10 +20,22 @@ from packetscope.llm.bpe import Vocabulary
 from packetscope.llm.unicode import Assigned
 
 # pieces of one generation that a worker remembers, longest of them, longest word that is merged with the others
-REMEMBERED, SHORT, LONGEST = 1 << 18, 64, 48
+REMEMBERED, SHORT, LONGEST = 1 << 17, 64, 48
 # marks that are a pre-token of their own after letters; an apostrophe may begin a contraction
 _MARKS = frozenset(".,;:!?")
 _NONE = np.int32(1 << 30)
+# white space that is more than a lone space or newline between two others; the ASCII part of the others
+_DOUBLE, _OTHERS = ("  ", "\n\n", " \n", "\n "), tuple("\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+
+
+def lone_spaces(text: str) -> bool:
+    """Whether all white space of a text is single spaces and newlines between two others."""
+    if text[0] in " \n" or text[-1] in " \n" or any(d in text for d in _DOUBLE):
+        return False
+    if text.isascii():
+        return not any(o in text for o in _OTHERS)
+    return _OTHER_SPACE.search(text) is None
 
 
 class Merger:
@@ -100,32 +115,36 @@ class Remembered:
     is met again meanwhile moves to the younger one, so frequent pieces always stay.
     """
 
-    def __init__(self):
+    def __init__(self, most: int):
+        self.most = most
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def missing(self, pieces: set[str]) -> set[str]:
         """The pieces of which nothing is known; the others are at hand in ``now``."""
-        new = pieces - self.now.keys()
-        known = new & self.old.keys()
-        old = self.old
-        self.now.update([(p, old[p]) for p in known])
-        return new - known
+        new, old = pieces.difference(self.now), self.old
+        known = list(filter(old.__contains__, new))
+        self.now.update(zip(known, map(old.__getitem__, known)))
+        new.difference_update(known)
+        return new
 
-    def turn(self, pieces: set[str]) -> None:
+    def turn(self, long: set[str]) -> None:
         """After a batch: let long pieces go, and start anew when there are too many."""
-        for piece in [p for p in pieces if len(p) > SHORT]:
+        for piece in long:
             self.now.pop(piece, None)
-        if len(self.now) > REMEMBERED:
+        if len(self.now) > self.most:
             self.old, self.now = self.now, {}
 
+    def clear(self) -> None:
+        self.now, self.old = {}, {}
+
 
 class Encoder:
     """Encodes texts on a worker exactly as the library does; made once per process."""
 
     _made: dict[str, Encoder] = {}
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, remembered: int | None = None):
         self.file, self.library = file, None
         self.vocabulary = Vocabulary.of(file)
         self.merger = Merger(self.vocabulary)
@@ -133,8 +152,9 @@ class Encoder:
         special = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.assigned = Assigned()
-        # pre-tokens; pieces without white space inside, at a line's beginning and after a space
-        self.words, self.led, self.spaced = Remembered(), Remembered(), Remembered()
+        # pre-tokens; pieces without white space inside, after a space or with the newline before them
+        most = REMEMBERED if remembered is None else remembered
+        self.words, self.pieces = Remembered(most // 4), Remembered(most)
         self.newline, *marks = self._merge(["\n", *_MARKS])
         self.marks = dict(zip(_MARKS, marks))
 
@@ -158,30 +178,54 @@ class Encoder:
             ids[i] = np.asarray(self.vocabulary.merge(r), "<u4").tobytes()
         return ids
 
-    def _learn_words(self, words: set[str]) -> None:
+    def _learn_words(self, words: set[str]) -> set[str]:
+        """Add pre-tokens to the cache; returns the long ones among the new."""
         new = list(self.words.missing(words))
         self.words.now.update(zip(new, self._merge(new)))
+        return {w for w in new if len(w) > SHORT}
 
-    def _learn(self, known: Remembered, pieces: set[str], lead: str) -> None:
-        """Add pieces to a cache; letters alone are one pre-token, others are cut first."""
-        new, cache = known.missing(pieces), known.now
-        plain = [p for p in new if p.isalpha()]
-        cache.update(zip(plain, self._merge([lead + p for p in plain])))
+    def _learn(self, pieces: set[str]) -> set[str]:
+        """Add pieces to the cache; letters alone are one pre-token, marks may follow them, others
+        are cut first. Returns the long ones among the new."""
+        new, cache = self.pieces.missing(pieces), self.pieces.now
+        plain, led, marked, others = set(filter(str.isalpha, new)), [], [], []
+        long = {p for p in new if len(p) > SHORT}
         new.difference_update(plain)
-        for piece in [p for p in new if p[-1:] in _MARKS and p[:-1] in cache and p[:-1].isalpha()]:
-            cache[piece] = cache[piece[:-1]] + self.marks[piece[-1]]
-            new.remove(piece)
-        split = {p: self.pretokens(lead + p) for p in new}
-        parts_of_all = set().union(*split.values())
-        self._learn_words(parts_of_all)
-        words = self.words.now.__getitem__
-        cache.update((p, b"".join(map(words, parts))) for p, parts in split.items())
-        for word in [w for w in parts_of_all if len(w) > SHORT]:
-            del self.words.now[word]
+        for piece in new:
+            letters = piece[1:] if piece[0] == "\n" else piece
+            if letters.isalpha():
+                led.append(piece)
+            elif letters[-1] in _MARKS and letters[:-1].isalpha():
+                marked.append((piece, piece[:-1], self.marks[piece[-1]]))
+            else:
+                others.append(piece)
+        stems = self.pieces.missing({stem for _, stem, _ in marked}.difference(plain, led))
+        led += [p for p in stems if p[0] == "\n"]
+        stems.difference_update(led)
+        long.update([p for p in stems if len(p) > SHORT], [p for p in led if len(p) > SHORT])
+        spaced = [*plain, *stems]
+        ids = self._merge([p[1:] for p in led] + [" " + p for p in spaced])
+        cache.update(zip(led, [self.newline + i for i in ids[: len(led)]]))
+        cache.update(zip(spaced, ids[len(led) :]))
+        cache.update([(p, cache[stem] + mark) for p, stem, mark in marked])
+        split = {p: self.pretokens(p[1:] if p[0] == "\n" else " " + p) for p in others}
+        long_words = self._learn_words(set().union(*split.values()))
+        words, before = self.words.now.__getitem__, {True: self.newline, False: b""}
+        cache.update([(p, before[p[0] == "\n"] + b"".join(map(words, parts))) for p, parts in split.items()])
+        self.words.turn(long_words)
+        return long
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        plans, led, spaced, loose = [], set(), set(), set()
+        gc.disable()  # a batch makes very many lists and no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        plans, pieces, loose = [], set(), set()
+        known = self.pieces.now.get
         for text in texts:
             if not self.assigned(text):
                 # letters newer than this Unicode table: the library decides how to cut them
@@ -196,35 +240,39 @@ class Encoder:
                     plan.append(self.vocabulary.special[part].to_bytes(4, "little"))
                 elif not part:
                     continue
-                elif part.replace("\n", " ").split(" ") != part.split():
-                    # white space that is more than one blank between two pieces
+                elif lone_spaces(part):
+                    # a pre-token always begins before a lone space and around a lone newline
+                    first, *cut = part.replace("\n", " \n").split(" ")
+                    cut.insert(0, "\n" + first)
+                    found = list(map(known, cut))
+                    pieces.update(compress(cut, map(not_, found)))
+                    plan.append((cut, found))
+                else:
                     words = self.pretokens(part)
                     loose.update(words)
                     plan.append((words, None))
-                else:
-                    # a pre-token always begins before a lone space and around a lone newline
-                    lines = [line.split(" ") for line in part.split("\n")]
-                    for line in lines:
-                        led.add(line[0])
-                        spaced.update(line[1:])
-                    plan.append((None, lines))
             plans.append(plan)
-        self._learn(self.led, led, "")
-        self._learn(self.spaced, spaced, " ")
-        self._learn_words(loose)
+        long = self._learn(pieces)
+        long_words = self._learn_words(loose)
         out = [b"".join(map(self._ids, plan)) for plan in plans]
-        for known, pieces in ((self.words, loose), (self.led, led), (self.spaced, spaced)):
-            known.turn(pieces)
+        self.words.turn(long_words)
+        self.pieces.turn(long)
         return out
 
     def _ids(self, part) -> bytes:
         if isinstance(part, bytes):
             return part
-        words, lines = part
-        if lines is None:
-            return b"".join(map(self.words.now.__getitem__, words))
-        led, spaced = self.led.now, self.spaced.now.__getitem__
-        return self.newline.join([b"".join([led[x[0]], *map(spaced, x[1:])]) for x in lines])
+        cut, found = part
+        if found is None:
+            return b"".join(map(self.words.now.__getitem__, cut))
+        # the first piece was taken as if a newline stood before it
+        now = self.pieces.now
+        return b"".join([ids or now[p] for p, ids in zip(cut, found)])[len(self.newline) :]
+
+    def forget(self) -> None:
+        """Let all remembered pieces go."""
+        self.words.clear()
+        self.pieces.clear()
 
     def _library(self, text: str) -> list[int]:
         if self.library is None:

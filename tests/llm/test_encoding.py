@@ -9,8 +9,9 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from packetscope.llm.bpe import Vocabulary
-from packetscope.llm.encoding import digests, encode_documents
+from packetscope.llm.encoding import LexiconEncoder, digests, encode_documents
 from packetscope.llm.lexicon import Lexicon, compile_lexicon, mapped
+from packetscope.llm.merging import lone_spaces
 from packetscope.llm.token_counts import count_tokens, with_limit
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -115,3 +116,22 @@ def test_long_and_short_merging_agree():
     for _ in range(300):
         ids = [vocabulary.first[b] for b in rnd.choices(b"thenarior sd", k=rnd.randrange(1, 40))]
         assert vocabulary._merge_short(list(ids)) == vocabulary._merge_long(list(ids))
+
+
+def test_remembered_pieces_are_bounded_and_forgotten(monkeypatch):
+    monkeypatch.setattr("packetscope.llm.encoding.REMEMBERED", 40)
+    library = Tokenizer.from_file(BYTE)
+    with open(BYTE, encoding="utf-8") as f:
+        encoder = LexiconEncoder(f.read(), Lexicon(mapped(compile_lexicon({}))))
+    for at in range(30):
+        text = " ".join(f"w{chr(97 + at % 26)}x{i}, {chr(97 + i)}q" for i in range(20)) + "\nnext.\tline"
+        (ids,) = encoder.encode([text])
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(encoder.pieces.now) <= 40 and len(encoder.pieces.old) <= 120
+    encoder.forget()
+    assert not any((encoder.pieces.now, encoder.pieces.old, encoder.words.now, encoder.words.old))
+
+
+def test_lone_spaces():
+    assert all(map(lone_spaces, ("a", "a b\nc", "É é")))
+    assert not any(map(lone_spaces, (" a", "a\n", "a  b", "a\n\nb", "a \nb", "a\n b", "a\tb", "a\x1cb", "é\xa0b", "a é")))
