@@ -60,6 +60,16 @@ def give_back() -> None:
         pass
 
 
+def giving_back(run):
+    """A worker's function on batches that gives memory back after its last one."""
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def text_udf(kind: str, arrow_kind: pa.DataType, worker):
     """A column function over texts. ``worker()`` is made once per task and maps a list of
     texts (null: empty) to a list of values."""

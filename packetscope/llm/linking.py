@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetscope.llm.common import giving_back
 from packetscope.llm.comparing import Hubs, similar
 from packetscope.session import remove, written
 
@@ -149,7 +150,7 @@ def _met(items: DataFrame, hubs: Hubs, least: float, key: str) -> DataFrame:
                 [pa.array([link[side] for link in links], pa.binary()) for side in (0, 1)], names=["a", "b"]
             )
 
-    return items.mapInArrow(run, f"a {key}, b {key}")
+    return items.mapInArrow(giving_back(run), f"a {key}, b {key}")
 
 
 def _paired(now: DataFrame, hubs: DataFrame, content: DataFrame, least: float) -> DataFrame:

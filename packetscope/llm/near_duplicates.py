@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetscope.llm.common import byte_slices, id_and_text, id_type, slices, text_udf, words_of
+from packetscope.llm.common import byte_slices, giving_back, id_and_text, id_type, slices, text_udf, words_of
 from packetscope.llm.linking import classes, repeated
 from packetscope.llm.shingles import Shingler, bands_of, counted, mixed, tuned
 from packetscope.session import ship, written
@@ -108,7 +108,7 @@ def _hashes(texts: DataFrame, bands: int, rows: int) -> DataFrame:
                 [pa.array(found[has].ravel()), pa.array(np.repeat(short, bands))], names=["h", "v"]
             )
 
-    return texts.mapInArrow(run, "h long, v long")
+    return texts.mapInArrow(giving_back(run), "h long, v long")
 
 
 def _signed(texts: DataFrame, bands: int, rows: int, shared) -> DataFrame:
@@ -140,7 +140,7 @@ def _signed(texts: DataFrame, bands: int, rows: int, shared) -> DataFrame:
 
     kind = id_type(texts, "doc_id")
     return texts.mapInArrow(
-        run, f"doc_id {kind}, key binary, bands array<long>, values binary, weights binary"
+        giving_back(run), f"doc_id {kind}, key binary, bands array<long>, values binary, weights binary"
     )
 
 

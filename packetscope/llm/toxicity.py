@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetscope.llm.common import id_type, text_udf, words_of
+from packetscope.llm.common import giving_back, id_type, text_udf, words_of
 from packetscope.session import ship, written
 
 # embedding rows (the row after them pads), and bytes of a word's pieces
@@ -227,8 +227,8 @@ class Scorer:
     """Scores texts with a fitted network. What a word adds to each filter is worked out once
     and kept, for a bounded number of words."""
 
-    # words whose parts are kept: about 150 bytes of parts and as much of dictionary each, 80 MB a worker
-    KEPT = 1 << 18
+    # words whose parts are kept: about 150 bytes of parts and as much of dictionary each, 20 MB a worker
+    KEPT = 1 << 16
 
     def __init__(self, net: Network):
         self.net = net
@@ -387,7 +387,7 @@ def _learned(net: Network, docs: DataFrame, marks: DataFrame, counts: dict[int,
             .repartitionById(shards, F.col("shard"))
             .sortWithinPartitions("h", "id", F.col("y").desc_nulls_last(), "text")
             .select("id", "y", "text")
-            .mapInArrow(run, "row int, " + ", ".join(f"{c} long" for c in columns))
+            .mapInArrow(giving_back(run), "row int, " + ", ".join(f"{c} long" for c in columns))
             .groupBy("row")
             .agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in columns))
             .toArrow()

@@ -77,12 +77,26 @@ def remove(spark: SparkSession, path: str) -> None:
 _shipped: set[str] = set()
 
 
+# bytes of rows that go to a worker at one time: the JVM holds several copies of each batch
+# outside its heap, and the worker one or two
+BATCH_BYTES = 8 << 20
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let batches to workers be of at most ``BATCH_BYTES``; a lower limit of the session stays."""
+    limit = int(spark.conf.get(_BATCH_LIMIT).rstrip("b"))
+    if not 0 < limit <= BATCH_BYTES:
+        spark.conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application.
 
     Python workers import it when they run a UDF or a data source. Executors need
-    neither the driver's folder nor its path.
+    neither the driver's folder nor its path. Batches to them are small from then on.
     """
+    small_batches(spark)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
