@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from packetscope.llm.common import giving_back
 from packetscope.llm.comparing import Hubs, similar
-from packetscope.session import remove, written
+from packetscope.session import release, remove, written
 
 # bits of the bitmap of repeated hashes: the least, and the most whatever the input's size
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
@@ -85,6 +85,7 @@ def repeated(hashes: DataFrame) -> Repeated:
     )
     out = Repeated(bits, {r["cell"]: bytes(r["bitmap"]) for r in cells.toLocalIterator()})
     drop_tables(spark, found)
+    release(spark)
     return out
 
 
@@ -264,5 +265,6 @@ def classes(members: DataFrame, content: DataFrame, least: float) -> DataFrame:
     if labels is None:
         labels = spark.createDataFrame([], f"key {kind}, root {kind}")
     drop_tables(spark, members, content)
+    release(spark)
     # the root itself belongs to its class
     return labels.union(labels.select(F.col("root").alias("key"), "root").distinct())

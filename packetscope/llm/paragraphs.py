@@ -30,7 +30,8 @@ LEAST_WORDS = 8
 CUT = 2
 # components of a signature at most; unrelated paragraphs hardly share a shingle, so few do
 _COMPONENTS = 20
-_SENTENCE = re.compile(r"(\S+)(?:(?<=[.!?])[^\S\n]+|[^\S\n]*(?:\n\s*|\Z))")
+# what ends a sentence: white space after a mark, a new line, the end of the text
+_END = re.compile(r"(?<=[.!?])[^\S\n]+|(?<=\S)[^\S\n]*(?:\n\s*|\Z)")
 
 
 def paragraphs_of(text: str, cut: int = CUT) -> list[tuple[int, int]]:
@@ -41,10 +42,13 @@ def paragraphs_of(text: str, cut: int = CUT) -> list[tuple[int, int]]:
     has such ends wherever it stands.
     """
     out, ends = [], []
-    start = len(text) - len(text.lstrip())
-    for m in _SENTENCE.finditer(text, start):
-        ends.append((zlib.crc32(m[1].encode()), m.end(1), m.end()))
-        if "\n" in m[0] or m.end() == len(text):
+    start = before = len(text) - len(text.lstrip())
+    for m in _END.finditer(text, start):
+        end, after = m.span()
+        last = text[before:end].rsplit(None, 1)[-1]
+        ends.append((zlib.crc32(last.encode()), end, after))
+        before = after
+        if after == len(text) or "\n" in m[0]:
             inner = ends[:-1]
             chosen = {min(inner[i : i + cut]) for i in range(len(inner) - cut + 1)}
             for end in [*(e for e in inner if e in chosen), ends[-1]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -74,6 +75,16 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(conf).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have shuffles deleted that nothing reads any more.
+
+    Spark does so when the driver's garbage is collected, which may be long after; until then
+    the files of one step lie beside those of the next.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 _shipped: set[str] = set()
 
 
