@@ -16,9 +16,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packetscope.llm.batching import AT_ONCE, BatchEncoder
 from packetscope.llm.common import byte_slices, id_type
 from packetscope.llm.hilbert import DIMS, cells_of, hilbert_keys, projection
-from packetscope.llm.merging import Encoder
 from packetscope.plans.ordered import running_totals
 from packetscope.session import ship, written
 
@@ -54,11 +54,11 @@ def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         file = spark.sparkContext.broadcast(f.read())
 
     def encode(batches):
-        encoder, directions = Encoder.of(file.value), projection(BUCKETS, DIMS)
+        encoder, directions = BatchEncoder.of(file.value), projection(BUCKETS, DIMS)
         packed = zstandard.ZstdCompressor(level=1)
         end = np.array([TERMINATOR], "<u4").tobytes()
         row = TaskContext.get().partitionId() << _ROW_BITS
-        for batch in byte_slices(batches, 1):
+        for batch in byte_slices(batches, 1, AT_ONCE):
             ids = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
             keys = curve_keys([np.frombuffer(i, "<u4") for i in ids], directions)
             yield pa.RecordBatch.from_arrays(
