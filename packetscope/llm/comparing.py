@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from packetscope.llm.shingles import mixed
+
 
 def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
     """Exact similarity of two weighted sets, given as sorted values with weights.
@@ -55,6 +57,53 @@ def alike(x: dict, y: dict, least: float) -> bool:
     return probability_jaccard(a, _weights(x["weights"], len(a)), b, _weights(y["weights"], len(b))) >= least
 
 
+def links_within(
+    bucket: np.ndarray, sizes: np.ndarray, values: np.ndarray, least: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of plain sets, by number, whose links connect what is similar in each bucket.
+
+    ``bucket`` is sorted; ``values`` are those of all sets one after the other. In each step
+    a set of a smallest class of every bucket meets the others that are not in its class,
+    and is done. Steps go on until the sets left in a bucket are in one class.
+    """
+    # equal values of different buckets differ
+    codes = mixed(values + np.repeat(mixed(bucket.astype(np.uint64)), sizes))
+    starts = np.cumsum(sizes) - sizes
+    label, left, out = np.arange(len(bucket)), np.arange(len(bucket)), []
+
+    def of_sets(numbers):
+        size = sizes[numbers]
+        return codes[np.repeat(starts[numbers] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+    while len(left):
+        first = np.flatnonzero(np.append(True, np.diff(bucket[left]) != 0))
+        number = np.diff(np.append(first, len(left)))
+        own = label[left]
+        several = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+        left, own, number = left[np.repeat(several, number)], own[np.repeat(several, number)], number[several]
+        if not len(left):
+            break
+        first = np.cumsum(number) - number
+        order = np.bincount(own)[own] * len(left) + np.arange(len(left))
+        place = np.minimum.reduceat(order, first) % len(left)
+        hub = np.repeat(left[place], number)
+        meet = own != label[hub]
+        x, y = left[meet], hub[meet]
+        theirs = np.sort(of_sets(left[place]))
+        mine = of_sets(x)
+        same = theirs[np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)] == mine
+        common = np.add.reduceat(same, np.cumsum(sizes[x]) - sizes[x], dtype=np.int64)
+        found = _enough(common, sizes[x], sizes[y], least)
+        x, y = x[found], y[found]
+        out.append((x, y))
+        change = np.arange(len(bucket))
+        change[label[x]] = label[y]
+        label = change[label]
+        left = np.delete(left, place)
+    x, y = (np.concatenate(side) for side in zip(*out)) if out else (left, left)
+    return x, y
+
+
 def similar(least: float):
     """``alike`` as a column function of two bodies."""
 

@@ -15,13 +15,15 @@ they are joined as well.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetscope.llm.common import giving_back
-from packetscope.llm.comparing import Hubs, similar
+from packetscope.llm.comparing import Hubs, links_within, similar
 from packetscope.session import release, remove, written
 
 # bits of the bitmap of repeated hashes: the least, and the most whatever the input's size
@@ -35,6 +37,8 @@ BROADCAST_LINKS = 200_000
 _HUBS = (1, 4, 16)
 # the same where hubs are broadcast, which makes no rows of pairs
 _SHARED_HUBS = 256
+# items of a bucket that one worker compares, and items it gets at one time, about
+WITHIN, _ITEMS = 1024, 1 << 17
 _CELL = 32768  # bits in one piece of Spark's bitmap functions
 
 
@@ -67,13 +71,79 @@ def repeated(hashes: DataFrame) -> Repeated:
     each, up to a fixed bound; beyond it more hashes pass that only look repeated, which
     costs time and changes no result.
     """
-    spark = hashes.sparkSession
     found = written(
         hashes.groupBy("h").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b").select("h"),
         "repeated",
     )
+    return _bitmap(found, found.count())
+
+
+# rows of hashes in blocks: a part holds all occurrences of its hashes
+BLOCKS = "part int, h binary, v binary"
+# hashes of a task that are dealt to parts at one time, parts for each partition of a table, and at most
+_DEALT, _PARTS, _MOST_PARTS = 1 << 18, 4, 1 << 15
+
+
+def parts_for(table: DataFrame) -> int:
+    """How many parts the hashes of a table are dealt to, so that one fits a worker."""
+    return min(_MOST_PARTS, _PARTS * max(1, table.rdd.getNumPartitions()))
+
+
+def by_part(hashes: np.ndarray, parts: int):
+    """Each part that has some of these hashes, and their places in the order given."""
+    part = (hashes.view(np.uint64) % np.uint64(parts)).astype(np.uint16)
+    order = np.argsort(part, kind="stable")
+    found, first = np.unique(part[order], return_index=True)
+    return found.tolist(), np.split(order, first[1:])
+
+
+def dealt(pairs: Iterator[tuple[np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
+    """Arrays ``h, v`` as rows of ``BLOCKS``."""
+
+    def block(held):
+        h, v = (np.concatenate(arrays) for arrays in zip(*held))
+        found, places = by_part(h, parts)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(found, pa.int32()),
+                *(pa.array([values[at].tobytes() for at in places], pa.binary()) for values in (h, v)),
+            ],
+            names=["part", "h", "v"],
+        )
+
+    held, size = [], 0
+    for pair in pairs:
+        if len(pair[0]):
+            held.append(pair)
+            size += len(pair[0])
+        if size >= _DEALT:
+            yield block(held)
+            held, size = [], 0
+    if held:
+        yield block(held)
+
+
+def _again(rows: pa.Table) -> pa.Table:
+    """``h, n`` of a part: the hashes with at least two different ``v``, and how often they occur."""
+    h, v = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.int64) for c in ("h", "v"))
+    order = np.argsort(h)
+    h, v = h[order], v[order]
+    found = np.unique(h[1:][(h[1:] == h[:-1]) & (v[1:] != v[:-1])])
+    number = np.searchsorted(h, found, "right") - np.searchsorted(h, found)
+    return pa.table({"h": pa.array(found, pa.int64()), "n": pa.array(number, pa.int64())})
+
+
+def repeated_blocks(blocks: DataFrame) -> tuple[Repeated, int]:
+    """``repeated`` for rows of ``BLOCKS``, and how often the repeated hashes occur in all."""
+    found = written(blocks.groupBy("part").applyInArrow(_again, "h long, n long"), "repeated")
+    number, occurrences = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return _bitmap(found.select("h"), number), occurrences
+
+
+def _bitmap(found: DataFrame, number: int) -> Repeated:
+    """The hashes of a scratch table, which is deleted."""
+    spark = found.sparkSession
     bits = LEAST_BITS
-    number = found.count()
     while bits < min(64 * number, MOST_BITS):
         bits *= 2
     places = F.array(F.col("h"), F.shiftright("h", 32))
@@ -268,3 +338,51 @@ def classes(members: DataFrame, content: DataFrame, least: float) -> DataFrame:
     release(spark)
     # the root itself belongs to its class
     return labels.union(labels.select(F.col("root").alias("key"), "root").distinct())
+
+
+def classes_of_sets(items: DataFrame, least: float) -> DataFrame:
+    """``key, root`` as from ``classes``, for plain sets whose buckets are mostly small.
+
+    ``items`` has ``key, buckets, values``, a key as often as it likes but always the same. The
+    items of a bucket of at most ``WITHIN`` meet in one worker; larger ones go through the rounds
+    of ``classes``.
+    """
+    spark = items.sparkSession
+    kind = items.schema["key"].dataType.simpleString()
+    one = items.groupBy("key").agg(F.first(F.struct("buckets", "values")).alias("body"))
+    content = written(one.select("key", "body.buckets", "body.values"), "content")
+    buckets = content.select(F.explode("buckets").alias("bucket"))
+    sizes = written(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    large = sizes.where(F.col("n") > WITHIN).select("bucket")
+    number, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    members = content.select("key", "values", F.explode("buckets").alias("bucket"))
+    small = members.join(large, "bucket", "left_anti") if most > WITHIN else members
+
+    def linked(rows: pa.Table) -> pa.Table:
+        bucket = rows.column("bucket").to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        several = np.append(False, bucket[order][1:] == bucket[order][:-1])
+        order = order[several | np.append(several[1:], False)] if len(order) else order
+        rows = rows.take(pa.array(order))
+        sets = rows.column("values").to_pylist()
+        of = np.fromiter(map(len, sets), np.int64, len(sets)) // 8
+        pairs = links_within(bucket[order], of, np.frombuffer(b"".join(sets), np.uint64), least)
+        keys = rows.column("key").combine_chunks()
+        return pa.table({name: keys.take(pa.array(side)) for name, side in zip("ab", pairs)})
+
+    part = F.pmod("bucket", F.lit(1 + number // _ITEMS)).alias("part")
+    links = small.select(part, "bucket", "key", "values").groupBy("part").applyInArrow(linked, f"a {kind}, b {kind}")
+    links = written(links.distinct(), "links")
+    every, rounds = links, None
+    if most > WITHIN:
+        crowd = members.join(large, "bucket", "left_semi")
+        body = F.struct("values", F.lit(None).cast("binary").alias("weights")).alias("body")
+        rounds = written(classes(crowd.select("bucket", "key"), crowd.select("key", body), least), "rounds")
+        every = links.union(rounds)
+    if every.isEmpty():
+        out = spark.createDataFrame([], f"key {kind}, root {kind}")
+    else:
+        out = connected(every).withColumnRenamed("node", "key")
+    drop_tables(spark, links, rounds, sizes, content)
+    release(spark)
+    return out

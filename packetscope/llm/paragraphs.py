@@ -10,17 +10,17 @@ occurrence.
 from __future__ import annotations
 
 import hashlib
-import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetscope.llm.common import id_and_text, id_type, slices, words_of
-from packetscope.llm.linking import classes, repeated
-from packetscope.llm.shingles import Shingler, bands_of, counted, mixed, tuned
+from packetscope.llm.common import byte_slices, giving_back, id_and_text, id_type
+from packetscope.llm.cutting import AT_ONCE, Texts, shingled
+from packetscope.llm.linking import BLOCKS, classes_of_sets, dealt, parts_for, repeated_blocks
+from packetscope.llm.shingles import WORDS as SHINGLE
+from packetscope.llm.shingles import bands_of, counted, mixed, tuned
 from packetscope.session import ship, written
 
 SIMILARITY = 0.8
@@ -30,88 +30,80 @@ LEAST_WORDS = 8
 CUT = 2
 # components of a signature at most; unrelated paragraphs hardly share a shingle, so few do
 _COMPONENTS = 20
-# what ends a sentence: white space after a mark, a new line, the end of the text
-_END = re.compile(r"(?<=[.!?])[^\S\n]+|(?<=\S)[^\S\n]*(?:\n\s*|\Z)")
+_ODD, _HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
 
 
 def paragraphs_of(text: str, cut: int = CUT) -> list[tuple[int, int]]:
     """Where paragraphs start and end, without the white space between them.
 
-    Of every ``cut`` ends of sentences in a row within a line, the one whose last word has
-    the least hash ends a paragraph. Only neighbours decide, so a passage of some sentences
-    has such ends wherever it stands.
+    White space with a new line in it, or at the end of the text, ends a line; other white
+    space after a mark ends a sentence. Of every ``cut`` ends of sentences in a row within a
+    line, the one whose last word has the least hash ends a paragraph. Only neighbours
+    decide, so a passage of some sentences has such ends wherever it stands.
     """
-    out, ends = [], []
-    start = before = len(text) - len(text.lstrip())
-    for m in _END.finditer(text, start):
-        end, after = m.span()
-        last = text[before:end].rsplit(None, 1)[-1]
-        ends.append((zlib.crc32(last.encode()), end, after))
-        before = after
-        if after == len(text) or "\n" in m[0]:
-            inner = ends[:-1]
-            chosen = {min(inner[i : i + cut]) for i in range(len(inner) - cut + 1)}
-            for end in [*(e for e in inner if e in chosen), ends[-1]]:
-                out.append((start, end[1]))
-                start = end[2]
-            ends = []
-    return out
+    texts = Texts(pa.array([text], pa.string()))
+    _, _, begin, end, _ = texts.paragraphs(cut)
+    return list(zip((texts.points(begin) - 1).tolist(), (texts.points(end) - 1).tolist()))
 
 
 class Signer:
-    """Paragraphs of texts with keys, bands and shingles, on a worker."""
+    """Paragraphs of texts with hashes, bands and shingles, on a worker."""
 
     def __init__(self, similarity: float, least_words: int):
         self.bands, self.rows = tuned(similarity, most=_COMPONENTS)
-        self.least_words, self.shingle = least_words, Shingler()
+        self.least_words = least_words
         size = self.bands * self.rows
         seeds = np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         self.seeds = mixed(seeds) | np.uint64(1)
 
-    def __call__(self, texts: list[str]):
-        """Owners, spans, keys, bands, shingles and their ends, of all long paragraphs."""
-        owners, spans, words = [], [], []
-        for number, text in enumerate(texts):
-            for place, (start, end) in enumerate(paragraphs_of(text)):
-                inside = words_of(text[start:end])
-                if len(inside) >= self.least_words:
-                    owners.append(number)
-                    spans.append((place, start, end))
-                    words.append(inside)
-        values, of, _ = counted(*self.shingle(words))
-        ends = np.searchsorted(of, np.arange(len(words) + 1))
-        signature = np.empty((len(words), len(self.seeds)), np.uint64)
-        if len(words):
+    def __call__(self, texts: Texts):
+        """Owners, spans, hashes, bands, shingles and how many, of all long paragraphs."""
+        *paragraphs, inside = texts.paragraphs(CUT)
+        first, last = texts.words(inside)
+        # every word lies in a paragraph
+        sizes = np.diff(np.append(np.searchsorted(first, paragraphs[2]), len(first)))
+        long = sizes >= max(1, self.least_words)
+        words = np.repeat(long, sizes)
+        sizes, paragraphs = sizes[long], [p[long] for p in paragraphs]
+        hashed = texts.hashes(first[words], last[words])
+        values, counts = shingled(hashed, sizes, SHINGLE)
+        signature = np.empty((len(sizes), len(self.seeds)), np.uint64)
+        short = np.zeros(len(sizes), np.int64)
+        if len(sizes):
+            starts, at = np.cumsum(sizes) - sizes, np.cumsum(counts) - counts
+            place = np.arange(len(hashed)) - np.repeat(starts, sizes)
+            sums = np.add.reduceat(mixed(hashed + place.astype(np.uint64) * _ODD), starts)
+            short = mixed(sums + sizes.astype(np.uint64)).view(np.int64)
+            scratch, upper = np.empty_like(values), np.empty_like(values)
             for i, seed in enumerate(self.seeds):
-                signature[:, i] = np.minimum.reduceat(mixed(values * seed), ends[:-1])
-        keys = [hashlib.md5(b" ".join(w)).digest() for w in words]
-        return owners, spans, keys, bands_of(signature, self.rows), values, ends
-
-
-def _short(keys: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(k[:8] for k in keys), np.int64)
+                # the values are spread already, so two products are enough
+                np.multiply(values, seed, out=scratch)
+                np.right_shift(scratch, _HALF, out=upper)
+                np.bitwise_xor(scratch, upper, out=scratch)
+                np.multiply(scratch, _ODD, out=scratch)
+                signature[:, i] = np.minimum.reduceat(scratch, at)
+        return *paragraphs, short, bands_of(signature, self.rows), values, counts
 
 
 def _hashes(texts: DataFrame, similarity: float, least_words: int) -> DataFrame:
-    """``h, v``: every band with its paragraph's key, every key with its occurrence."""
+    """Every band with its paragraph's hash, every such hash with its occurrence, in blocks."""
+    parts = parts_for(texts)
 
-    def run(batches):
+    def pairs(batches):
         sign = Signer(similarity, least_words)
-        for batch in slices(batches):
-            owners, spans, keys, bands, *_ = sign(batch.column(1).to_pylist())
-            short = _short(keys)
-            row = np.asarray(batch.column(2))[np.asarray(owners, np.int64)].astype(np.uint64)
-            place = np.asarray([p for p, _, _ in spans], np.uint64)
-            once = mixed(mixed(row) + place).astype(np.int64)
+        for batch in byte_slices(batches, 1, AT_ONCE):
+            owners, places, _, _, short, bands, _, _ = sign(Texts(batch.column(1)))
+            row = np.asarray(batch.column(2))[owners].astype(np.uint64)
+            once = mixed(mixed(row) + places.astype(np.uint64)).view(np.int64)
             # a paragraph of this slice that comes again hands its bands on once
             _, first = np.unique(short, return_index=True)
-            h = np.concatenate([bands[first].ravel(), short])
-            v = np.concatenate([np.repeat(short[first], sign.bands), once])
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(v)], names=["h", "v"])
+            yield np.concatenate([bands[first].ravel(), short]), np.concatenate([np.repeat(short[first], sign.bands), once])
 
     # any number that tells rows apart
     row = F.monotonically_increasing_id().alias("row")
-    return texts.select("doc_id", "text", row).mapInArrow(run, "h long, v long")
+    return texts.select("doc_id", "text", row).mapInArrow(
+        giving_back(lambda batches: dealt(pairs(batches), parts)), BLOCKS
+    )
 
 
 def _found(texts: DataFrame, similarity: float, least_words: int, shared) -> DataFrame:
@@ -119,28 +111,41 @@ def _found(texts: DataFrame, similarity: float, least_words: int, shared) -> Dat
 
     def run(batches):
         sign, again = Signer(similarity, least_words), shared.value
-        for batch in slices(batches):
-            owners, spans, keys, bands, values, ends = sign(batch.column(1).to_pylist())
-            hit = again.has(bands.ravel()).reshape(bands.shape)
-            near = hit.any(axis=1) if len(keys) else np.zeros(0, bool)
-            take = np.flatnonzero(near | again.has(_short(keys)))
+        for batch in byte_slices(batches, 1, AT_ONCE):
+            all_texts = Texts(batch.column(1))
+            owners, places, begin, end, short, bands, values, counts = sign(all_texts)
+            hit = again.has(bands)
+            near = hit.any(axis=1) if len(hit) else np.zeros(0, bool)
+            take = np.flatnonzero(near | again.has(short))
+            owners, near, hit, bands = owners[take], near[take], hit[take], bands[take]
+            before = all_texts.points(all_texts.begins[owners])
+            spans = zip(begin[take].tolist(), end[take].tolist())
+            keys = [hashlib.md5(b" ".join(all_texts.lower[a:b].split())).digest() for a, b in spans]
+            # distinct shingles of those that share a band
+            size = np.where(near, counts[take], 0)
+            at = np.repeat((np.cumsum(counts) - counts)[take] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            distinct, of, _ = counted(values[at], np.repeat(np.arange(len(take)), size))
+            cuts = np.searchsorted(of, np.arange(len(take) + 1)).tolist()
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array([owners[i] for i in take], pa.int64())),
+                    batch.column(0).take(pa.array(owners, pa.int64())),
+                    pa.array(places[take].astype(np.int32)),
                     *(
-                        pa.array([spans[i][part] for i in take], pa.int32())
-                        for part in range(3)
+                        pa.array((all_texts.points(side[take]) - before).astype(np.int32))
+                        for side in (begin, end)
+                    ),
+                    pa.array(keys, pa.binary()),
+                    pa.array([b[h].tolist() if n else None for b, h, n in zip(bands, hit, near)], pa.list_(pa.int64())),
+                    pa.array(
+                        [distinct[a:b].tobytes() if n else None for a, b, n in zip(cuts, cuts[1:], near)], pa.binary()
                     ),
-                    pa.array([keys[i] for i in take], pa.binary()),
-                    pa.array([bands[i][hit[i]].tolist() if near[i] else None for i in take], pa.list_(pa.int64())),
-                    pa.array([values[ends[i] : ends[i + 1]].tobytes() if near[i] else None for i in take], pa.binary()),
                 ],
                 names=["doc_id", "place", "start", "end", "key", "bands", "values"],
             )
 
     kind = id_type(texts, "doc_id")
     return texts.mapInArrow(
-        run,
+        giving_back(run),
         f"doc_id {kind}, place int, start int, end int, key binary, bands array<long>, values binary",
     )
 
@@ -166,14 +171,12 @@ def repeated_paragraphs(
     spark = docs.sparkSession
     ship(spark)
     texts = id_and_text(docs, id_col, text_col)
-    again = repeated(_hashes(texts, similarity, least_words))
+    again, _ = repeated_blocks(_hashes(texts, similarity, least_words))
     found = written(
         _found(texts, similarity, least_words, spark.sparkContext.broadcast(again)), "paragraphs"
     )
-    near = found.where("values IS NOT NULL")
-    content = near.select("key", F.struct("values", F.lit(None).cast("binary").alias("weights")).alias("body"))
-    members = near.select("key", F.explode("bands").alias("bucket"))
-    linked = classes(members, content, similarity)
+    near = found.where("values IS NOT NULL").select("key", F.col("bands").alias("buckets"), "values")
+    linked = classes_of_sets(near, similarity)
     spans = found.select("doc_id", "place", "start", "end", "key").join(linked, "key", "left")
     spans = spans.withColumn("root", F.coalesce("root", "key")).drop("key")
     first = (
