@@ -16,6 +16,7 @@ KEPT, LONGEST_KEY, _KEY = 1 << 19, 15, 16
 # bytes of text that are arrays at one time, and pieces kept as objects besides
 AT_ONCE, PIECES = 1 << 21, 1 << 14
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_LETTERS = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
 # what stands before a piece, or that the first half of the key is only its number in the batch
 _NEWLINE, _SPACE, _NUMBER = (np.uint64(n << 56) for n in (1, 2, 3))
 
@@ -28,6 +29,10 @@ class BatchEncoder(Encoder):
     def __init__(self, file: str):
         super().__init__(file, PIECES)
         self.words = Remembered(REMEMBERED // 4)
+        # one more than the id of each mark
+        self.mark_ids = np.zeros(256, np.int64)
+        for mark, ids in self.marks.items():
+            self.mark_ids[ord(mark)] = int.from_bytes(ids, "little") + 1
         self._keep(*[np.zeros(0, np.uint64)] * 3, *[np.zeros(0, np.int64)] * 2, np.zeros(0, "<u4"))
 
     def _keep(self, hashes, low, high, starts, sizes, pool) -> None:
@@ -58,6 +63,10 @@ class BatchEncoder(Encoder):
         letters = np.frombuffer(raw, np.uint8, size)
         cuts = np.flatnonzero((letters == 32) | (letters == 10))
         begin, length, led = cuts[:-1] + 1, np.diff(cuts) - 1, letters[cuts[:-1]] == 10
+        # a mark after a letter is a pre-token of its own, so words with and without it are one piece
+        last = cuts[1:] - 1
+        marked = np.flatnonzero((self.mark_ids[letters[last]] > 0) & _LETTERS[letters[last - 1]] & (length > 1))
+        length[marked] -= 1
         eight = np.ndarray(size + _KEY // 2 + 1, "<u8", raw, strides=(1,))
         low = eight[begin] & _MASKS[np.minimum(length, 8)]
         high = eight[begin + 8] & _MASKS[np.clip(length - 8, 0, 7)]
@@ -74,9 +83,13 @@ class BatchEncoder(Encoder):
         low, high = low[first], high[first]
         starts, sizes, pool, new = self._looked_up(raw, begin, length, led, first, hashes, low, high)
         of_piece = sizes[piece]
+        of_piece[marked] += 1
         ends = np.cumsum(of_piece)
         places = np.repeat(starts[piece] - ends + of_piece, of_piece) + np.arange(ends[-1])
+        marks = ends[marked] - 1
+        places[marks] = 0
         ids = pool[places]
+        ids[marks] = self.mark_ids[letters[last[marked]]] - 1
         bounds = np.searchsorted(cuts, np.cumsum([0, *map(len, encoded)]))
         bounds = np.append(0, ends)[bounds]
         self._remember(hashes, low, high, starts, sizes, pool, new)

@@ -55,3 +55,16 @@ def test_two_pieces_of_one_hash(monkeypatch):
     part = ["one two\nthree", "four"]
     for text, ids in zip(part, encoder().encode(part)):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_words_with_and_without_marks_are_one_piece(monkeypatch):
+    library, made, merged = Tokenizer.from_file(PATH), encoder(), []
+    made.encode(["some unusualword\nunusualword here"])
+    made.pieces.clear()
+    made.words.clear()
+    kept = made._merge
+    monkeypatch.setattr(made, "_merge", lambda words: merged.extend(words) or kept(words))
+    text = "some unusualword, here! some: unusualword.\nunusualword? here;"
+    (ids,) = made.encode([text])
+    assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert not merged
