@@ -59,7 +59,7 @@ def test_two_pieces_of_one_hash(monkeypatch):
 
 def test_words_with_and_without_marks_are_one_piece(monkeypatch):
     library, made, merged = Tokenizer.from_file(PATH), encoder(), []
-    made.encode(["some unusualword\nunusualword here"])
+    made.encode(["some unusualword\nunusualword here some"])
     made.pieces.clear()
     made.words.clear()
     kept = made._merge
