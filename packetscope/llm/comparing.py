@@ -104,6 +104,18 @@ def links_within(
     return x, y
 
 
+def roots_of(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The least of the numbers below ``n`` that each one is connected with by links ``x, y``."""
+    root = np.arange(n)
+    while True:
+        a, b = root[x], root[y]
+        if (a == b).all():
+            return root
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def similar(least: float):
     """``alike`` as a column function of two bodies."""
 

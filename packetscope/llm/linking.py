@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from packetscope.llm.common import giving_back
-from packetscope.llm.comparing import Hubs, links_within, similar
+from packetscope.llm.comparing import Hubs, links_within, roots_of, similar
 from packetscope.session import release, remove, written
 
 # bits of the bitmap of repeated hashes: the least, and the most whatever the input's size
@@ -38,8 +39,10 @@ _HUBS = (1, 4, 16)
 # the same where hubs are broadcast, which makes no rows of pairs
 _SHARED_HUBS = 256
 # items of a bucket that one worker compares, and items it gets at one time, about
-WITHIN, _ITEMS = 1024, 1 << 17
+WITHIN, _ITEMS = 1024, 1 << 14
 _CELL = 32768  # bits in one piece of Spark's bitmap functions
+# bits of the bitmap that come to the driver at one time
+_BITS_AT_ONCE = 1 << 26
 
 
 def _second(values):
@@ -147,14 +150,17 @@ def _bitmap(found: DataFrame, number: int) -> Repeated:
     while bits < min(64 * number, MOST_BITS):
         bits *= 2
     places = F.array(F.col("h"), F.shiftright("h", 32))
-    cells = (
+    cells = written(
         found.select(F.explode(places).alias("h"))
         .select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("p"))
         .groupBy(F.expr(f"p div {_CELL}").alias("cell"))
-        .agg(F.bitmap_construct_agg(F.col("p") % _CELL).alias("bitmap"))
+        .agg(F.bitmap_construct_agg(F.col("p") % _CELL).alias("bitmap")),
+        "cells",
     )
-    out = Repeated(bits, {r["cell"]: bytes(r["bitmap"]) for r in cells.toLocalIterator()})
-    drop_tables(spark, found)
+    # a job for some MB of the bitmap, not for each partition of the shuffle
+    few = cells.coalesce(-(-bits // _BITS_AT_ONCE))
+    out = Repeated(bits, {r["cell"]: bytes(r["bitmap"]) for r in few.toLocalIterator()})
+    drop_tables(spark, found, cells)
     release(spark)
     return out
 
@@ -176,8 +182,7 @@ def connected(links: DataFrame) -> DataFrame:
     """
     spark = links.sparkSession
     ordered = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    edges = written(ordered.where("u <> v").distinct(), "edges")
-    mark = _mark(edges)
+    edges, mark = _marked(ordered.where("u <> v").distinct())
     while True:
         few = F.broadcast if mark[0] <= BROADCAST_LINKS else (lambda df: df)
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -189,21 +194,22 @@ def connected(links: DataFrame) -> DataFrame:
         larger = larger.distinct()
         smallest = larger.groupBy("u").agg(F.min("v").alias("m"))
         down = larger.join(few(smallest), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = written(
-            down.where("u <> v").union(smallest.select("u", F.col("m").alias("v"))).distinct(), "edges"
-        )
+        before = mark
+        after, mark = _marked(down.where("u <> v").union(smallest.select("u", F.col("m").alias("v"))).distinct())
         drop_tables(spark, edges)
-        edges, before, mark = after, mark, _mark(after)
+        edges = after
         if mark == before:
             break
     members = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return members.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _mark(edges: DataFrame):
-    return tuple(
-        edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
-    )
+def _marked(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, their number and two hashes of them all."""
+    seen = Observation()
+    hashes = (F.bit_xor(F.xxhash64(*order)).alias(order) for order in ("uv", "vu"))
+    table = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), *hashes), "edges")
+    return table, tuple(seen.get[name] for name in ("n", "uv", "vu"))
 
 
 def _met(items: DataFrame, hubs: Hubs, least: float, key: str) -> DataFrame:
@@ -345,18 +351,20 @@ def classes_of_sets(items: DataFrame, least: float) -> DataFrame:
 
     ``items`` has ``key, buckets, values``, a key as often as it likes but always the same. The
     items of a bucket of at most ``WITHIN`` meet in one worker; larger ones go through the rounds
-    of ``classes``.
+    of ``classes``. A worker joins what it linked, so that chains do not lengthen ``connected``.
     """
     spark = items.sparkSession
     kind = items.schema["key"].dataType.simpleString()
     one = items.groupBy("key").agg(F.first(F.struct("buckets", "values")).alias("body"))
     content = written(one.select("key", "body.buckets", "body.values"), "content")
     buckets = content.select(F.explode("buckets").alias("bucket"))
-    sizes = written(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-    large = sizes.where(F.col("n") > WITHIN).select("bucket")
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     number, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    members = content.select("key", "values", F.explode("buckets").alias("bucket"))
-    small = members.join(large, "bucket", "left_anti") if most > WITHIN else members
+    members = small = content.select("key", "values", F.explode("buckets").alias("bucket"))
+    large = None
+    if most > WITHIN:
+        large = written(sizes.where(F.col("n") > WITHIN).select("bucket"), "large")
+        small = members.join(large, "bucket", "left_anti")
 
     def linked(rows: pa.Table) -> pa.Table:
         bucket = rows.column("bucket").to_numpy()
@@ -367,12 +375,18 @@ def classes_of_sets(items: DataFrame, least: float) -> DataFrame:
         sets = rows.column("values").to_pylist()
         of = np.fromiter(map(len, sets), np.int64, len(sets)) // 8
         pairs = links_within(bucket[order], of, np.frombuffer(b"".join(sets), np.uint64), least)
-        keys = rows.column("key").combine_chunks()
-        return pa.table({name: keys.take(pa.array(side)) for name, side in zip("ab", pairs)})
+        coded = rows.column("key").combine_chunks().dictionary_encode()
+        # keys by their order, so that the root is the least
+        sort = pc.sort_indices(coded.dictionary)
+        rank = np.argsort(np.asarray(sort))
+        root = roots_of(*(rank[np.asarray(coded.indices)[side]] for side in pairs), len(rank))
+        node = np.flatnonzero(root != np.arange(len(root)))
+        names = coded.dictionary.take(sort)
+        return pa.table({"a": names.take(pa.array(node)), "b": names.take(pa.array(root[node]))})
 
     part = F.pmod("bucket", F.lit(1 + number // _ITEMS)).alias("part")
     links = small.select(part, "bucket", "key", "values").groupBy("part").applyInArrow(linked, f"a {kind}, b {kind}")
-    links = written(links.distinct(), "links")
+    links = written(links, "links")
     every, rounds = links, None
     if most > WITHIN:
         crowd = members.join(large, "bucket", "left_semi")
@@ -383,6 +397,6 @@ def classes_of_sets(items: DataFrame, least: float) -> DataFrame:
         out = spark.createDataFrame([], f"key {kind}, root {kind}")
     else:
         out = connected(every).withColumnRenamed("node", "key")
-    drop_tables(spark, links, rounds, sizes, content)
+    drop_tables(spark, links, rounds, large, content)
     release(spark)
     return out

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from packetscope.llm import linking
 from packetscope.llm.common import words_of
-from packetscope.llm.comparing import alike, probability_jaccard
-from packetscope.llm.linking import classes, connected, repeated
+from packetscope.llm.comparing import alike, probability_jaccard, roots_of
+from packetscope.llm.linking import classes, classes_of_sets, connected, repeated
 from packetscope.llm.near_duplicates import (
     near_duplicates, prob_minhash, without_near_duplicates,
 )
@@ -163,6 +163,46 @@ def test_components(spark):
     assert got == top
 
 
+def test_roots_are_the_least_of_what_links_connect():
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, 400, 300), rng.integers(0, 400, 300)
+    x, y = np.append(x, np.arange(400, 499)), np.append(y, np.arange(401, 500))
+    want = list(range(500))
+    for _ in want:
+        for a, b in zip(x.tolist(), y.tolist()):
+            want[a] = want[b] = min(want[a], want[b])
+    assert roots_of(x, y, 500).tolist() == want
+    assert roots_of(x[:0], y[:0], 3).tolist() == [0, 1, 2]
+
+
+def test_a_bitmap_does_not_take_a_job_for_each_partition(spark):
+    settings = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    rows = spark.range(4000).selectExpr("xxhash64(id div 2) AS h", "id AS v")
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        spark.sparkContext.setJobGroup("bitmap", "")
+        assert repeated(rows).has(np.asarray([r.h for r in rows.collect()])).all()
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("bitmap")) < 20
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_a_worker_joins_the_chains_it_finds(spark, monkeypatch):
+    names, kept = [], linking.written
+    monkeypatch.setattr(linking, "written", lambda df, name: (names.append(name), kept(df, name))[1])
+    key = lambda i: (99 - i).to_bytes(2, "big")
+    values = np.arange(9, dtype=np.uint64).tobytes()
+    items = [(key(i), [i, i + 1], values) for i in range(60)] + [(key(70), [70], values)]
+    found = classes_of_sets(spark.createDataFrame(items, "key binary, buckets array<long>, values binary"), 0.8)
+    assert {bytes(r.key): bytes(r.root) for r in found.collect()} == {key(i): key(59) for i in range(60)}
+    # what the links are at first, and once more to see that nothing changes
+    assert names.count("edges") == 2
+
+
 def body(values, weights=None):
     packed = None if weights is None else np.asarray(weights, np.float64).tobytes()
     return {"values": np.sort(np.asarray(values, np.uint64)).tobytes(), "weights": packed}
