@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetscope.llm.common import slices
+from packetscope.llm.common import giving_back, slices
 
 # most chunks a task keeps while it counts, and most it hands on
 KEPT_CHUNKS, SENT_CHUNKS = 1 << 20, 1 << 16
@@ -123,7 +123,7 @@ def frequent_chunks(texts: DataFrame, size: int, lower: bool = False) -> dict[st
                 schema=pa.schema([("chunk", pa.string()), ("n", pa.int64())]),
             )
 
-    counted = texts.select("text").mapInArrow(count, "chunk string, n long")
+    counted = texts.select("text").mapInArrow(giving_back(count), "chunk string, n long")
     sums = counted.groupBy("chunk").agg(F.sum("n").alias("n"))
     top = sums.orderBy(F.desc("n"), "chunk").limit(size).collect()
     return {r["chunk"]: r["n"] for r in top}

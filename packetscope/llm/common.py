@@ -60,10 +60,28 @@ def give_back() -> None:
         pass
 
 
+_kept: dict = {}
+
+
+def kept(key, make):
+    """What a worker process keeps between the tasks of a stage, one thing at a time."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def let_go() -> None:
+    """Forget what another stage kept."""
+    _kept.clear()
+
+
 def giving_back(run):
-    """A worker's function on batches that gives memory back after its last one."""
+    """A worker's function on batches that gives memory back after its last one, and first
+    lets go what other stages kept."""
 
     def whole(batches):
+        let_go()
         yield from run(batches)
         give_back()
 
@@ -75,6 +93,7 @@ def text_udf(kind: str, arrow_kind: pa.DataType, worker):
     texts (null: empty) to a list of values."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        let_go()
         of_texts = worker()
         for texts in batches:
             parts = [

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from packetscope.llm.common import give_back
 from packetscope.llm.shingles import mixed
 
 
@@ -123,6 +124,8 @@ def similar(least: float):
         for a, b in batches:
             yield pa.array([alike(x.as_py(), y.as_py(), least) for x, y in zip(a, b)], pa.bool_())
 
+        give_back()
+
     return F.arrow_udf(run, "boolean")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetscope.llm.bpe import Vocabulary, frequent_chunks
-from packetscope.llm.common import byte_slices, give_back, id_and_text, id_type
+from packetscope.llm.common import byte_slices, give_back, id_and_text, id_type, kept
 from packetscope.llm.lexicon import Lexicon, compile_lexicon, mapped
 from packetscope.llm.merging import Encoder
 from packetscope.session import ship
@@ -28,7 +28,7 @@ LEXICON_SIZE, REMEMBERED, AT_ONCE = 1 << 16, 1 << 17, 1 << 20
 
 
 class LexiconEncoder(Encoder):
-    """Encodes and decodes on a worker; made once per process."""
+    """Encodes and decodes on a worker; made once per process and stage."""
 
     def __init__(self, file: str, lexicon: Lexicon):
         self.lexicon = lexicon
@@ -104,17 +104,11 @@ def encode_documents(
     return texts.mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids binary, decoded string")
 
 
-_made: dict[str, LexiconEncoder] = {}
-
-
 def _encoder(shared) -> LexiconEncoder:
-    """One encoder per worker process and lexicon, kept between tasks."""
+    """One encoder per worker process and lexicon, kept between tasks until another stage runs."""
     file, lexicon = shared.value
     key = hashlib.sha256(file.encode() + lexicon).hexdigest()
-    if key not in _made:
-        _made.clear()
-        _made[key] = LexiconEncoder(file, Lexicon(mapped(lexicon)))
-    return _made[key]
+    return kept(key, lambda: LexiconEncoder(file, Lexicon(mapped(lexicon))))
 
 
 def digests(encoded: DataFrame) -> DataFrame:

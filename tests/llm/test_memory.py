@@ -1,10 +1,16 @@
 """What workers hold at one time, and what they keep after a task."""
 
+from types import SimpleNamespace
+
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from packetscope.llm import encoding
+from packetscope.llm.bpe import Vocabulary
 from packetscope.llm.common import giving_back
+from packetscope.llm.lexicon import compile_lexicon
 from packetscope.session import BATCH_BYTES, ship
 
 LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -40,3 +46,14 @@ def test_memory_goes_back_after_the_last_batch(monkeypatch):
     monkeypatch.setattr("packetscope.llm.common.give_back", lambda: said.append("back"))
     assert list(giving_back(lambda batches: (said.append(b) or b for b in batches))([1, 2])) == [1, 2]
     assert said == [1, 2, "back"]
+
+
+def test_other_stages_let_an_encoder_go():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        file = f.read()
+    words = {w: Vocabulary.of(file).merge(w) for w in (b" a", b" word")}
+    shared = SimpleNamespace(value=(file, compile_lexicon(words)))
+    encoder = encoding._encoder(shared)
+    assert encoding._encoder(shared) is encoder
+    assert list(giving_back(iter)([1, 2])) == [1, 2]
+    assert encoding._encoder(shared) is not encoder
