@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from packetscope.llm.common import give_back
 from packetscope.llm.shingles import mixed
 
+# sets of a bucket that all meet; in larger ones only those that share a value of their prefixes
+CROWDED = 64
+
 
 def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
     """Exact similarity of two weighted sets, given as sorted values with weights.
@@ -58,6 +61,39 @@ def alike(x: dict, y: dict, least: float) -> bool:
     return probability_jaccard(a, _weights(x["weights"], len(a)), b, _weights(y["weights"], len(b))) >= least
 
 
+def prefix_of(sizes, share: int):
+    """How many first values of a set, in any order that all sets keep, two sets that are similar
+    by ``share`` thousandths must meet in."""
+    return sizes - -(-share * sizes // 1000) + 1
+
+
+def _apart(bucket: np.ndarray, sizes: np.ndarray, values: np.ndarray, share: int):
+    """``bucket, number, room`` of sets, with crowded buckets cut by the values of sets' prefixes.
+
+    Values come rare ones first. Of two similar sets the first value in common lies in both
+    prefixes, and no more values are common than follow it in either: its ``room``.
+    """
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+    number = np.diff(np.append(first, len(bucket)))
+    crowded = np.repeat(number > CROWDED, number)
+    many, few = np.flatnonzero(crowded), np.flatnonzero(~crowded)
+    if not len(many):
+        return bucket, few, sizes
+    size = sizes[many]
+    of = np.repeat(np.arange(len(many)), size)
+    code = values[np.repeat(crowded, sizes)] + np.repeat(mixed(bucket[many].astype(np.uint64)), size)
+    _, rank, times = np.unique(code, return_inverse=True, return_counts=True)
+    order = np.lexsort((rank, times[rank], of))
+    rank, place = rank[order], np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+    take = np.flatnonzero((place < prefix_of(size, share)[of]) & (times[rank] > 1))
+    take = take[np.bincount(rank[take])[rank[take]] > 1] if len(take) else take
+    bucket = np.concatenate([bucket[few], mixed(code[order][take]).view(np.int64)])
+    number = np.concatenate([few, many[of[take]]])
+    room = np.concatenate([sizes[few], (size[of] - place)[take]])
+    order = np.argsort(bucket, kind="stable")
+    return bucket[order], number[order], room[order]
+
+
 def links_within(
     bucket: np.ndarray, sizes: np.ndarray, values: np.ndarray, least: float
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -65,42 +101,51 @@ def links_within(
 
     ``bucket`` is sorted; ``values`` are those of all sets one after the other. In each step
     a set of a smallest class of every bucket meets the others that are not in its class,
-    and is done. Steps go on until the sets left in a bucket are in one class.
+    and is done. Steps go on until the sets left in a bucket are in one class. Of a crowded
+    bucket only sets meet that have a value of their prefixes in common, as similar ones do.
     """
-    # equal values of different buckets differ
-    codes = mixed(values + np.repeat(mixed(bucket.astype(np.uint64)), sizes))
+    share = round(least * 1000)
     starts = np.cumsum(sizes) - sizes
-    label, left, out = np.arange(len(bucket)), np.arange(len(bucket)), []
+    label, out = np.arange(len(sizes)), []
+    bucket, number, room = _apart(bucket, sizes, values, share)
+    size, left = sizes[number], np.arange(len(bucket))
+    # equal values of different buckets differ
+    tag = mixed(bucket.astype(np.uint64))
 
-    def of_sets(numbers):
-        size = sizes[numbers]
-        return codes[np.repeat(starts[numbers] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+    def codes(members):
+        of = size[members]
+        at = np.repeat(starts[number[members]] - np.cumsum(of) + of, of) + np.arange(of.sum())
+        return values[at] + np.repeat(tag[members], of)
 
     while len(left):
         first = np.flatnonzero(np.append(True, np.diff(bucket[left]) != 0))
-        number = np.diff(np.append(first, len(left)))
-        own = label[left]
+        many = np.diff(np.append(first, len(left)))
+        own = label[number[left]]
         several = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
-        left, own, number = left[np.repeat(several, number)], own[np.repeat(several, number)], number[several]
+        left, own, many = left[np.repeat(several, many)], own[np.repeat(several, many)], many[several]
         if not len(left):
             break
-        first = np.cumsum(number) - number
+        first = np.cumsum(many) - many
         order = np.bincount(own)[own] * len(left) + np.arange(len(left))
         place = np.minimum.reduceat(order, first) % len(left)
-        hub = np.repeat(left[place], number)
-        meet = own != label[hub]
+        hub = np.repeat(left[place], many)
+        # what the first common value leaves room for must be enough
+        meet = own != label[number[hub]]
+        meet &= (1000 + share) * np.minimum(room[left], room[hub]) >= share * (size[left] + size[hub])
         x, y = left[meet], hub[meet]
-        theirs = np.sort(of_sets(left[place]))
-        mine = of_sets(x)
+        left = np.delete(left, place)
+        if not len(x):
+            continue
+        theirs = np.sort(codes(y[np.append(True, y[1:] != y[:-1])]))
+        mine = codes(x)
         same = theirs[np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)] == mine
-        common = np.add.reduceat(same, np.cumsum(sizes[x]) - sizes[x], dtype=np.int64)
-        found = _enough(common, sizes[x], sizes[y], least)
-        x, y = x[found], y[found]
+        common = np.add.reduceat(same, np.cumsum(size[x]) - size[x], dtype=np.int64)
+        found = _enough(common, size[x], size[y], least)
+        x, y = number[x[found]], number[y[found]]
         out.append((x, y))
-        change = np.arange(len(bucket))
+        change = np.arange(len(label))
         change[label[x]] = label[y]
         label = change[label]
-        left = np.delete(left, place)
     x, y = (np.concatenate(side) for side in zip(*out)) if out else (left, left)
     return x, y
 

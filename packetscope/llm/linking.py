@@ -20,11 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetscope.llm.common import giving_back
-from packetscope.llm.comparing import Hubs, links_within, roots_of, similar
+from packetscope.llm.comparing import Hubs, links_within, prefix_of, roots_of, similar
 from packetscope.session import release, remove, written
 
 # bits of the bitmap of repeated hashes: the least, and the most whatever the input's size
@@ -32,6 +32,8 @@ LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
 # rounds that always join pairs with contents; and the bytes of hubs that are broadcast in
 # later rounds, which have few buckets left
 JOINED_ROUNDS, BROADCAST_BYTES = 2, 16 << 20
+# links that one worker joins
+ONE_WORKER_LINKS = 200_000
 # links whose ends' least neighbours are broadcast while classes are made; about 50 bytes each
 BROADCAST_LINKS = 200_000
 # hubs of a bucket by round: the first finds most links, the later ones what it missed
@@ -39,7 +41,7 @@ _HUBS = (1, 4, 16)
 # the same where hubs are broadcast, which makes no rows of pairs
 _SHARED_HUBS = 256
 # items of a bucket that one worker compares, and items it gets at one time, about
-WITHIN, _ITEMS = 1024, 1 << 14
+WITHIN, _ITEMS = 1 << 14, 1 << 14
 _CELL = 32768  # bits in one piece of Spark's bitmap functions
 # bits of the bitmap that come to the driver at one time
 _BITS_AT_ONCE = 1 << 26
@@ -176,14 +178,19 @@ def drop_tables(spark: SparkSession, *tables: DataFrame | None) -> None:
 def connected(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links (a, b)``; the root is the smallest node.
 
-    Alternates between joining every node's larger neighbours to its smallest and joining
-    its smaller neighbours to each other, until nothing changes. A node with many links
-    is combined in the tasks before it is shuffled.
+    A few links are joined by one worker. More alternate between joining every node's larger
+    neighbours to its smallest and joining its smaller neighbours to each other, until nothing
+    changes. A node with many links is combined in the tasks before it is shuffled.
     """
     spark = links.sparkSession
     ordered = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     edges, mark = _marked(ordered.where("u <> v").distinct())
     while True:
+        if mark[0] <= ONE_WORKER_LINKS:
+            after = written(_stars(edges), "edges")
+            drop_tables(spark, edges)
+            edges = after
+            break
         few = F.broadcast if mark[0] <= BROADCAST_LINKS else (lambda df: df)
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -204,6 +211,32 @@ def connected(links: DataFrame) -> DataFrame:
     return members.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """The edges ``u, v`` from every node to its root, found in one task."""
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def run(batches):
+        held = list(batches)
+        if held:
+            links = pa.Table.from_batches(held)
+            u, v = joined(links.column("u").combine_chunks(), links.column("v").combine_chunks())
+            yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"])
+
+    return edges.coalesce(1).mapInArrow(giving_back(run), f"u {kind}, v {kind}")
+
+
+def joined(a: pa.Array, b: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Nodes of the links ``a, b`` with their roots, without the roots themselves."""
+    coded = pa.concat_arrays([a, b]).dictionary_encode()
+    # nodes by their order, so that the root is the least
+    sort = pc.sort_indices(coded.dictionary)
+    rank = np.argsort(np.asarray(sort))[np.asarray(coded.indices)]
+    root = roots_of(rank[: len(a)], rank[len(a) :], len(sort))
+    node = np.flatnonzero(root != np.arange(len(root)))
+    names = coded.dictionary.take(sort)
+    return names.take(pa.array(node)), names.take(pa.array(root[node]))
+
+
 def _marked(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """The edges as a table, their number and two hashes of them all."""
     seen = Observation()
@@ -346,25 +379,76 @@ def classes(members: DataFrame, content: DataFrame, least: float) -> DataFrame:
     return labels.union(labels.select(F.col("root").alias("key"), "root").distinct())
 
 
+def _sizes(members: DataFrame) -> DataFrame:
+    """``bucket, n`` of buckets with several items."""
+    return members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def _sum_and_most(sizes: DataFrame) -> tuple[int, int]:
+    return sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+
+
+def _apart(members: DataFrame, least: float) -> DataFrame:
+    """``bucket, key``: buckets cut by the values that several of their items have in the prefix.
+
+    ``members`` has ``bucket, key, values``. Rare values come first, so unlike items with a
+    common passage hardly meet, but similar ones do (see ``comparing.links_within``).
+    """
+    share = round(least * 1000)
+
+    def listed(batches):
+        for batch in batches:
+            sets = batch.column("values")
+            size = np.asarray(pc.binary_length(sets)).astype(np.int64) // 8
+            of = pa.array(np.repeat(np.arange(len(size)), size))
+            values = np.frombuffer(b"".join(sets.to_pylist()), np.int64)
+            prefix = np.repeat(prefix_of(size, share), size).astype(np.int32)
+            columns = [batch.column(name).take(of) for name in ("bucket", "key")]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(prefix), pa.array(values)], names=["bucket", "key", "prefix", "value"]
+            )
+
+    kind = members.schema["key"].dataType.simpleString()
+    every = members.select("bucket", "key", "values").mapInArrow(
+        giving_back(listed), f"bucket long, key {kind}, prefix int, value long"
+    )
+    times = every.groupBy("bucket", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    order = Window.partitionBy("bucket", "key").orderBy("times", "value")
+    first = (
+        every.join(times, ["bucket", "value"], "left")
+        .withColumn("times", F.coalesce("n", F.lit(1)))
+        .withColumn("place", F.row_number().over(order))
+        .where("place <= prefix AND n IS NOT NULL")
+    )
+    return first.select(F.xxhash64("bucket", "value").alias("bucket"), "key")
+
+
 def classes_of_sets(items: DataFrame, least: float) -> DataFrame:
     """``key, root`` as from ``classes``, for plain sets whose buckets are mostly small.
 
     ``items`` has ``key, buckets, values``, a key as often as it likes but always the same. The
-    items of a bucket of at most ``WITHIN`` meet in one worker; larger ones go through the rounds
+    items of a bucket of at most ``WITHIN`` meet in one worker. Larger ones are cut by the values
+    of their items' prefixes (``_apart``); what is large even then goes through the rounds
     of ``classes``. A worker joins what it linked, so that chains do not lengthen ``connected``.
     """
     spark = items.sparkSession
     kind = items.schema["key"].dataType.simpleString()
     one = items.groupBy("key").agg(F.first(F.struct("buckets", "values")).alias("body"))
     content = written(one.select("key", "body.buckets", "body.values"), "content")
-    buckets = content.select(F.explode("buckets").alias("bucket"))
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    number, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    sizes = _sizes(content.select(F.explode("buckets").alias("bucket")))
+    number, most = _sum_and_most(sizes)
     members = small = content.select("key", "values", F.explode("buckets").alias("bucket"))
-    large = None
+    large = apart = crowd = None
     if most > WITHIN:
         large = written(sizes.where(F.col("n") > WITHIN).select("bucket"), "large")
-        small = members.join(large, "bucket", "left_anti")
+        apart = written(_apart(members.join(large, "bucket", "left_semi"), least), "apart")
+        sizes = _sizes(apart)
+        more, most = _sum_and_most(sizes)
+        number += more
+        crowd = written(sizes.where(F.col("n") > WITHIN).select("bucket"), "crowd")
+        several = sizes.where(F.col("n") <= WITHIN).select("bucket")
+        less = apart.join(several, "bucket", "left_semi").join(content.select("key", "values"), "key")
+        small = members.join(large, "bucket", "left_anti").unionByName(less)
 
     def linked(rows: pa.Table) -> pa.Table:
         bucket = rows.column("bucket").to_numpy()
@@ -375,28 +459,23 @@ def classes_of_sets(items: DataFrame, least: float) -> DataFrame:
         sets = rows.column("values").to_pylist()
         of = np.fromiter(map(len, sets), np.int64, len(sets)) // 8
         pairs = links_within(bucket[order], of, np.frombuffer(b"".join(sets), np.uint64), least)
-        coded = rows.column("key").combine_chunks().dictionary_encode()
-        # keys by their order, so that the root is the least
-        sort = pc.sort_indices(coded.dictionary)
-        rank = np.argsort(np.asarray(sort))
-        root = roots_of(*(rank[np.asarray(coded.indices)[side]] for side in pairs), len(rank))
-        node = np.flatnonzero(root != np.arange(len(root)))
-        names = coded.dictionary.take(sort)
-        return pa.table({"a": names.take(pa.array(node)), "b": names.take(pa.array(root[node]))})
+        keys = rows.column("key").combine_chunks()
+        node, root = joined(*(keys.take(pa.array(side)) for side in pairs))
+        return pa.table({"a": node, "b": root})
 
     part = F.pmod("bucket", F.lit(1 + number // _ITEMS)).alias("part")
     links = small.select(part, "bucket", "key", "values").groupBy("part").applyInArrow(linked, f"a {kind}, b {kind}")
     links = written(links, "links")
     every, rounds = links, None
     if most > WITHIN:
-        crowd = members.join(large, "bucket", "left_semi")
+        met = apart.join(crowd, "bucket", "left_semi")
         body = F.struct("values", F.lit(None).cast("binary").alias("weights")).alias("body")
-        rounds = written(classes(crowd.select("bucket", "key"), crowd.select("key", body), least), "rounds")
+        rounds = written(classes(met, content.select("key", body), least), "rounds")
         every = links.union(rounds)
     if every.isEmpty():
         out = spark.createDataFrame([], f"key {kind}, root {kind}")
     else:
         out = connected(every).withColumnRenamed("node", "key")
-    drop_tables(spark, links, rounds, large, content)
+    drop_tables(spark, links, rounds, large, apart, crowd, content)
     release(spark)
     return out

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from packetscope.llm import linking
+from packetscope.llm import comparing, linking
 from packetscope.llm.common import words_of
 from packetscope.llm.comparing import links_within
 from packetscope.llm.cutting import Texts, run_hashes, shingled
@@ -97,3 +97,59 @@ def test_large_buckets_go_through_the_rounds(spark, monkeypatch):
         monkeypatch.setattr(linking, "WITHIN", most)
         got.append(sorted((bytes(r.key)[0], bytes(r.root)[0]) for r in linking.classes_of_sets(items, 0.8).collect()))
     assert got == [[(0, 0), (1, 0), (2, 0), (3, 3), (4, 3)]] * 2
+
+
+def crowd(rng, n):
+    """Sets with values in common that are unlike all the same, and some copies with a value changed."""
+    base, sets = rng.integers(1, 2**63, 10).astype(np.uint64), []
+    for _ in range(n):
+        if sets and rng.random() < 0.2:
+            made = sets[rng.integers(len(sets))].copy()
+            made[rng.integers(len(made))] = rng.integers(1, 2**63)
+        else:
+            made = np.append(base[rng.integers(0, 4) :], rng.integers(1, 2**63, rng.integers(2, 25)).astype(np.uint64))
+        sets.append(np.unique(made))
+    return sets
+
+
+def roots(sets, least):
+    top = np.arange(len(sets))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            common = len(np.intersect1d(a, b))
+            if 1000 * common >= round(1000 * least) * (len(a) + len(b) - common):
+                top[top == max(top[i], top[j])] = min(top[i], top[j])
+    return top
+
+
+def test_in_a_crowded_bucket_hardly_any_unlike_sets_meet(monkeypatch):
+    asked, kept = [], comparing._enough
+    monkeypatch.setattr(comparing, "_enough", lambda c, *a: (asked.append(len(c)), kept(c, *a))[1])
+    rng = np.random.default_rng(4)
+    for least in (0.5, 0.7, 0.8, 1.0):
+        sets = crowd(rng, 150) + crowd(rng, 90) + crowd(rng, 20)
+        bucket = np.repeat([-7, 5, 2**62], [150, 90, 20])
+        x, y = links_within(bucket, np.asarray([len(s) for s in sets]), np.concatenate(sets), least)
+        want = np.concatenate([roots(sets[a:b], least) + a for a, b in ((0, 150), (150, 240), (240, 260))])
+        assert comparing.roots_of(x, y, 260).tolist() == want.tolist()
+        assert least == 1.0 or len(x) > 20
+    # of two thousand sets in a bucket there are two million pairs
+    sets, asked[:] = crowd(rng, 2000), []
+    links_within(np.zeros(2000, np.int64), np.asarray([len(s) for s in sets]), np.concatenate(sets), 0.8)
+    assert sum(asked) < 20_000
+
+
+def test_a_bucket_beyond_one_worker_takes_no_rounds_for_unlike_sets(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    sets = crowd(rng, 120)
+    key = lambda i: int(i).to_bytes(2, "big")
+    rows = [(key(i), [9], s.tobytes()) for i, s in enumerate(sets)]
+    names, kept = [], linking.written
+    monkeypatch.setattr(linking, "written", lambda df, name: (names.append(name), kept(df, name))[1])
+    monkeypatch.setattr(linking, "WITHIN", 40)
+    got = linking.classes_of_sets(spark.createDataFrame(rows, "key binary, buckets array<long>, values binary"), 0.8)
+    found = {bytes(r.key): bytes(r.root) for r in got.collect()}
+    want = roots(sets, 0.8)
+    several = np.bincount(want)[want] > 1
+    assert found == {key(i): key(want[i]) for i in np.flatnonzero(several)} and len(found) > 20
+    assert names.count("apart") == 1 and names.count("hubs") <= 1

@@ -163,6 +163,14 @@ def test_components(spark):
     assert got == top
 
 
+def test_many_links_are_joined_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(linking, "ONE_WORKER_LINKS", -1)
+    test_components(spark)
+    monkeypatch.setattr(linking, "ONE_WORKER_LINKS", 40)
+    test_components(spark)
+    assert connected(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
+
+
 def test_roots_are_the_least_of_what_links_connect():
     rng = np.random.default_rng(6)
     x, y = rng.integers(0, 400, 300), rng.integers(0, 400, 300)
