@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetscope.llm.common import giving_back
@@ -238,11 +238,13 @@ def joined(a: pa.Array, b: pa.Array) -> tuple[pa.Array, pa.Array]:
 
 
 def _marked(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """The edges as a table, their number and two hashes of them all."""
-    seen = Observation()
-    hashes = (F.bit_xor(F.xxhash64(*order)).alias(order) for order in ("uv", "vu"))
-    table = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), *hashes), "edges")
-    return table, tuple(seen.get[name] for name in ("n", "uv", "vu"))
+    """The edges as a table, their number and two hashes of them all.
+
+    Not by an ``Observation``: a session that has made one cannot be sent with Spark's forests.
+    """
+    table = written(edges, "edges")
+    hashes = (F.bit_xor(F.xxhash64(*order)) for order in ("uv", "vu"))
+    return table, tuple(table.agg(F.count(F.lit(1)), *hashes).first())
 
 
 def _met(items: DataFrame, hubs: Hubs, least: float, key: str) -> DataFrame:

@@ -171,6 +171,17 @@ def test_many_links_are_joined_in_rounds(spark, monkeypatch):
     assert connected(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
 
 
+def test_forests_can_be_grown_after_classes(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    connected(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).collect()
+    rows = spark.createDataFrame([(float(i), float(i % 2)) for i in range(40)], "x double, label double")
+    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
+    model = RandomForestClassifier(numTrees=2, seed=1).fit(rows)
+    assert model.transform(rows).where("prediction IS NOT NULL").count() == 40
+
+
 def test_roots_are_the_least_of_what_links_connect():
     rng = np.random.default_rng(6)
     x, y = rng.integers(0, 400, 300), rng.integers(0, 400, 300)
